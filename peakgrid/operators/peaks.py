@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import from_fixed, safe_ratio
 from ..functions.scores import evaluate_once, scaled_ratio, with_binomial_score, with_poisson_score
 from ..functions.tiles import TILE_BINS, div, own_rows, spread, stitch
-from ..session import derived_lookup
+from ..session import cut, derived_lookup
 from .bins import LOCAL_BINS, bin_count, local_mean, smooth_tiles
 
 
@@ -135,11 +135,11 @@ def call_peaks_chip_only(bins: DataFrame, pairs: DataFrame, genome: DataFrame, b
 def number_peaks(peaks: DataFrame, genome: DataFrame) -> DataFrame:
     """Running number from 0 in genome order.
 
-    Ranks are local to a 16 Mb stretch; the offset of a stretch comes from the
+    The peaks are read twice, so they are written once before. Ranks are local to a 16 Mb stretch; the offset of a stretch comes from the
     small table of stretch sizes, so no task sorts all peaks of a sample.
     """
     step = 1 << 24
-    p = peaks.join(genome.select("chrom", "ord"), "chrom").withColumn("_s", div("start", step))
+    p = cut(peaks).join(genome.select("chrom", "ord"), "chrom").withColumn("_s", div("start", step))
     sizes = p.groupBy("sample", "ord", "_s").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("sample").orderBy("ord", "_s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("sample", "ord", "_s", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

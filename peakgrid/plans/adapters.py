@@ -70,8 +70,8 @@ class Tables:
 
     @property
     def pairs(self) -> DataFrame:
-        return lookup(self.spark.range(1).select(
-            F.lit("S1").alias("label"), F.lit("chip").alias("chip"), F.lit("input").alias("input")))
+        return lookup(self.spark.createDataFrame(
+            [("S1", "chip", "input")], "label string, chip string, input string"))
 
     @property
     def sites(self) -> DataFrame:
