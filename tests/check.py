@@ -12,6 +12,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+SPENT = [0.0]
+
+
 def connect(folder):
     con = duckdb.connect()
     for t in TABLES:
@@ -21,7 +24,7 @@ def connect(folder):
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     def cell(x):
-        if x is None or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NA or (isinstance(x, float) and x != x):
             return None
         if hasattr(x, "tolist"):
             x = x.tolist()
@@ -37,7 +40,14 @@ def normal(df: pd.DataFrame) -> list[tuple]:
 
 
 def compare(spark_df, con, sql):
-    got, want = spark_df.toPandas(), con.execute(sql).df()
+    t0 = time.time()
+    got = spark_df.toPandas()
+    SPENT[0] = time.time() - t0
+    want = con.execute(sql).df()
+    kinds = {c: (got[c].dtype.kind, want[c].dtype.kind) for c in got.columns if c in want.columns}
+    odd = {c: k for c, k in kinds.items() if k[0] != k[1] and set(k) <= set("ifb")}
+    if odd:
+        print("     types differ:", odd)
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}", len(got)
     a, b = normal(got), normal(want)
@@ -78,7 +88,7 @@ def main():
         except Exception as e:  # noqa: BLE001
             err, n = f"{type(e).__name__}: {str(e)[:1500]}", -1
         bad += err is not None
-        print(f"{'ok  ' if err is None else 'FAIL'} {name:28s} {n:8d} rows {time.time() - t0:6.1f}s"
+        print(f"{'ok  ' if err is None else 'FAIL'} {name:28s} {n:8d} rows {time.time() - t0:6.1f}s (Spark action {SPENT[0]:.1f}s)"
               f" {'' if name in oracle else '(no SQL)'} {err or ''}", flush=True)
     print("failed:", bad)
     return bad
