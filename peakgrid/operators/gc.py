@@ -26,11 +26,9 @@ def window_length(flen: int, flen4gc: int = GC_LENGTH) -> int:
 
 
 def chunk_sequences(sequences: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Whole sequences (chrom, seq) as chunks."""
-    n = F.length("seq")
-    return (sequences.filter(n > 0)
-            .select("chrom", "seq", F.explode(F.sequence(F.lit(0), div(n - 1, size))).alias("chunk"))
-            .select("chrom", "chunk", F.substring("seq", F.col("chunk") * size + 1, F.lit(size)).alias("seq")))
+    """Whole sequences (chrom, seq) as chunks; the text is walked once."""
+    parts = F.regexp_extract_all("seq", F.lit("(.{1,%d})" % size), F.lit(1))
+    return sequences.select("chrom", F.posexplode(parts).alias("chunk", "seq"))
 
 
 def genome_table(chunks: DataFrame) -> DataFrame:

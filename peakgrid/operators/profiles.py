@@ -167,10 +167,10 @@ def _with_values(ranges: DataFrame, values: DataFrame, labels: DataFrame) -> Dat
 
 def profile_gene_body(genes: DataFrame, bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: int,
                       stype: int = 0) -> DataFrame:
-    """300 columns per gene: one gene length up, the body, one gene length down; mean per block."""
+    """300 columns per gene, -100..199: one gene length up, the body, one gene length down; mean per block."""
     blocks = _gene_blocks(genes, genome, binsize, None)
     return _with_values(blocks, value_bins(bins, pairs, stype), pairs).select(
-        "label", "site", F.col("block").alias("offset"), F.col("mean").alias("value"))
+        "label", "site", (F.col("block") - GENE_BLOCKS).alias("offset"), F.col("mean").alias("value"))
 
 
 def profile_gene_body_fixed(genes: DataFrame, bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: int,
@@ -178,7 +178,7 @@ def profile_gene_body_fixed(genes: DataFrame, bins: DataFrame, pairs: DataFrame,
     """As the gene body profile with flanks of fixed width; the body blocks span the gene."""
     blocks = _gene_blocks(genes, genome, binsize, width)
     return _with_values(blocks, value_bins(bins, pairs, stype), pairs).select(
-        "label", "site", F.col("block").alias("offset"), F.col("mean").alias("value"))
+        "label", "site", (F.col("block") - GENE_BLOCKS).alias("offset"), F.col("mean").alias("value"))
 
 
 def site_matrix_long(bed: DataFrame, bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: int,

@@ -132,7 +132,7 @@ def _matches_per_shift(lo: int, hi: int, tile: int):
     """
     size = 1 << (tile + hi - lo).bit_length()
 
-    def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         offset = pdf["pos"].to_numpy() - key[2] * tile
         fwd = pdf["fwd"].to_numpy()
         a, b = np.zeros(size), np.zeros(size)

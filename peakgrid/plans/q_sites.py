@@ -80,7 +80,7 @@ BODY_VALUES = """,
 ranges AS (SELECT site, chrom, i, trunc(a / 100)::BIGINT AS sb, trunc(b / 100)::BIGINT AS eb FROM blocks),
 cells AS (SELECT site, i, chrom, sb, eb, unnest(range(sb, eb + 1)) AS bin FROM ranges),
 sums AS (SELECT site, i, sum(v) / 1e4 AS total FROM cells JOIN chipbins USING (chrom, bin) GROUP BY ALL)
-SELECT site, i AS "offset", round(CASE WHEN eb >= sb THEN coalesce(total, 0) / (eb - sb + 1) ELSE 0 END, 6) AS value
+SELECT site, i - 100 AS "offset", round(CASE WHEN eb >= sb THEN coalesce(total, 0) / (eb - sb + 1) ELSE 0 END, 6) AS value
 FROM ranges LEFT JOIN sums USING (site, i)"""
 
 

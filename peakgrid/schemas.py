@@ -1,23 +1,35 @@
 """Schemas of the domain tables (positions are base pairs, ``v`` is value x 10000)."""
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
-GENOME = StructType.fromDDL("chrom string, length int, mappable long, ord int")
-READS = StructType.fromDDL(
-    "sample string, read_id long, chrom string, strand string, f3 int, f5 int, len_f3 int, "
-    "len_f5 int, nh int, mate_chrom string, tlen int, weight double")
-BINS = StructType.fromDDL("sample string, chrom string, bin int, v long")
-INTERVALS = StructType.fromDDL("chrom string, start int, end int, summit int, name string")
-PEAKS = StructType.fromDDL(
-    "sample string, chrom string, start int, end int, length int, summit int, pileup double, "
-    "pileup_input double, enrichment double, p_internal double, p_enrich double, peak_no long")
-GENES = StructType.fromDDL(
-    "chrom string, tid string, gid string, tname string, gname string, strand string, "
-    "tx_start int, tx_end int, cds_start int, cds_end int, "
-    "exon array<struct<start:int,end:int>>, gtype string, ttype string, tag string")
-INTERACTIONS = StructType.fromDDL(
-    "set_label string, first struct<chrom:string,start:int,end:int>, "
-    "second struct<chrom:string,start:int,end:int>, val double")
-BARCODES = StructType.fromDDL("barcode string, chrom string, pos int")
-SAMPLES = StructType.fromDDL(
-    "chip string, input string, label string, peak_list string, binsize int, "
-    "scale_tag double, scale_ratio double, scale_pvalue double, overlay_of string")
+S, I, L, D = StringType(), IntegerType(), LongType(), DoubleType()
+
+
+def _table(**fields: DataType) -> StructType:
+    return StructType([StructField(n, t) for n, t in fields.items()])
+
+
+SPAN = _table(chrom=S, start=I, end=I)
+EXONS = ArrayType(_table(start=I, end=I))
+
+GENOME = _table(chrom=S, length=I, mappable=L, ord=I)
+READS = _table(sample=S, read_id=L, chrom=S, strand=S, f3=I, f5=I, len_f3=I, len_f5=I, nh=I, mate_chrom=S,
+               tlen=I, weight=D)
+BINS = _table(sample=S, chrom=S, bin=I, v=L)
+INTERVALS = _table(chrom=S, start=I, end=I, summit=I, name=S)
+PEAKS = _table(sample=S, chrom=S, start=I, end=I, length=I, summit=I, pileup=D, pileup_input=D, enrichment=D,
+               p_internal=D, p_enrich=D, peak_no=L)
+GENES = _table(chrom=S, tid=S, gid=S, tname=S, gname=S, strand=S, tx_start=I, tx_end=I, cds_start=I, cds_end=I,
+               exon=EXONS, gtype=S, ttype=S, tag=S)
+INTERACTIONS = _table(set_label=S, first=SPAN, second=SPAN, val=D)
+BARCODES = _table(barcode=S, chrom=S, pos=I)
+SAMPLES = _table(chip=S, input=S, label=S, peak_list=S, binsize=I, scale_tag=D, scale_ratio=D, scale_pvalue=D,
+                 overlay_of=S)
