@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import FIX, safe_ratio
 from ..functions.tiles import TILE_BP, cut_to_tiles, div
 from ..session import derived_lookup
-from .intervals import combine, overlaps_any, overlay, tiled_union
+from .intervals import combine, overlaps_any, overlay
 
 FIXED_FRAGMENT = 150
 MAX_INSERT = 500
@@ -103,6 +103,17 @@ def site_counts(reads: DataFrame, threshold: int = 1, paired: bool = False) -> D
             .withColumn("n_nonred", F.least("n", F.lit(int(threshold)).cast("long"))))
 
 
+def site_fragments(reads: DataFrame, genome: DataFrame, flen: int = FIXED_FRAGMENT, threshold: int = 1,
+                   paired: bool = False, rcenter: int = 0) -> DataFrame:
+    """Nonredundant fragments of reads with equal weight, folded by site.
+
+    One row per site; ``weight`` is the number of reads that count. The reads
+    themselves are folded map-side and never sorted.
+    """
+    sites = site_counts(reads, threshold, paired)
+    return fragments(extend(sites, flen), genome, rcenter).withColumn("weight", F.col("n_nonred").cast("double"))
+
+
 def sample_key(read_id: Column) -> Column:
     """Reproducible sampling key in 0..1000002 from the read id."""
     return ((read_id % 1000000007) * F.lit(2654435761) % 1000003).cast("long")
@@ -251,10 +262,11 @@ def read_counts(reads: DataFrame, genome: DataFrame, threshold: int = 1, paired:
 def frip(frags: DataFrame, bed: DataFrame, max_fragment: int | None = None) -> DataFrame:
     """Nonredundant fragments on any peak base, per chromosome and genome.
 
-    ``frags`` are nonredundant fragments. Equal fragments are folded to one row
-    with a count before the join.
+    ``frags`` are nonredundant fragments, as reads or folded by site. Equal
+    fragments are folded to one row with a count before the join.
     """
-    folded = frags.groupBy("sample", "chrom", "start", "end").agg(F.count("*").alias("n"))
+    n = F.sum("n_nonred") if "n_nonred" in frags.columns else F.count("*")
+    folded = frags.groupBy("sample", "chrom", "start", "end").agg(n.alias("n"))
     hit = overlaps_any(folded, bed, max_fragment).groupBy("sample", "chrom").agg(F.sum("n").alias("n_inbed"))
     total = folded.groupBy("sample", "chrom").agg(F.sum("n").alias("n_nonred"))
     per = total.join(hit, ["sample", "chrom"], "left").withColumn(
@@ -267,15 +279,16 @@ def genome_coverage(frags: DataFrame, considered: DataFrame) -> DataFrame:
     """Covered share of the considered bases, per chromosome and genome.
 
     ``considered`` are disjoint segments (mappable and outside peaks); each tile
-    a sample has reads in is swept against the segments of that tile.
+    a sample has reads in is swept against the segments of that tile. Events are
+    folded per base before the sweep, so a tile holds at most its length in rows.
     """
     by = ["sample", "chrom"]
-    covered = tiled_union(frags, by)
-    seg = cut_to_tiles(considered.select("chrom", "start", "end"))
-    seen = covered.select(*by, "tile").distinct()
-    seg = seg.join(seen, ["chrom", "tile"]).select(*by, "start", "end")
-    both = overlay({"n_cov": covered, "n_seg": seg}, by).filter((F.col("n_cov") > 0) & (F.col("n_seg") > 0))
-    hit = both.groupBy(*by).agg(F.sum(F.col("end") - F.col("start") + 1).alias("covered"))
+    seen = (frags.select(*by, F.explode(F.sequence(div("start", TILE_BP), div("end", TILE_BP))).alias("tile"))
+            .distinct())
+    seg = cut_to_tiles(considered.select("chrom", "start", "end")).join(seen, ["chrom", "tile"])
+    both = overlay({"n_cov": frags, "n_seg": seg.select(*by, "start", "end")}, by)
+    hit = (both.filter((F.col("n_cov") > 0) & (F.col("n_seg") > 0))
+           .groupBy(*by).agg(F.sum(F.col("end") - F.col("start") + 1).alias("covered")))
     base = considered.groupBy("chrom").agg(F.sum(F.col("end") - F.col("start") + 1).alias("considered"))
     out = with_genome_row(hit.join(base, "chrom").select(*by, "covered", "considered"), ["covered", "considered"])
     total = base.agg(F.sum("considered")).first()[0] or 0
@@ -330,7 +343,7 @@ def qc_stats(reads: DataFrame, genome: DataFrame, bed: DataFrame | None = None,
         for suffix in ("", "_fwd", "_rev"):
             out = out.withColumn(f"pct_{kind}{suffix}",
                                  100.0 * safe_ratio(F.col(f"n_{kind}{suffix}"), F.col(f"n{suffix}")))
-    frags = fragments(extend(nonredundant(reads, threshold), flen), genome)
+    frags = site_fragments(reads, genome, flen, threshold)
     whole = genome.select("chrom", F.lit(0).alias("start"), (F.col("length") - 1).alias("end"))
     considered = mappable if mappable is not None else whole
     if bed is not None:

@@ -64,9 +64,13 @@ class Tables:
     def unique_frags(self) -> DataFrame:
         return R.fragments(R.extend(R.nonredundant(self.reads), FLEN), self.genome)
 
+    @property
+    def frags(self) -> DataFrame:
+        return R.site_fragments(self.reads, self.genome, FLEN)
+
     @property
     def bins(self) -> DataFrame:
-        return R.bin_reads(self.unique_frags, BIN)
+        return R.bin_reads(self.frags, BIN)
 
     @property
     def pairs(self) -> DataFrame:

@@ -135,7 +135,7 @@ per AS (SELECT smp, chrom, count(*) AS n_nonred, count(i.read_id) AS n_inbed FRO
 @query("reads_frip", "frags sites", FRIP_SQL + """
 SELECT smp, coalesce(chrom, 'Genome') AS chrom, n_nonred, n_inbed, round(n_inbed::DOUBLE / n_nonred, 6) AS frip FROM per""")
 def reads_frip(t):
-    return R.frip(t.unique_frags, t.sites, FLEN).selectExpr(
+    return R.frip(t.frags, t.sites, FLEN).selectExpr(
         SMP, "chrom", "n_nonred", "n_inbed", "round(frip, 6) AS frip")
 
 
@@ -157,7 +157,7 @@ def considered(t):
 @query("reads_coverage", "frags bed2 genome", "+ " + COVER.format(frags="frags") + COVER_OUT +
        " FROM cov JOIN base ON cov.chrom IS NOT DISTINCT FROM base.chrom")
 def reads_coverage(t):
-    return R.genome_coverage(t.unique_frags, considered(t)).selectExpr(
+    return R.genome_coverage(t.frags, considered(t)).selectExpr(
         SMP, "chrom", "covered", "considered", "round(coverage, 6) AS coverage")
 
 

@@ -70,7 +70,7 @@ def main():
     parts = sys.argv[2:]
     folder = f"/root/testdata/sf{sf}"
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
+             .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
