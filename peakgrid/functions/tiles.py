@@ -30,6 +30,16 @@ def spread(df: DataFrame, pos: str, halo: int, tile: int) -> DataFrame:
     return df.withColumn("tile", F.explode(F.sequence(first, last)))
 
 
+def by_tile(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shuffle on (keys, tile) into the configured number of partitions.
+
+    Rows multiply behind this shuffle (zeros, neighbours), so the number is
+    fixed and not lowered by the size of what is shuffled.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys, "tile")
+
+
 def own_rows(df: DataFrame, pos: str, tile: int) -> DataFrame:
     return df.filter(div(pos, tile) == F.col("tile"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FIX, fixed_divide, fixed_multiply, safe_ratio, to_fixed
-from ..functions.tiles import TILE_BINS, cut_to_tiles, div, own_rows, spread
+from ..functions.tiles import TILE_BINS, by_tile, cut_to_tiles, div, own_rows, spread
 from ..session import derived_lookup
 from .intervals import tiled_union
 from .reads import FIXED_FRAGMENT, GENOME_ROW, with_genome_row
@@ -30,28 +30,31 @@ def bin_count(genome: DataFrame, binsize: int) -> DataFrame:
 def tiled(bins: DataFrame, halo: int, genome: DataFrame, binsize: int, tile: int = TILE_BINS,
           keys: Sequence[str] = ("sample", "chrom")) -> DataFrame:
     """Bins shuffled on (keys, tile) with halo copies and the bin count of the chromosome."""
-    return spread(bins.join(bin_count(genome, binsize), "chrom"), "bin", halo, tile).repartition(*keys, "tile")
+    return by_tile(spread(bins.join(bin_count(genome, binsize), "chrom"), "bin", halo, tile), keys)
 
 
 def densify(bins: DataFrame, genome: DataFrame, binsize: int, samples: Sequence[str],
             tile: int = TILE_BINS) -> DataFrame:
     """All bins of all chromosomes, zeros included.
 
-    Only one seed row per tile is shuffled beside the signal; the zeros are made
-    behind the shuffle and summed in the same partition.
+    Only one seed row per tile is shuffled beside the signal. Behind the shuffle
+    every row is followed by the zeros up to the next one.
     """
     last = F.col("nbin") - 1
     seeds = (bin_count(genome, binsize)
              .withColumn("sample", F.explode(F.array(*[F.lit(s) for s in samples])))
              .withColumn("tile", F.explode(F.sequence(F.lit(0), div(last, tile))))
-             .select("sample", "chrom", "tile", (F.col("tile") * tile).alias("lo"),
-                     F.least(F.col("tile") * tile + (tile - 1), last).alias("hi"), F.lit(0).cast("long").alias("v")))
-    data = bins.select("sample", "chrom", div("bin", tile).alias("tile"), F.col("bin").alias("lo"),
-                       F.col("bin").alias("hi"), "v")
-    return (seeds.unionByName(data).repartition("sample", "chrom", "tile")
-            .select("sample", "chrom", "tile", F.explode(F.sequence("lo", "hi")).alias("bin"),
-                    F.when(F.col("lo") == F.col("hi"), F.col("v")).otherwise(0).alias("v"))
-            .groupBy("sample", "chrom", "tile", "bin").agg(F.sum("v").alias("v")).drop("tile"))
+             .select("sample", "chrom", "tile", (F.col("tile") * tile).alias("bin"), F.lit(0).cast("long").alias("v"),
+                     F.least(F.col("tile") * tile + (tile - 1), last).alias("_seed_end")))
+    data = bins.select("sample", "chrom", div("bin", tile).alias("tile"), "bin", "v", F.lit(None).cast("int").alias("_seed_end"))
+    w = Window.partitionBy("sample", "chrom", "tile").orderBy("bin", F.col("_seed_end").desc_nulls_last())
+    rows = by_tile(seeds.unionByName(data), ["sample", "chrom"])
+    rows = rows.select("sample", "chrom", "bin", "v", F.lead("bin").over(w).alias("_next"), F.max("_seed_end").over(
+        w.rowsBetween(Window.unboundedPreceding, 0)).alias("_last"))
+    upto = F.coalesce(F.col("_next") - 1, F.col("_last"))
+    return (rows.filter(upto >= F.col("bin"))
+            .select("sample", "chrom", F.col("bin").alias("_at"), "v", F.explode(F.sequence("bin", upto)).alias("bin"))
+            .select("sample", "chrom", "bin", F.when(F.col("bin") == F.col("_at"), F.col("v")).otherwise(0).alias("v")))
 
 
 # ---- smoothing and local background ---------------------------------------------
@@ -66,17 +69,20 @@ def smooth_tiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], n: int
                  method: str = "gaussian") -> DataFrame:
     """Smooth the value columns of tiled rows (keys, tile, bin, nbin, cols...).
 
-    Every row gets its neighbours as zero rows first, behind the shuffle, so the
-    smoothed signal appears where it can be non-zero and nowhere else.
+    The bins within reach of a stored one are added as zero rows first, each
+    once and behind the shuffle: a row makes the bins before it that its
+    predecessor does not reach, and those after it that its successor does not
+    make. The smoothed signal then appears where it can be non-zero only.
     """
     keys, cols = list(keys), list(cols)
     reach = n if method == "average" else min(n, GAUSS_REACH)
-    near = df.select(*keys, "tile", "nbin", *cols, "bin", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_k"))
-    near = (near.select(*keys, "tile", "nbin", (F.col("bin") + F.col("_k")).alias("bin"),
-                        *[F.when(F.col("_k") == 0, F.col(c)).otherwise(0).alias(c) for c in cols])
-            .filter((F.col("bin") >= 0) & (F.col("bin") < F.col("nbin")))
-            .groupBy(*keys, "tile", "bin").agg(F.first("nbin").alias("nbin"), *[F.sum(c).alias(c) for c in cols]))
     w = Window.partitionBy(*keys, "tile").orderBy("bin")
+    b = F.col("bin")
+    stored = df.select(*keys, "tile", "nbin", *cols, "bin", F.lag("bin").over(w).alias("_prev"), F.lead("bin").over(w).alias("_next"))
+    first = F.greatest(b - reach, F.coalesce(F.col("_prev") + 1, F.lit(0)), F.lit(0))
+    last = F.greatest(b, F.least(b + reach, F.coalesce(F.col("_next") - reach - 1, b + reach), F.col("nbin") - 1))
+    near = (stored.select(*keys, "tile", "nbin", *cols, b.alias("_at"), F.explode(F.sequence(first, last)).alias("bin"))
+            .select(*keys, "tile", "nbin", "bin", *[F.when(b == F.col("_at"), F.col(c)).otherwise(0).alias(c) for c in cols]))
     if method == "average":
         frame = w.rangeBetween(-n, n)
         width = F.least(F.col("bin") + n, F.col("nbin") - 1) - F.greatest(F.col("bin") - n, F.lit(0)) + 1

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.tiles import TILE_BP, cut_to_tiles, div, stitch
 
+BUCKET_BP = 8192
+
 
 def tiled_union(df: DataFrame, keys: Sequence[str] = ("chrom",), tile: int = TILE_BP) -> DataFrame:
     """Disjoint cover of the intervals, cut at tile borders: (keys, tile, start, end).
@@ -70,7 +72,7 @@ def combine(a: DataFrame, b: DataFrame, how: str, keys: Sequence[str] = ("chrom"
     return merge_intervals(segs.filter(keep), keys, tile)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, bucket: int = TILE_BP, how: str = "inner",
+def overlap_join(left: DataFrame, right: DataFrame, bucket: int = BUCKET_BP, how: str = "inner",
                  on: Sequence[str] = ("chrom",), left_span: tuple[str, str] = ("start", "end"),
                  right_span: tuple[str, str] = ("start", "end")) -> DataFrame:
     """Pairs of overlapping intervals.

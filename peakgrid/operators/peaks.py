@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import from_fixed, safe_ratio
 from ..functions.scores import evaluate_once, scaled_ratio, with_binomial_score, with_poisson_score
-from ..functions.tiles import TILE_BINS, div, own_rows, spread, stitch
+from ..functions.tiles import TILE_BINS, by_tile, div, own_rows, spread, stitch
 from ..session import cut, derived_lookup
 from .bins import LOCAL_BINS, bin_count, local_mean, smooth_tiles
 
@@ -36,7 +36,7 @@ def peak_presets(mode: str) -> PeakParams:
 
 
 def pair_bins(bins: DataFrame, pairs: DataFrame) -> DataFrame:
-    """ChIP and input of every pair side by side: (label, chrom, bin, c, i), sparse.
+    """ChIP and input of every pair side by side: (label, chrom, bin, c, i), sparse, one row per side.
 
     ``pairs`` = (label, chip, input); an input shared by several pairs is read once
     and copied to each.
@@ -64,7 +64,7 @@ def scored_bins(bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: i
     keys = ["label", "chrom"]
     halo = window // 2 + 2 * smooth
     sided = pair_bins(bins, pairs).join(bin_count(genome, binsize), "chrom")
-    t = (spread(sided, "bin", halo, tile).repartition(*keys, "tile")
+    t = (by_tile(spread(sided, "bin", halo, tile), keys)
          .groupBy(*keys, "tile", "bin").agg(F.first("nbin").alias("nbin"), F.sum("c").alias("c"), F.sum("i").alias("i")))
     if smooth:
         t = smooth_tiles(t, keys, ["c", "i"], smooth, method)

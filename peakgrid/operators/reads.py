@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import FIX, safe_ratio
+from ..functions.scalars import FIX, autosomes, safe_ratio
 from ..functions.tiles import TILE_BP, cut_to_tiles, div
-from ..session import derived_lookup
+from ..session import cut, derived_lookup, lookup
 from .intervals import combine, overlaps_any, overlay
 
 FIXED_FRAGMENT = 150
@@ -188,6 +188,14 @@ def strand_shift_profile(reads: DataFrame, lo: int = 0, hi: int = 1000, pooled:
     return out.withColumn("jaccard", safe_ratio(F.col("n_match"), F.col("n_fwd") + F.col("n_rev") - F.col("n_match")))
 
 
+def estimate_fragment_length(reads: DataFrame, genome: DataFrame, read_length: int = 0, margin: int = 0, lo: int = 0,
+                             hi: int = 1000, include_all: bool = False) -> DataFrame:
+    """Fragment length per sample from the profile pooled over numerically named chromosomes (or all)."""
+    chroms = lookup(autosomes(genome, include_all).select("chrom"))
+    profile = strand_shift_profile(reads.join(chroms, "chrom", "left_semi"), lo, hi, pooled=True)
+    return fragment_length(profile, read_length, margin)
+
+
 def fragment_length(profile: DataFrame, read_length: int = 0, margin: int = 0) -> DataFrame:
     """Shift at the maximum, the peak at the read length left out; smallest shift on ties."""
     p = profile.filter(F.abs(F.col("shift") - read_length) > margin) if read_length else profile
@@ -290,10 +298,9 @@ def genome_coverage(frags: DataFrame, considered: DataFrame) -> DataFrame:
     hit = (both.filter((F.col("n_cov") > 0) & (F.col("n_seg") > 0))
            .groupBy(*by).agg(F.sum(F.col("end") - F.col("start") + 1).alias("covered")))
     base = considered.groupBy("chrom").agg(F.sum(F.col("end") - F.col("start") + 1).alias("considered"))
-    out = with_genome_row(hit.join(base, "chrom").select(*by, "covered", "considered"), ["covered", "considered"])
-    total = base.agg(F.sum("considered")).first()[0] or 0
-    out = out.withColumn("considered", F.when(F.col("chrom") == GENOME_ROW, F.lit(total)).otherwise(F.col("considered")))
-    return out.withColumn("coverage", safe_ratio(F.col("covered"), F.col("considered")))
+    base = base.unionByName(base.agg(F.lit(GENOME_ROW).alias("chrom"), F.sum("considered").alias("considered")))
+    return (with_genome_row(hit, ["covered"]).join(base, "chrom")
+            .withColumn("coverage", safe_ratio(F.col("covered"), F.col("considered"))))
 
 
 def genome_coverage_at(frags: DataFrame, considered: DataFrame, bed: DataFrame | None = None,
@@ -347,7 +354,7 @@ def qc_stats(reads: DataFrame, genome: DataFrame, bed: DataFrame | None = None,
     whole = genome.select("chrom", F.lit(0).alias("start"), (F.col("length") - 1).alias("end"))
     considered = mappable if mappable is not None else whole
     if bed is not None:
-        considered = combine(considered, bed, "subtract")
+        considered = cut(combine(considered, bed, "subtract"))
     cov = genome_coverage(frags, considered).select("sample", "chrom", "covered", "considered", "coverage")
     out = out.join(cov, ["sample", "chrom"], "left")
     if bed is not None:

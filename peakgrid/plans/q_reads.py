@@ -99,7 +99,7 @@ pool AS (SELECT smp, "shift", sum(n_match)::BIGINT AS n, sum(n_match)::DOUBLE /
 SELECT smp, arg_max("shift", n * 1000 - "shift") AS fragment_length, round(max(j), 6) AS jaccard FROM pool
 WHERE abs("shift" - 36) > 5 GROUP BY smp""")
 def reads_fragment_length(t):
-    p = R.fragment_length(R.strand_shift_profile(t.reads, 0, 300, pooled=True), 36, 5)
+    p = R.estimate_fragment_length(t.reads, t.genome, 36, 5, 0, 300)
     return p.selectExpr(SMP, "fragment_length", "round(jaccard, 6) AS jaccard")
 
 

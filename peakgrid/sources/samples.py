@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import SAMPLES
+from ..session import lookup
 
 
 def _binsize(path: str) -> int:
@@ -53,5 +54,5 @@ def signal_paths(sheet: DataFrame) -> list[str]:
 
 def pairs_of(sheet: DataFrame) -> DataFrame:
     """(label, chip, input, panel, layer_no): overlays share the panel of their sample."""
-    return sheet.selectExpr("label", "chip", "input", "coalesce(overlay_of, label) AS panel",
-                            "CASE WHEN overlay_of IS NULL THEN 0 ELSE 1 END AS layer_no")
+    return lookup(sheet.selectExpr("label", "chip", "input", "coalesce(overlay_of, label) AS panel",
+                                   "CASE WHEN overlay_of IS NULL THEN 0 ELSE 1 END AS layer_no"))

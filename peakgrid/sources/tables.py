@@ -6,20 +6,22 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import strip_chr
 from ..operators.reads import GENOME_ROW
+from ..session import lookup
 from .lines import at, base_name, carry_block, fields, ordered_lines, text_lines
 
 
 def read_genome_table(spark: SparkSession, path: str, strip: bool = False) -> DataFrame:
     """(chrom, length, mappable null, ord) in file order; # lines and blank lines are skipped.
 
-    A genome table is one small file; its order is that of its line numbers.
+    A genome table is one small file; its order is that of its line numbers. It
+    comes back counted and marked for broadcast when it is small enough.
     """
     rows = (ordered_lines(spark, path).filter((F.trim("value") != "") & ~F.col("value").startswith("#"))
             .withColumn("f", fields(F.col("value"))))
     name = strip_chr(at("f", 0)) if strip else at("f", 0)
     rank = F.row_number().over(Window.orderBy("block", "line")) - 1
-    return rows.select(name.alias("chrom"), at("f", 1, "int").alias("length"), F.lit(None).cast("long").alias("mappable"),
-                       rank.cast("int").alias("ord"))
+    return lookup(rows.select(name.alias("chrom"), at("f", 1, "int").alias("length"),
+                              F.lit(None).cast("long").alias("mappable"), rank.cast("int").alias("ord")))
 
 
 def read_mappable_table(spark: SparkSession, path: str, strip: bool = False) -> DataFrame:
@@ -32,8 +34,8 @@ def read_mappable_table(spark: SparkSession, path: str, strip: bool = False) ->
 
 def with_mappable(genome: DataFrame, mappable: DataFrame) -> DataFrame:
     """Genome table with the mappable bases as effective size; the length where none are given."""
-    return (genome.drop("mappable").join(mappable, "chrom", "left")
-            .select("chrom", "length", F.coalesce("mappable", F.col("length").cast("long")).alias("mappable"), "ord"))
+    return lookup(genome.drop("mappable").join(mappable, "chrom", "left").select(
+        "chrom", "length", F.coalesce("mappable", F.col("length").cast("long")).alias("mappable"), "ord"))
 
 
 def read_cytoband(spark: SparkSession, path: str) -> DataFrame:
