@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_ratio
 from ..functions.tiles import cut_to_tiles, div
-from ..session import derived_lookup, lookup
+from ..session import lookup
+from .reads import with_length
 
 CHUNK = 16384
 GC_LENGTH = 120
@@ -121,15 +122,15 @@ def gc_genome_distribution(chunks: DataFrame, lengths: DataFrame, w: int, unmapp
     return cells.groupBy("chrom", "gc").agg(F.sum("n").alias("n"))
 
 
-def read_window_start(reads: DataFrame, lengths: DataFrame, flen: int) -> DataFrame:
+def read_window_start(reads: DataFrame, lengths: DataFrame, flen: int | DataFrame) -> DataFrame:
     """First window base of every read: 5 inside the fragment, inside the chromosome."""
     fwd = F.least(F.col("f3") + EDGE, F.col("length") - 1)
-    rev = F.greatest(F.col("f3") - flen + EDGE, F.lit(0))
-    return (reads.join(lookup(lengths.select("chrom", "length")), "chrom")
-            .withColumn("pos", F.when(F.col("strand") == "+", fwd).otherwise(rev).cast("int")).drop("length"))
+    rev = F.greatest(F.col("f3") - F.col("_flen") + EDGE, F.lit(0))
+    return (with_length(reads, flen).join(lookup(lengths.select("chrom", "length")), "chrom")
+            .withColumn("pos", F.when(F.col("strand") == "+", fwd).otherwise(rev).cast("int")).drop("length", "_flen"))
 
 
-def gc_read_distribution(reads: DataFrame, chunks: DataFrame, lengths: DataFrame, flen: int, w: int,
+def gc_read_distribution(reads: DataFrame, chunks: DataFrame, lengths: DataFrame, flen: int | DataFrame, w: int,
                          unmappable: DataFrame | None = None, size: int = CHUNK) -> DataFrame:
     """Histogram of the window GC of reads (chrom, gc, n); windows with an unmappable end are left out."""
     at = read_window_start(reads, lengths, flen).groupBy("chrom", "pos").agg(F.count("*").alias("n"))
@@ -163,7 +164,7 @@ def gc_weight(genome_hist: DataFrame, read_hist: DataFrame, w: int, ignore_depth
     return both.withColumn("weight", weight.otherwise(safe_ratio(F.col("genome_prop"), F.col("reads_prop"))))
 
 
-def gc_reweight(reads: DataFrame, chunks: DataFrame, lengths: DataFrame, weights: DataFrame, flen: int, w: int,
+def gc_reweight(reads: DataFrame, chunks: DataFrame, lengths: DataFrame, weights: DataFrame, flen: int | DataFrame, w: int,
                 size: int = CHUNK) -> DataFrame:
     """Read weight x weight of its window GC; unchanged where the window holds another letter."""
     placed = read_window_start(reads, lengths, flen)

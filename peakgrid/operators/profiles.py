@@ -64,7 +64,7 @@ def _check_width(width: int, binsize: int) -> int:
 
 
 def window_profile(sites: DataFrame, values: DataFrame, labels: DataFrame, binsize: int, width: int) -> DataFrame:
-    """Site x offset values around (site, chrom, pos, strand); long form (label, site, offset, value).
+    """Site x offset values around (site, chrom, pos, strand); long form (label, chrom, site, offset, value).
 
     Rows of the - strand are reversed. Bins without signal are 0 and present.
     """
@@ -79,7 +79,7 @@ def window_profile(sites: DataFrame, values: DataFrame, labels: DataFrame, binsi
     rows = every.join(hit, ["chrom", "centre", "label"], "left")
     sign = F.when(F.col("strand") == "-", -1).otherwise(1)
     return (rows.withColumn("offset", F.explode(F.sequence(F.lit(-half), F.lit(half))))
-            .select("label", "site", "offset",
+            .select("label", "chrom", "site", "offset",
                     F.coalesce(F.try_element_at("m", F.col("offset") * sign), F.lit(0.0)).alias("value")))
 
 
@@ -106,8 +106,8 @@ def profile_tes(genes: DataFrame, bins: DataFrame, pairs: DataFrame, genome: Dat
 
 def profile_sites(bed: DataFrame, bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: int,
                   width: int = PROFILE_WIDTH, stype: int = 0) -> DataFrame:
-    """Values around the interval midpoints, never reversed."""
-    sites = bed.select(F.col("name").alias("site"), "chrom", F.lit("+").alias("strand"),
+    """Values around the interval midpoints, never reversed; a site is named chrom-start-end."""
+    sites = bed.select(F.concat_ws("-", "chrom", "start", "end").alias("site"), "chrom", F.lit("+").alias("strand"),
                        div(F.col("start") + F.col("end"), 2).alias("pos"))
     return window_profile(valid_sites(sites, genome, width), value_bins(bins, pairs, stype), pairs, binsize, width)
 
@@ -148,55 +148,57 @@ def _gene_blocks(genes: DataFrame, genome: DataFrame, binsize: int, width: int |
                     _trunc_bin(F.when(fwd, fe).otherwise(re_), binsize).alias("ebin"))
 
 
-def range_values(ranges: DataFrame, values: DataFrame) -> DataFrame:
-    """Sum and maximum of the values in every distinct (chrom, sbin, ebin) with any signal, per label."""
+def range_bins(ranges: DataFrame, values: DataFrame) -> DataFrame:
+    """The values in every distinct (chrom, sbin, ebin)."""
     distinct = ranges.filter(F.col("ebin") >= F.col("sbin")).select("chrom", "sbin", "ebin").distinct()
-    return (distinct.withColumn("bin", F.explode(F.sequence("sbin", "ebin")))
-            .join(values, ["chrom", "bin"])
-            .groupBy("chrom", "sbin", "ebin", "label").agg(F.sum("value").alias("total"), F.max("value").alias("top")))
+    return distinct.withColumn("bin", F.explode(F.sequence("sbin", "ebin"))).join(values, ["chrom", "bin"])
 
 
-def _with_values(ranges: DataFrame, values: DataFrame, labels: DataFrame) -> DataFrame:
-    hit = range_values(ranges, values)
-    every = ranges.withColumn("label", F.explode(F.array(*[F.lit(r[0]) for r in labels.select("label").collect()])))
+def _block_means(blocks: DataFrame, values: DataFrame, labels: DataFrame) -> DataFrame:
+    hit = range_bins(blocks, values).groupBy("chrom", "sbin", "ebin", "label").agg(F.sum("value").alias("total"))
+    every = blocks.withColumn("label", F.explode(F.array(*[F.lit(r[0]) for r in labels.select("label").collect()])))
     out = every.join(hit, ["chrom", "sbin", "ebin", "label"], "left")
     width = F.col("ebin") - F.col("sbin") + 1
-    return (out.withColumn("mean", F.when(width > 0, F.coalesce(safe_ratio(F.col("total"), width), F.lit(0.0))).otherwise(0.0))
-            .withColumn("top", F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(0.0))))
+    mean = F.when(width > 0, F.coalesce(safe_ratio(F.col("total"), width), F.lit(0.0))).otherwise(0.0)
+    return out.select("label", "chrom", "site", (F.col("block") - GENE_BLOCKS).alias("offset"), mean.alias("value"))
 
 
 def profile_gene_body(genes: DataFrame, bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: int,
                       stype: int = 0) -> DataFrame:
     """300 columns per gene, -100..199: one gene length up, the body, one gene length down; mean per block."""
     blocks = _gene_blocks(genes, genome, binsize, None)
-    return _with_values(blocks, value_bins(bins, pairs, stype), pairs).select(
-        "label", "site", (F.col("block") - GENE_BLOCKS).alias("offset"), F.col("mean").alias("value"))
+    return _block_means(blocks, value_bins(bins, pairs, stype), pairs)
 
 
 def profile_gene_body_fixed(genes: DataFrame, bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: int,
                             width: int = PROFILE_WIDTH, stype: int = 0) -> DataFrame:
     """As the gene body profile with flanks of fixed width; the body blocks span the gene."""
     blocks = _gene_blocks(genes, genome, binsize, width)
-    return _with_values(blocks, value_bins(bins, pairs, stype), pairs).select(
-        "label", "site", (F.col("block") - GENE_BLOCKS).alias("offset"), F.col("mean").alias("value"))
+    return _block_means(blocks, value_bins(bins, pairs, stype), pairs)
 
 
-def site_matrix_long(bed: DataFrame, bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: int,
-                     how: str = "mean", stype: int = 0) -> DataFrame:
-    """Mean or maximum signal of every interval and pair; intervals outside the chromosome are left out."""
+def site_matrix(bed: DataFrame, bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: int,
+                how: str = "mean", stype: int = 0) -> DataFrame:
+    """One row per interval, one column per pair label: mean or maximum of its bins.
+
+    Intervals outside the chromosome are left out. Every distinct bin range is
+    looked up once for all labels; equal intervals keep their rows.
+    """
+    labels = [r[0] for r in pairs.select("label").collect()]
     inside = (bed.join(genome.select("chrom", "length"), "chrom")
               .filter((F.col("start") >= 0) & (F.col("end") < F.col("length"))).drop("length")
               .withColumn("sbin", div("start", binsize)).withColumn("ebin", div(F.col("end") - 1, binsize)))
-    out = _with_values(inside, value_bins(bins, pairs, stype), pairs)
-    return out.select("chrom", "start", "end", "name", "label", F.col("mean" if how == "mean" else "top").alias("value"))
+    of = {l: F.when(F.col("label") == l, F.col("value")) for l in labels}
+    cells = [(F.sum(of[l]) if how == "mean" else F.max(of[l])).alias(l) for l in labels]
+    hit = (range_bins(inside, value_bins(bins, pairs, stype)).groupBy("chrom", "sbin", "ebin").agg(*cells))
+    width = F.col("ebin") - F.col("sbin") + 1
 
+    def cell(label: str) -> Column:
+        v = F.coalesce(F.col(f"`{label}`"), F.lit(0.0))
+        return (safe_ratio(v, width) if how == "mean" else F.greatest(v, F.lit(0.0))).alias(label)
 
-def site_matrix(bed: DataFrame, bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: int,
-                how: str = "mean", stype: int = 0) -> DataFrame:
-    """One row per interval, one column per pair label."""
-    labels = [r[0] for r in pairs.select("label").collect()]
-    long = site_matrix_long(bed, bins, pairs, genome, binsize, how, stype)
-    return long.groupBy("chrom", "start", "end", "name").pivot("label", labels).agg(F.first("value"))
+    return (inside.join(hit, ["chrom", "sbin", "ebin"], "left")
+            .select("chrom", "start", "end", "name", *[cell(l) for l in labels]))
 
 
 def aggregate_profile(profile: DataFrame) -> DataFrame:
@@ -214,23 +216,27 @@ def profile_limits(aggregated: DataFrame, from_zero: bool = True) -> DataFrame:
 
 
 def profile_wide(profile: DataFrame, offsets: Sequence[int]) -> DataFrame:
-    """Site x offset matrix per label."""
-    return profile.groupBy("label", "site").pivot("offset", list(offsets)).agg(F.first("value"))
+    """Site x offset matrix per label. Equal sites have equal values and keep their number of rows."""
+    cells = [F.max(F.when(F.col("offset") == o, F.col("value"))).alias(str(o)) for o in offsets]
+    copies = F.count(F.when(F.col("offset") == offsets[0], 1)).cast("int").alias("_n")
+    wide = profile.groupBy("label", "chrom", "site").agg(copies, *cells)
+    return (wide.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+            .select("label", "site", *[str(o) for o in offsets]))
 
 
-def heatmap_order(profile: DataFrame, ref: str, vmax: float, column: int, sort: bool = True) -> DataFrame:
+def heatmap_order(profile: DataFrame, ref: str, vmax: float, column: int = 0, sort: bool = True) -> DataFrame:
     """Profile with the row rank of every site and values clipped to [0, vmax].
 
-    The rank is by descending value of ``column`` in the reference label, then
-    by site. Ranks come from value ranges: a range partitioned sort numbers the
-    rows inside a range and adds the rows of the ranges before it.
+    The rank is by descending value of ``column`` in the reference label, then by
+    site; equal sites share it.
     """
     out = profile.withColumn("value", F.least(F.greatest("value", F.lit(0.0)), F.lit(float(vmax))))
     if not sort:
         return out
     key = (profile.filter((F.col("label") == ref) & (F.col("offset") == column))
-           .select("site", F.col("value").alias("_key")))
-    return out.join(global_rank(key, [F.col("_key").desc(), F.col("site").asc()], "row_rank").select("site", "row_rank"), "site")
+           .groupBy("chrom", "site").agg(F.max("value").alias("_key")))
+    rank = global_rank(key, [F.col("_key").desc(), F.col("site").asc(), F.col("chrom").asc()], "row_rank")
+    return out.join(rank.select("chrom", "site", "row_rank"), ["chrom", "site"])
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str, parts: int = 64) -> DataFrame:

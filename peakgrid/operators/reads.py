@@ -29,12 +29,20 @@ def pair_filter(reads: DataFrame, max_insert: int = MAX_INSERT) -> DataFrame:
             .withColumn("flen", F.abs("tlen")))
 
 
-def extend(reads: DataFrame, flen: int = FIXED_FRAGMENT) -> DataFrame:
+def with_length(df: DataFrame, flen: int | DataFrame) -> DataFrame:
+    """Add ``_flen``: one fragment length, or that of each sample (sample, fragment_length)."""
+    if isinstance(flen, DataFrame):
+        lengths = lookup(flen.select("sample", F.col("fragment_length").cast("int").alias("_flen")))
+        return df.join(lengths, "sample")
+    return df.withColumn("_flen", F.lit(int(flen)))
+
+
+def extend(reads: DataFrame, flen: int | DataFrame = FIXED_FRAGMENT) -> DataFrame:
     """Single-end reads: the other fragment end by strand; known ends stay."""
-    f5 = F.when(F.col("strand") == "+", F.col("f3") + flen).otherwise(F.col("f3") - flen)
+    f5 = F.when(F.col("strand") == "+", F.col("f3") + F.col("_flen")).otherwise(F.col("f3") - F.col("_flen"))
     if "f5" in reads.columns:
         f5 = F.coalesce(F.col("f5"), f5)
-    return reads.withColumn("f5", f5.cast("int"))
+    return with_length(reads, flen).withColumn("f5", f5.cast("int")).drop("_flen")
 
 
 def fragments(reads: DataFrame, genome: DataFrame, rcenter: int = 0) -> DataFrame:
@@ -103,7 +111,7 @@ def site_counts(reads: DataFrame, threshold: int = 1, paired: bool = False) -> D
             .withColumn("n_nonred", F.least("n", F.lit(int(threshold)).cast("long"))))
 
 
-def site_fragments(reads: DataFrame, genome: DataFrame, flen: int = FIXED_FRAGMENT, threshold: int = 1,
+def site_fragments(reads: DataFrame, genome: DataFrame, flen: int | DataFrame = FIXED_FRAGMENT, threshold: int = 1,
                    paired: bool = False, rcenter: int = 0) -> DataFrame:
     """Nonredundant fragments of reads with equal weight, folded by site.
 
@@ -245,9 +253,10 @@ def effective_size(genome: DataFrame) -> DataFrame:
                          F.coalesce("mappable", F.col("length").cast("long")).alias("mappable"))
 
 
-def read_depth(counts: DataFrame, flen: int) -> DataFrame:
+def read_depth(counts: DataFrame, flen: int | DataFrame) -> DataFrame:
     """n_nonred x flen / mappable length on rows that carry both."""
-    return counts.withColumn("depth", safe_ratio(F.col("n_nonred") * float(flen), F.col("mappable")))
+    bases = F.col("n_nonred") * F.col("_flen").cast("double")
+    return with_length(counts, flen).withColumn("depth", safe_ratio(bases, F.col("mappable"))).drop("_flen")
 
 
 def read_counts(reads: DataFrame, genome: DataFrame, threshold: int = 1, paired: bool = False) -> DataFrame:
@@ -333,7 +342,7 @@ def most_frequent_length(hist: DataFrame) -> DataFrame:
         F.max_by("len", F.struct(F.col("n"), (-F.col("len")).alias("tie"))).alias("len"), F.max("n").alias("n"))
 
 
-def qc_stats(reads: DataFrame, genome: DataFrame, bed: DataFrame | None = None, flen: int = FIXED_FRAGMENT,
+def qc_stats(reads: DataFrame, genome: DataFrame, bed: DataFrame | None = None, flen: int | DataFrame = FIXED_FRAGMENT,
              threshold: int = 1, norm: str = "NONE", nrpm: int = 20_000_000, ndepth: float = 1.0,
              mappable: DataFrame | None = None, weighted: DataFrame | None = None) -> DataFrame:
     """Quality table: one ``Genome`` row and the chromosome rows of every sample.
@@ -358,7 +367,7 @@ def qc_stats(reads: DataFrame, genome: DataFrame, bed: DataFrame | None = None,
     cov = genome_coverage(frags, considered).select("sample", "chrom", "covered", "considered", "coverage")
     out = out.join(cov, ["sample", "chrom"], "left")
     if bed is not None:
-        inbed = frip(frags, bed, flen).select("sample", "chrom", "n_inbed", "frip")
+        inbed = frip(frags, bed, None if isinstance(flen, DataFrame) else flen).select("sample", "chrom", "n_inbed", "frip")
         out = out.join(inbed, ["sample", "chrom"], "left")
     if weighted is not None:
         per = weighted.groupBy("sample", "chrom").agg(

@@ -38,19 +38,15 @@ def count_reads(reads: DataFrame, genome: DataFrame, binsize: int = 100, flen: i
     """Filter, extend, weight, count and normalise reads; with quality statistics.
 
     ``flen`` None estimates the fragment length of each sample from the strand
-    shift; samples are then handled one by one, as the length is a parameter of
-    the later steps. ``threshold`` None takes the rule 10 x expected reads.
+    shift. ``threshold`` None takes the rule 10 x expected reads, the largest over
+    the samples.
     """
     if paired:
         reads = R.pair_filter(reads, max_insert)
-    if flen is None and not paired:
-        found = R.estimate_fragment_length(reads, genome, read_length, 5 if read_length else 0).collect()
-        parts = [count_reads(reads.filter(F.col("sample") == r["sample"]), genome, binsize, int(r["fragment_length"]),
-                             read_length, False, max_insert, threshold, keep_duplicates, multimap, rcenter, read_ends_only,
-                             norm, nrpm, ndepth, bed, mappable, bin_mappability, chunks, flen4gc, ncmp) for r in found]
-        return Counted(*[reduce(DataFrame.unionByName, [getattr(p, f) for p in parts])
-                         for f in ("bins", "stats", "distribution", "complexity")], parts[0].gc_weights)
-    flen = flen or R.FIXED_FRAGMENT
+    if paired:
+        flen = flen or R.FIXED_FRAGMENT
+    elif flen is None:
+        flen = cut(R.estimate_fragment_length(reads, genome, read_length, 5 if read_length else 0))
     if threshold is None:
         top = R.duplicate_threshold(reads, genome).agg(F.max("threshold")).first()[0]
         threshold = int(top or 1)
@@ -76,10 +72,11 @@ def count_reads(reads: DataFrame, genome: DataFrame, binsize: int = 100, flen: i
                    R.library_complexity(reads, ncmp, threshold, paired), gc_weights)
 
 
-def gc_normalise(reads: DataFrame, chunks: DataFrame, genome: DataFrame, flen: int, flen4gc: int = GC.GC_LENGTH,
+def gc_normalise(reads: DataFrame, chunks: DataFrame, genome: DataFrame, flen: int | DataFrame, flen4gc: int = GC.GC_LENGTH,
                  unmappable: DataFrame | None = None, size: int = GC.CHUNK) -> tuple[DataFrame, DataFrame]:
     """Reads with GC weights and the weight table, from the chromosome with the most mappable bases."""
-    w = GC.window_length(flen, flen4gc)
+    shortest = flen.agg(F.min("fragment_length")).first()[0] if isinstance(flen, DataFrame) else flen
+    w = GC.window_length(shortest, flen4gc)
     longest = F.col("chrom") == B.longest_chrom(genome).first()["chrom"]
     one = chunks.filter(longest)
     hist = GC.gc_genome_distribution(one, genome, w, unmappable, size)
@@ -89,17 +86,24 @@ def gc_normalise(reads: DataFrame, chunks: DataFrame, genome: DataFrame, flen: i
 
 
 def load_signals(spark: SparkSession, sheet: DataFrame, strip: bool = False) -> DataFrame:
-    """Bins of every signal file of the sheet, each read once; the sample is the path."""
-    sizes = {r["chip"]: r["binsize"] for r in sheet.select("chip", "binsize").collect()}
-    sizes |= {r["input"]: r["binsize"] for r in sheet.filter("input IS NOT NULL").select("input", "binsize").collect()}
+    """Bins of every signal file of the sheet, each read once; the sample is the path.
+
+    Files of one format and bin size are one scan.
+    """
+    rows = sheet.select("chip", "input", "binsize").collect()  # the sheet is a parameter table
+    groups: dict[tuple[str, int], set[str]] = {}
+    for r in rows:
+        for path in filter(None, (r["chip"], r["input"])):
+            groups.setdefault((signals.format_of(path), r["binsize"]), set()).add(path)
     parts = []
-    for path, size in sorted(sizes.items()):
-        if path.lower().endswith(("bedgraph", "bedgraph.gz")):
-            parts.append(signals.read_bedgraph(spark, path, path, size, strip))
-        elif path.endswith((".wig", ".wiggle", ".wig.gz", ".wiggle.gz")):
-            parts.append(signals.read_wig(spark, path, path, size, strip))
+    for (kind, size), paths in sorted(groups.items()):
+        names = {p: p for p in sorted(paths)}
+        if kind == "BEDGRAPH":
+            parts.append(signals.read_bedgraph(spark, names, None, size, strip))
+        elif kind == "WIG":
+            parts.append(signals.read_wig(spark, names, None, size, strip))
         else:
-            parts.append(signals.read_bins(spark, path).withColumn("sample", F.lit(path)))
+            parts += [signals.read_bins(spark, p).withColumn("sample", F.lit(p)) for p in names]
     return reduce(DataFrame.unionByName, parts)
 
 

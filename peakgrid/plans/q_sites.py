@@ -28,7 +28,7 @@ RATIO = """+ chipbins AS (SELECT a.chrom, a.bin, a.v::DOUBLE / b.v AS r FROM bin
 CANON = "gtype NOT IN ('nonsense_mediated_decay', 'processed_transcript', 'retained_intron')"
 TSS = f"sites0 AS (SELECT tid AS site, chrom, strand, CASE WHEN strand = '+' THEN tx_start ELSE tx_end END AS pos FROM genes WHERE {CANON})"
 TES = f"sites0 AS (SELECT tid AS site, chrom, strand, CASE WHEN strand = '+' THEN tx_end ELSE tx_start END AS pos FROM genes WHERE {CANON})"
-MID = "sites0 AS (SELECT name AS site, chrom, '+' AS strand, (s + e) // 2 AS pos FROM sites)"
+MID = "sites0 AS (SELECT chrom || '-' || s || '-' || e AS site, chrom, '+' AS strand, (s + e) // 2 AS pos FROM sites)"
 AGG = """
 SELECT 'S1' AS label, "offset", round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, count(*) AS n,
  round(1.96::DOUBLE * coalesce(stddev_samp(value), 0) / sqrt(count(*)), 6) AS ci FROM prof GROUP BY "offset\""""
@@ -130,7 +130,7 @@ def sites_matrix_log1p(t):
 
 
 @query("sites_heatmap", "bins sites", CHIP + window_sql(MID) + """,
-k AS (SELECT site, row_number() OVER (ORDER BY value DESC, site) - 1 AS row_rank FROM prof WHERE "offset" = 0)
+k AS (SELECT site, row_number() OVER (ORDER BY value DESC, site) - 1 AS row_rank FROM (SELECT DISTINCT site, value FROM prof WHERE "offset" = 0))
 SELECT site, "offset", row_rank, round(least(greatest(value, 0), 3), 6) AS value FROM prof JOIN k USING (site)""")
 def sites_heatmap(t):
     p = PR.profile_sites(t.sites, t.bins, t.pairs, t.genome, BIN, WIDTH)

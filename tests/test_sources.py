@@ -253,15 +253,15 @@ def test_tables_out(spark, genome, tmp_path):
     sinks.write_bin_distribution(B.bin_value_distribution(b, genome, 100), genome, str(tmp_path / "d"))
     text = "".join(open(f).read() for f in glob.glob(str(tmp_path / "d" / "sample=a" / "part-*")))
     assert len(text.splitlines()) == 201 and text.splitlines()[2].startswith("1\t9\t")
-    bed = spark.createDataFrame([("chr1", 400, 600, "x"), ("chr2", 0, 900, "out")], "chrom string, start int, end int, name string")
+    bed = spark.createDataFrame([("chr1", 400, 600, "x"), ("chr1", 400, 600, "x"), ("chr2", 0, 900, "out")], "chrom string, start int, end int, name string")
     m = PR.site_matrix(bed, b, pairs, genome, 100)
     sinks.write_site_matrix(m, str(tmp_path / "m"), True)
     text = "".join(open(f).read() for f in glob.glob(str(tmp_path / "m" / "part-*")))
-    assert text.splitlines() == ["chromosome\tstart\tend\tname\tS", "chr1\t400\t600\tx\t11.0"]
+    assert text.splitlines() == ["chromosome\tstart\tend\tname\tS"] + ["chr1\t400\t600\tx\t11.0"] * 2
     prof = PR.profile_sites(bed.filter("name = 'x'"), b, pairs, genome, 100, 200)
     sinks.write_profile_matrix(PR.profile_wide(prof, range(-2, 3)), str(tmp_path / "w"), 100)
     text = "".join(open(f).read() for f in glob.glob(str(tmp_path / "w" / "label=S" / "part-*")))
-    assert text.splitlines() == ["site\t-200\t-100\t0\t100\t200", "x\t1.0\t1.0\t21.0\t1.0\t1.0"]
+    assert text.splitlines() == ["site\t-200\t-100\t0\t100\t200"] + ["chr1-400-600\t1.0\t1.0\t21.0\t1.0\t1.0"] * 2
     w = GC.gc_weight(spark.createDataFrame([(0, 5), (1, 5)], "gc int, n long"), spark.createDataFrame([(1, 5)], "gc int, n long"), 1)
     sinks.write_gc_distribution(w, str(tmp_path / "gc"))
     text = "".join(open(f).read() for f in glob.glob(str(tmp_path / "gc" / "part-*")))
