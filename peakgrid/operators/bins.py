@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import FIX, fixed_divide, fixed_multiply, safe_ratio, to_fixed
 from ..functions.tiles import TILE_BINS, by_tile, cut_to_tiles, div, own_rows, spread
-from ..session import derived_lookup
+from ..session import derived_lookup, lookup
 from .intervals import tiled_union
 from .reads import FIXED_FRAGMENT, GENOME_ROW, with_genome_row
 
@@ -24,7 +24,7 @@ GAUSS_REACH = 12
 
 
 def bin_count(genome: DataFrame, binsize: int) -> DataFrame:
-    return genome.select("chrom", (div("length", binsize) + 1).alias("nbin"))
+    return lookup(genome).select("chrom", (div("length", binsize) + 1).alias("nbin"))
 
 
 def tiled(bins: DataFrame, halo: int, genome: DataFrame, binsize: int, tile: int = TILE_BINS,

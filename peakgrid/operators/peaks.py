@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import from_fixed, safe_ratio
 from ..functions.scores import evaluate_once, scaled_ratio, with_binomial_score, with_poisson_score
 from ..functions.tiles import TILE_BINS, by_tile, div, own_rows, spread, stitch
-from ..session import cut, derived_lookup
+from ..session import cut, derived_lookup, lookup
 from .bins import LOCAL_BINS, bin_count, local_mean, smooth_tiles
 
 
@@ -46,7 +46,7 @@ def pair_bins(bins: DataFrame, pairs: DataFrame) -> DataFrame:
         F.struct(F.col("chip").alias("sample"), F.lit(True).alias("is_chip")),
         F.struct(F.col("input").alias("sample"), F.lit(False).alias("is_chip")))).alias("r"))
     roles = roles.select("label", "r.*").filter(F.col("sample").isNotNull())
-    return (bins.join(roles, "sample")
+    return (bins.join(lookup(roles), "sample")
             .select("label", "chrom", "bin", F.when(F.col("is_chip"), F.col("v")).otherwise(zero).alias("c"),
                     F.when(~F.col("is_chip"), F.col("v")).otherwise(zero).alias("i")))
 
@@ -139,7 +139,7 @@ def number_peaks(peaks: DataFrame, genome: DataFrame) -> DataFrame:
     small table of stretch sizes, so no task sorts all peaks of a sample.
     """
     step = 1 << 24
-    p = cut(peaks).join(genome.select("chrom", "ord"), "chrom").withColumn("_s", div("start", step))
+    p = cut(peaks).join(lookup(genome).select("chrom", "ord"), "chrom").withColumn("_s", div("start", step))
     sizes = p.groupBy("sample", "ord", "_s").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("sample").orderBy("ord", "_s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("sample", "ord", "_s", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import from_fixed, safe_ratio
 from ..functions.tiles import div
+from ..session import cut, lookup
 
 NONCANONICAL = ["nonsense_mediated_decay", "processed_transcript", "retained_intron"]  # fixed values
 GENE_BLOCKS = 100
@@ -25,21 +26,21 @@ def drop_noncanonical_biotypes(genes: DataFrame) -> DataFrame:
 
 def valid_sites(sites: DataFrame, genome: DataFrame, width: int, pos: str = "pos") -> DataFrame:
     """Sites whose window stays inside the chromosome."""
-    return (sites.join(genome.select("chrom", "length"), "chrom")
+    return (sites.join(lookup(genome).select("chrom", "length"), "chrom")
             .filter((F.col(pos) - width >= 0) & (F.col(pos) + width < F.col("length"))).drop("length"))
 
 
 def site_counts(sites: DataFrame, genome: DataFrame, width: int, pos: str = "pos") -> DataFrame:
     """Number of sites and of those left out."""
     inside = (F.col(pos) - width >= 0) & (F.col(pos) + width < F.col("length"))
-    return (sites.join(genome.select("chrom", "length"), "chrom")
+    return (sites.join(lookup(genome).select("chrom", "length"), "chrom")
             .agg(F.count("*").alias("n_sites"), F.sum((~inside).cast("long")).alias("n_skipped")))
 
 
 def gene_loci_regions(genes: DataFrame, names: DataFrame, genome: DataFrame, flank: int = LOCUS_FLANK) -> DataFrame:
     """Regions around the listed genes, inside the chromosome."""
     return (genes.join(names.select(F.col("name").alias("gname")).distinct(), "gname", "left_semi")
-            .join(genome.select("chrom", "length"), "chrom")
+            .join(lookup(genome).select("chrom", "length"), "chrom")
             .select("chrom", F.greatest(F.col("tx_start") - flank, F.lit(0)).alias("start"),
                     F.least(F.col("tx_end") + flank, F.col("length") - 1).alias("end"), F.col("gname").alias("name")))
 
@@ -47,7 +48,7 @@ def gene_loci_regions(genes: DataFrame, names: DataFrame, genome: DataFrame, fla
 def value_bins(bins: DataFrame, pairs: DataFrame, stype: int = 0) -> DataFrame:
     """Values to profile: 0 the ChIP signal, 1 ChIP / input per bin -> (label, chrom, bin, value)."""
     if stype == 0:
-        one = pairs.select("label", F.col("chip").alias("sample"))
+        one = lookup(pairs).select("label", F.col("chip").alias("sample"))
         return bins.join(one, "sample").select("label", "chrom", "bin", from_fixed(F.col("v")).alias("value"))
     from .peaks import pair_bins
     side = (pair_bins(bins, pairs).groupBy("label", "chrom", "bin")
@@ -119,7 +120,7 @@ def _trunc_bin(x: Column, binsize: int) -> Column:
 def _gene_blocks(genes: DataFrame, genome: DataFrame, binsize: int, width: int | None) -> DataFrame:
     """300 blocks per gene: upstream, body, downstream, with their closed bin range."""
     n = GENE_BLOCKS
-    g = drop_noncanonical_biotypes(genes).join(genome.select("chrom", "length"), "chrom")
+    g = drop_noncanonical_biotypes(genes).join(lookup(genome).select("chrom", "length"), "chrom")
     body = (F.col("tx_end") - F.col("tx_start")).cast("double")
     flank = F.lit(float(width)) if width is not None else body
     g = g.withColumn("_body", body).withColumn("_flank", flank)
@@ -185,7 +186,7 @@ def site_matrix(bed: DataFrame, bins: DataFrame, pairs: DataFrame, genome: DataF
     looked up once for all labels; equal intervals keep their rows.
     """
     labels = [r[0] for r in pairs.select("label").collect()]
-    inside = (bed.join(genome.select("chrom", "length"), "chrom")
+    inside = (bed.join(lookup(genome).select("chrom", "length"), "chrom")
               .filter((F.col("start") >= 0) & (F.col("end") < F.col("length"))).drop("length")
               .withColumn("sbin", div("start", binsize)).withColumn("ebin", div(F.col("end") - 1, binsize)))
     of = {l: F.when(F.col("label") == l, F.col("value")) for l in labels}
@@ -239,9 +240,9 @@ def heatmap_order(profile: DataFrame, ref: str, vmax: float, column: int = 0, so
     return out.join(rank.select("chrom", "site", "row_rank"), ["chrom", "site"])
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], name: str, parts: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[Column], name: str, parts: int | None = None) -> DataFrame:
     """0-based rank over the whole table without one task sorting all rows."""
-    from ..session import cut
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
                  .withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_lo"))

@@ -54,7 +54,7 @@ def fragments(reads: DataFrame, genome: DataFrame, rcenter: int = 0) -> DataFram
         s = F.when(twice >= 0, F.floor(twice / 2)).otherwise(F.ceil(twice / 2)).cast("int")
         e = s + rcenter
     return (reads.withColumn("start", s).withColumn("end", e)
-            .join(genome.select("chrom", "length"), "chrom")
+            .join(lookup(genome).select("chrom", "length"), "chrom")
             .withColumn("start", F.greatest("start", F.lit(0)))
             .withColumn("end", F.least("end", F.col("length") - 1)).drop("length"))
 

@@ -27,12 +27,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _is_marked(df: DataFrame) -> bool:
+    """Whether a broadcast mark sits on the table, below projections and filters at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    while True:
+        if plan.nodeName() == "ResolvedHint":
+            return True
+        if plan.children().size() != 1:
+            return False
+        plan = plan.children().apply(0)
+
+
 def lookup(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a lookup table for broadcast when it is counted and found small.
 
     Tables with more than ``limit`` rows come back unmarked, so the join is
-    planned as a shuffle join with the adaptive skew handling.
+    planned as a shuffle join with the adaptive skew handling. A table that was
+    marked before is not counted again.
     """
+    if _is_marked(df):
+        return df
     if df.limit(limit + 1).count() <= limit:
         return F.broadcast(df)
     return df

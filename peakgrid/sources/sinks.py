@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tiles import TILE_BINS, div
 from ..operators.reads import GENOME_ROW
+from ..session import lookup
 
 
 def _number(v: Column, is_float: bool) -> Column:
@@ -21,7 +22,7 @@ def write_wig(bins: DataFrame, genome: DataFrame, path: str, binsize: int, is_fl
     ``zeros`` keeps zero rows; the signal must then be dense.
     """
     data = bins if zeros else bins.filter(F.col("v") != 0)
-    rows = data.join(genome.select("chrom", "ord"), "chrom").withColumn("tile", div("bin", tile))
+    rows = data.join(lookup(genome).select("chrom", "ord"), "chrom").withColumn("tile", div("bin", tile))
     header = rows.select("sample", "ord", "tile", "chrom").distinct().select(
         "sample", "ord", "tile", F.lit(-1).alias("bin"),
         F.concat(F.lit("variableStep\tchrom="), "chrom", F.lit(f"\tspan={binsize}")).alias("value"))
@@ -38,7 +39,7 @@ def write_bedgraph(bins: DataFrame, genome: DataFrame, path: str, binsize: int,
                    zeros: bool = False, gzip: bool = False) -> None:
     """bedGraph per sample by chromosome and start; the last bin ends at length - 1."""
     data = bins if zeros else bins.filter(F.col("v") != 0)
-    rows = data.join(genome.select("chrom", "length"), "chrom")
+    rows = data.join(lookup(genome).select("chrom", "length"), "chrom")
     start = F.col("bin") * binsize
     end = F.when(F.col("bin") == div("length", binsize), F.col("length") - 1).otherwise(start + binsize)
     out = rows.select("sample", "chrom", start.alias("start"), end.alias("end"), _number(F.col("v"), is_float).alias("v"))
