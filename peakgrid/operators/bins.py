@@ -231,15 +231,25 @@ def chip_input_ratio(bins: DataFrame, pairs: DataFrame, norm: int = 0) -> DataFr
 
 # ---- distributions -------------------------------------------------------------
 
+def value_histogram(bins: DataFrame, by: Sequence[str] = ("sample", "chrom")) -> DataFrame:
+    """Number of bins per stored value."""
+    return bins.groupBy(*by, "v").agg(F.count("*").alias("n"))
+
+
 def nonzero_percentile(bins: DataFrame, p: float, by: Sequence[str] = ("sample", "chrom")) -> DataFrame:
-    """Element int(n*p) of the sorted non-zero values, exactly.
+    """Element int(n*p) of the sorted non-zero values, exactly."""
+    return histogram_percentile(value_histogram(bins, by), p, by)
+
+
+def histogram_percentile(hist: DataFrame, p: float, by: Sequence[str] = ("sample", "chrom")) -> DataFrame:
+    """The percentile from value counts.
 
-    Values are counted first; a coarse histogram finds the 1024-wide value range
-    of the wanted rank, and only that range is ranked value by value.
+    A coarse histogram finds the 1024-wide value range of the wanted rank, and
+    only that range is ranked value by value.
     """
     by = list(by)
     run = Window.unboundedPreceding
-    hist = bins.filter(F.col("v") != 0).groupBy(*by, "v").agg(F.count("*").alias("n"))
+    hist = hist.filter(F.col("v") != 0)
     coarse = hist.groupBy(*by, F.shiftright("v", 10).alias("g")).agg(F.sum("n").alias("gn"))
     w = Window.partitionBy(*by)
     ranked = coarse.select(*by, "g", "gn", F.sum("gn").over(w.orderBy("g").rowsBetween(run, 0)).alias("upto"),
@@ -259,10 +269,11 @@ def bin_value_distribution(bins: DataFrame, genome: DataFrame, binsize: int, val
     Zero bins are counted from the bin count. Chromosome rows and a genome row.
     """
     by = ["sample", "chrom"]
-    cutoff = nonzero_percentile(bins, p)
-    hist = (bins.filter(F.col("v") >= 0).groupBy(*by, div(F.col("v"), FIX).alias("value"))
-            .agg(F.sum((F.col("v") != 0).cast("long")).alias("n")))
-    stored = bins.groupBy(*by).agg(F.sum((F.col("v") != 0).cast("long")).alias("stored"))
+    values_of = value_histogram(bins)
+    cutoff = histogram_percentile(values_of, p)
+    nonzero = F.sum(F.when(F.col("v") != 0, F.col("n")).otherwise(0))
+    hist = (values_of.filter(F.col("v") >= 0).groupBy(*by, div(F.col("v"), FIX).alias("value")).agg(nonzero.alias("n")))
+    stored = values_of.groupBy(*by).agg(nonzero.alias("stored"))
     sizes = stored.join(bin_count(genome, binsize), "chrom")
     zeros = sizes.select(*by, F.lit(0).alias("value"), (F.col("nbin") - F.col("stored")).alias("n"))
     counts = (hist.unionByName(zeros).join(cutoff, by)

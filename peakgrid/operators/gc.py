@@ -21,6 +21,9 @@ EDGE = 5
 MIN_GENOME_SHARE = 1e-5
 MIN_DEPTH = 1e-3
 
+IS_GC = np.isin(np.arange(256), list(b"GCgc"))
+IS_OTHER = ~np.isin(np.arange(256), list(b"ACGTacgt"))
+
 
 def window_length(flen: int, flen4gc: int = GC_LENGTH) -> int:
     return min(flen4gc, flen - 2 * EDGE)
@@ -48,11 +51,12 @@ def _with_halo(chunks: DataFrame, w: int, size: int) -> DataFrame:
 
 def _gc_track(text: str, n_own: int, w: int) -> np.ndarray:
     """G/C letters in i+1..i+w for the own bases; -1 where another letter than ACGT is inside."""
-    b = np.frombuffer(text.upper().encode("ascii", "replace"), dtype=np.uint8)
-    gc = np.concatenate([[0], np.cumsum((b == ord("G")) | (b == ord("C")))])
-    other = np.concatenate([[0], np.cumsum(~np.isin(b, np.frombuffer(b"ACGT", dtype=np.uint8)))])
-    lo = np.minimum(np.arange(n_own) + 1, len(b))
-    hi = np.minimum(np.arange(n_own) + 1 + w, len(b))
+    b = np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)
+    gc, other = np.zeros((2, len(b) + w + 1), dtype=np.int32)
+    for sums, letters in ((gc, IS_GC), (other, IS_OTHER)):
+        np.cumsum(letters[b], out=sums[1: len(b) + 1])
+        sums[len(b) + 1:] = sums[len(b)]
+    lo, hi = slice(1, n_own + 1), slice(w + 1, n_own + w + 1)
     return np.where(other[hi] > other[lo], -1, gc[hi] - gc[lo]).astype("int32")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_ratio
 from ..functions.tiles import div
+from ..session import cut, derived_lookup
 from .intervals import merge_intervals, overlap_join
 
 MIN_MAXIMUM = 1e-10
@@ -35,7 +36,6 @@ def loop_intensity(loops: DataFrame, by: str | None = None) -> DataFrame:
     if by is None:
         maximum = loops.agg(top).first()[0]
         return loops.withColumn("intensity", F.col("val") / F.lit(maximum) * 3)
-    from ..session import derived_lookup
     tops = derived_lookup(loops.groupBy(by).agg(top))
     return loops.join(tops, by).withColumn("intensity", F.col("val") / F.col("_top") * 3).drop("_top")
 
@@ -50,10 +50,11 @@ def _span_flag(spans: DataFrame, bed: DataFrame, name: str) -> DataFrame:
 def loop_anchor_flags(loops: DataFrame, bed1: DataFrame, bed2: DataFrame) -> DataFrame:
     """Loops with four flags: which anchor overlaps which set.
 
-    Equal anchors are matched once; the sets are merged before.
+    Equal anchors are matched once; the sets are merged before. The flags are
+    joined to both sides, so they are written once.
     """
     spans = loops.select(F.explode(F.array("first", "second")).alias("a")).select("a.*").distinct()
-    flags = _span_flag(_span_flag(spans, bed1, "b1"), bed2, "b2")
+    flags = cut(_span_flag(_span_flag(spans, bed1, "b1"), bed2, "b2"))
     for side in ("first", "second"):
         f = flags.select(F.struct("chrom", "start", "end").alias(side), F.col("b1").alias(f"{side}_1"),
                          F.col("b2").alias(f"{side}_2"))

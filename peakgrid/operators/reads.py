@@ -296,8 +296,8 @@ def genome_coverage(frags: DataFrame, considered: DataFrame) -> DataFrame:
     """Covered share of the considered bases, per chromosome and genome.
 
     ``considered`` are disjoint segments (mappable and outside peaks); each tile
-    a sample has reads in is swept against the segments of that tile. Events are
-    folded per base before the sweep, so a tile holds at most its length in rows.
+    a sample has reads in is swept against the segments of that tile. They are used
+    more than once: pass a stored table. Events are folded per base before the sweep, so a tile holds at most its length in rows.
     """
     by = ["sample", "chrom"]
     seen = (frags.select(*by, F.explode(F.sequence(div("start", TILE_BP), div("end", TILE_BP))).alias("tile"))

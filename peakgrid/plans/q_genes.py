@@ -10,6 +10,7 @@ from ..operators import gc as GC
 from ..operators import genes as G
 from ..operators import intervals as I
 from ..operators import loops as L
+from ..session import cut, lookup
 from .registry import query, r6
 
 # ---- intervals -----------------------------------------------------------------
@@ -337,8 +338,8 @@ weights AS (SELECT *, CASE WHEN nr = 0 OR gp < 1e-5 THEN 0 WHEN ng > 0 AND nr::D
 
 
 def gc_inputs(t):
-    chunks = GC.chunk_sequences(t.sequences, 4096)
-    lengths = GC.genome_table(chunks)
+    chunks = cut(GC.chunk_sequences(t.sequences, 4096))
+    lengths = lookup(GC.genome_table(chunks))
     best = lengths.agg(F.max_by("chrom", F.struct(F.col("length"), (-F.col("chrom").cast("long")).alias("t")))).first()[0]
     k = F.explode(F.sequence(F.lit(0), F.floor(F.col("length") / 20).cast("int") - 1))
     doc = F.col("chrom").cast("long")

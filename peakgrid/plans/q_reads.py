@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import intervals as I
 from ..operators import reads as R
 from ..operators.bins import scale_factors
+from ..session import cut
 from .adapters import BIN, FLEN
 from .registry import query, r6
 
@@ -151,7 +152,7 @@ COVER_OUT = """SELECT smp, coalesce(cov.chrom, 'Genome') AS chrom, covered, cons
 
 def considered(t):
     whole = t.genome.select("chrom", F.lit(0).alias("start"), (F.col("length") - 1).alias("end"))
-    return I.combine(whole, t.part_bed, "subtract")
+    return cut(I.combine(whole, t.part_bed, "subtract"))
 
 
 @query("reads_coverage", "frags bed2 genome", "+ " + COVER.format(frags="frags") + COVER_OUT +
