@@ -77,14 +77,28 @@ def duplicate_threshold(reads: DataFrame, genome: DataFrame) -> DataFrame:
             .select("sample", F.greatest(F.lit(1.0), F.col("n") * 10.0 / size).alias("threshold")))
 
 
-def nonredundant(reads: DataFrame, threshold: int = 1, paired: bool = False) -> DataFrame:
+def with_threshold(df: DataFrame, threshold: int | DataFrame) -> DataFrame:
+    """Add ``_limit``: one threshold, or that of each sample (sample, threshold)."""
+    if isinstance(threshold, DataFrame):
+        limits = lookup(threshold.select("sample", F.floor("threshold").cast("long").alias("_limit")))
+        return df.join(limits, "sample")
+    return df.withColumn("_limit", F.lit(int(threshold)).cast("long"))
+
+
+def nonredundant(reads: DataFrame, threshold: int | DataFrame = 1, paired: bool = False) -> DataFrame:
     """First ``threshold`` reads (by id) of every site.
 
     The rank filter is cut on the map side, so a site that holds a large share
-    of the reads sends only ``threshold`` rows per input split.
+    of the reads sends only ``threshold`` rows per input split. With a threshold per
+    sample the cut uses the largest one and the rest is filtered behind it.
     """
+    each = isinstance(threshold, DataFrame)
+    top = int(threshold.agg(F.max("threshold")).first()[0] or 1) if each else int(threshold)
     w = Window.partitionBy(*site_keys(reads, paired)).orderBy("read_id")
-    return reads.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= int(threshold)).drop("_rn")
+    out = reads.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top)
+    if each:
+        out = with_threshold(out, threshold).filter(F.col("_rn") <= F.col("_limit")).drop("_limit")
+    return out.drop("_rn")
 
 
 def mark_duplicates(reads: DataFrame, threshold: int = 1, paired: bool = False) -> DataFrame:
@@ -105,14 +119,14 @@ def mark_duplicates(reads: DataFrame, threshold: int = 1, paired: bool = False)
             .drop("_part", "_r1", "_r2"))
 
 
-def site_counts(reads: DataFrame, threshold: int = 1, paired: bool = False) -> DataFrame:
+def site_counts(reads: DataFrame, threshold: int | DataFrame = 1, paired: bool = False) -> DataFrame:
     """Reads per site with the nonredundant share; the input of all count statistics."""
-    return (reads.groupBy(*site_keys(reads, paired)).agg(F.count("*").alias("n"))
-            .withColumn("n_nonred", F.least("n", F.lit(int(threshold)).cast("long"))))
+    sites = reads.groupBy(*site_keys(reads, paired)).agg(F.count("*").alias("n"))
+    return with_threshold(sites, threshold).withColumn("n_nonred", F.least("n", "_limit")).drop("_limit")
 
 
-def site_fragments(reads: DataFrame, genome: DataFrame, flen: int | DataFrame = FIXED_FRAGMENT, threshold: int = 1,
-                   paired: bool = False, rcenter: int = 0) -> DataFrame:
+def site_fragments(reads: DataFrame, genome: DataFrame, flen: int | DataFrame = FIXED_FRAGMENT,
+                   threshold: int | DataFrame = 1, paired: bool = False, rcenter: int = 0) -> DataFrame:
     """Nonredundant fragments of reads with equal weight, folded by site.
 
     One row per site; ``weight`` is the number of reads that count. The reads
@@ -127,7 +141,7 @@ def sample_key(read_id: Column) -> Column:
     return ((read_id % 1000000007) * F.lit(2654435761) % 1000003).cast("long")
 
 
-def library_complexity(reads: DataFrame, ncmp: int = COMPLEXITY_READS, threshold: int = 1,
+def library_complexity(reads: DataFrame, ncmp: int = COMPLEXITY_READS, threshold: int | DataFrame = 1,
                        paired: bool = False) -> DataFrame:
     """Nonredundant share of a ``ncmp``-read subset; ``enough`` is false when there are fewer reads."""
     totals = reads.groupBy("sample").agg(F.count("*").alias("n_total"))
@@ -259,7 +273,7 @@ def read_depth(counts: DataFrame, flen: int | DataFrame) -> DataFrame:
     return with_length(counts, flen).withColumn("depth", safe_ratio(bases, F.col("mappable"))).drop("_flen")
 
 
-def read_counts(reads: DataFrame, genome: DataFrame, threshold: int = 1, paired: bool = False) -> DataFrame:
+def read_counts(reads: DataFrame, genome: DataFrame, threshold: int | DataFrame = 1, paired: bool = False) -> DataFrame:
     """Total / nonredundant / redundant reads by strand, per chromosome and genome."""
     def by_strand(c: str) -> list[Column]:
         return [F.sum(c).alias(c), F.sum(F.when(F.col("strand") == "+", F.col(c)).otherwise(0)).alias(c + "_fwd"),
@@ -343,7 +357,7 @@ def most_frequent_length(hist: DataFrame) -> DataFrame:
 
 
 def qc_stats(reads: DataFrame, genome: DataFrame, bed: DataFrame | None = None, flen: int | DataFrame = FIXED_FRAGMENT,
-             threshold: int = 1, norm: str = "NONE", nrpm: int = 20_000_000, ndepth: float = 1.0,
+             threshold: int | DataFrame = 1, norm: str = "NONE", nrpm: int = 20_000_000, ndepth: float = 1.0,
              mappable: DataFrame | None = None, weighted: DataFrame | None = None) -> DataFrame:
     """Quality table: one ``Genome`` row and the chromosome rows of every sample.
 
@@ -382,10 +396,11 @@ def qc_stats(reads: DataFrame, genome: DataFrame, bed: DataFrame | None = None,
     return out
 
 
-def stats_summary(stats: DataFrame, complexity: DataFrame | None = None, threshold: int = 1) -> DataFrame:
+def stats_summary(stats: DataFrame, complexity: DataFrame | None = None,
+                  threshold: int | DataFrame = 1) -> DataFrame:
     """One line per sample: reads, strands, threshold, nonredundant, complexity, depth, coverage."""
-    g = stats.filter(F.col("chrom") == GENOME_ROW).select(
-        "sample", "n", "n_fwd", "n_rev", F.lit(threshold).alias("threshold"), "n_nonred", "n_red", "depth", "coverage")
+    g = with_threshold(stats.filter(F.col("chrom") == GENOME_ROW), threshold).select(
+        "sample", "n", "n_fwd", "n_rev", F.col("_limit").alias("threshold"), "n_nonred", "n_red", "depth", "coverage")
     if complexity is not None:
         g = g.join(complexity.select("sample", "complexity"), "sample", "left")
     return g

@@ -38,8 +38,7 @@ def count_reads(reads: DataFrame, genome: DataFrame, binsize: int = 100, flen: i
     """Filter, extend, weight, count and normalise reads; with quality statistics.
 
     ``flen`` None estimates the fragment length of each sample from the strand
-    shift. ``threshold`` None takes the rule 10 x expected reads, the largest over
-    the samples.
+    shift. ``threshold`` None takes the rule 10 x expected reads, per sample.
     """
     if paired:
         reads = R.pair_filter(reads, max_insert)
@@ -48,8 +47,7 @@ def count_reads(reads: DataFrame, genome: DataFrame, binsize: int = 100, flen: i
     elif flen is None:
         flen = cut(R.estimate_fragment_length(reads, genome, read_length, 5 if read_length else 0))
     if threshold is None:
-        top = R.duplicate_threshold(reads, genome).agg(F.max("threshold")).first()[0]
-        threshold = int(top or 1)
+        threshold = cut(R.duplicate_threshold(reads, genome))
     weighted = gc_weights = None
     if multimap or chunks is not None or read_ends_only:
         kept = reads if keep_duplicates else R.nonredundant(reads, threshold, paired)

@@ -231,6 +231,15 @@ def test_duplicates(spark, threshold):
     assert "WindowGroupLimit" in plan
 
 
+def test_threshold_per_sample(spark, genome):
+    data = [("a", i, "chr1", "+", i % 2) for i in range(600)] + [("b", 1000 + i, "chr1", "+", 7) for i in range(30)]
+    df = spark.createDataFrame(data, "sample string, read_id long, chrom string, strand string, f3 int")
+    limits = R.duplicate_threshold(df, genome)
+    assert rows(limits, "sample", "threshold") == [("a", 4.0), ("b", 1.0)]
+    assert rows(R.nonredundant(df, limits), "sample", "read_id") == [("a", i) for i in range(8)] + [("b", 1000)]
+    assert rows(R.site_counts(df, limits), "sample", "f3", "n", "n_nonred") == [("a", 0, 300, 4), ("a", 1, 300, 4), ("b", 7, 30, 1)]
+
+
 @pytest.mark.parametrize("tile", [256, 65536])
 def test_strand_shift(spark, tile):
     data, df = make_reads(spark, 1500, 0.2)
