@@ -1,6 +1,8 @@
 """Session helpers: checkpoint folder and size-checked broadcasts."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,21 +11,27 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Only a single-process session without the setting gets a folder of its own,
+    removed when the process ends.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not shared:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="peakgrid-ckpt-")
-    sc.setCheckpointDir(shared)
+        atexit.register(shutil.rmtree, shared, True)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared)
+    return shared
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
-    _checkpoint_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
