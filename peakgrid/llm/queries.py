@@ -6,13 +6,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, rules, simhash
+from . import bpe, classifier, packing, rules, simhash
 from .common import table
 
+#: Name of the vocabulary file among the public tokenizers.
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(TOKENIZER)
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     QUERIES[fn.__name__] = fn
     return fn
@@ -36,3 +44,21 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = classifier.train(docs, docs, labels)
     return classifier.score(docs, model).withColumn("kept", F.col("score") >= 0.5)
+
+
+@query
+def op2_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs, path = table(spark, folder, "documents"), tokenizer_path()
+    both = bpe.round_trip(docs, path, bpe.build_lexicon(docs, path))
+    return both.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    from corpus_pipeline import run
+    return run(spark, folder)
