@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, packing, rules, simhash
+from . import bpe, classifier, embeddings, lm, packing, rules, sharding, simhash, urls, warc
 from .common import table
 
 #: Name of the vocabulary file among the public tokenizers.
@@ -62,3 +62,32 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
     return run(spark, folder)
+
+
+@query
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shards(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+ORACLE["op7_sharding"] = sharding.SQL
+
+
+@query
+def op3_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    found = embeddings.near_duplicates(table(spark, folder, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages")).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
