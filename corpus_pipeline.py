@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents scored below one half; fitted on the labelled documents of the whole corpus, co-trained on ``docs``."""
-    model = classifier.train(table(spark, sf_dir, "documents"), docs, table(spark, sf_dir, "labels"))
+    model = classifier.train(classifier.vectors(table(spark, sf_dir, "documents")), store(classifier.vectors(docs), "vectors"), table(spark, sf_dir, "labels"))
     return classifier.keep_good(docs, model)
 
 

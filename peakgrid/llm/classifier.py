@@ -42,31 +42,33 @@ def _shape(word: str) -> str:
     return "".join(out)
 
 
+class Places(dict):
+    """Word -> its place among words and among shapes, packed into one number; computed once for each word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        at = (zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS) << 16 | (
+            WORDS + zlib.crc32(_shape(word).encode("utf-8", "surrogatepass")) % SHAPES)
+        self[word] = at
+        return at
+
+
 class Content:
-    """Texts to unit vectors of hashed word and shape counts; remembers words it has seen."""
+    """Texts to counts of hashed words and shapes; remembers words it has seen."""
 
     def __init__(self):
-        self.seen: dict[str, tuple[int, int]] = {}
-
-    def _places(self, word: str) -> tuple[int, int]:
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
-        at = (zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS,
-              WORDS + zlib.crc32(_shape(word).encode("utf-8", "surrogatepass")) % SHAPES)
-        self.seen[word] = at
-        return at
+        self.places = Places()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.split()
         if not words:
-            return np.empty(0, np.int32), np.empty(0, np.float32)
-        seen = self.seen
-        places = np.fromiter((x for w in words for x in (seen.get(w) or self._places(w))), np.int64, 2 * len(words))
-        counts = np.bincount(places, minlength=CONTENT)
-        counts[WORDS + SHAPES + min(SPREAD - 1, int(SPREAD * len(set(words)) / len(words)))] = len(words)
+            return np.empty(0, np.int32), np.empty(0, np.int32)
+        both = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        counts = np.bincount(both >> 16, minlength=CONTENT) + np.bincount(both & 0xFFFF, minlength=CONTENT)
+        counts[WORDS + SHAPES + min(SPREAD - 1, SPREAD * len(set(words)) // len(words))] = len(words)
         at = np.flatnonzero(counts)
-        weight = np.log1p(counts[at])
-        return at.astype(np.int32), (weight / np.sqrt((weight * weight).sum())).astype(np.float32)
+        return at.astype(np.int32), counts[at].astype(np.int32)
 
 
 def _place(value, size: int) -> int:
@@ -103,10 +105,16 @@ def _fit(margin, gradient, size: int, y: np.ndarray, w: np.ndarray, ridge: float
     return beta
 
 
+def _unit(at: np.ndarray, n: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+    """Logarithms of the counts, scaled to length one for each document."""
+    w = np.log1p(n.astype(np.float64))
+    return w / np.sqrt(np.bincount(owner, w * w, size))[owner] if len(w) else w
+
+
 def fit_content(rows: list[tuple[np.ndarray, np.ndarray]], y, w) -> np.ndarray:
-    ids = np.concatenate([a for a, _ in rows]) if rows else np.empty(0, np.int32)
-    vals = np.concatenate([b for _, b in rows]).astype(np.float64)
+    ids, n = np.concatenate([a for a, _ in rows]), np.concatenate([b for _, b in rows])
     owner = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
+    vals = _unit(ids, n, owner, len(rows))
     return _fit(lambda b: np.bincount(owner, vals * b[ids], len(rows)), lambda r: np.bincount(ids, vals * r[owner], CONTENT), CONTENT, y, w, 1e-5)
 
 
@@ -123,8 +131,11 @@ class Model:
     scale: np.ndarray  # slope and intercept of each view's log odds
     prior: float
 
-    def margins(self, at, weight, meta) -> tuple[float, float]:
-        return float(weight @ self.content[at]) + self.content[-1], float(((meta - self.mean) / self.sd) @ self.meta[:-1]) + self.meta[-1]
+    def margins(self, at: np.ndarray, n: np.ndarray, sizes: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of many documents at once; ``sizes`` places of each lie one after another in ``at``."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        a = np.bincount(owner, _unit(at, n, owner, len(sizes)) * self.content[at], len(sizes))
+        return a + self.content[-1], ((meta - self.mean) / self.sd) @ self.meta[:-1] + self.meta[-1]
 
     def scores(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = self.scale[0] * a + self.scale[1], self.scale[2] * b + self.scale[3]
@@ -139,26 +150,31 @@ def _columns(docs: DataFrame) -> DataFrame:
                        have("lang", "string"), have("source", "string"), have("n_chars", "long"))
 
 
-def _vectors(batch):
-    return zip(*(batch.column(i).to_pylist() for i in range(1, 5)))
+VECTOR = "doc_id long, at array<int>, n array<int>, meta array<float>"
 
 
-def _sample(docs: DataFrame, chosen: DataFrame) -> dict:
-    """Vectors of the chosen ids (a bounded table), by id."""
+def vectors(docs: DataFrame) -> DataFrame:
+    """Both views of every document: ``(doc_id, at, n, meta)``."""
     def make():
         content = Content()
 
         def step(batch):
-            out = [(content(t), metadata(t, lang, source, n)) for t, lang, source, n in _vectors(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a[0] for a, _ in out], pa.list_(pa.int32())),
-                                              pa.array([a[1] for a, _ in out], pa.list_(pa.float32())), pa.array([m for _, m in out], pa.list_(pa.float32()))],
-                                             ["doc_id", "at", "weight", "meta"])
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                rows = [x.to_pylist() for x in part.columns]
+                pairs = [content(t) for t in rows[1]]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in pairs], pa.list_(pa.int32())), pa.array([n for _, n in pairs], pa.list_(pa.int32())),
+                                                  pa.array([metadata(*r) for r in zip(*rows[1:])], pa.list_(pa.float32()))], ["doc_id", "at", "n", "meta"])
         return step
-    got = map_arrow(_columns(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")), make,
-                    "doc_id long, at array<int>, weight array<float>, meta array<float>").toArrow()
-    ids = got.column("doc_id").to_pylist()
-    return {i: ((np.array(a, np.int32), np.array(b, np.float32)), np.array(m, np.float64))
-            for i, a, b, m in sorted(zip(ids, got.column("at").to_pylist(), got.column("weight").to_pylist(), got.column("meta").to_pylist()), key=lambda r: r[0])}
+    return map_arrow(_columns(docs), make, VECTOR)
+
+
+def _sample(rows: DataFrame, ids: list[int]) -> dict:
+    """Vectors of the given ids (a bounded list), by id."""
+    chosen = rows.sparkSession.createDataFrame(sorted((i,) for i in set(ids)), "doc_id long")
+    got = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "at", "n", "meta").toArrow().to_pylist()
+    return {r["doc_id"]: ((np.array(r["at"], np.int32), np.array(r["n"], np.int32)), np.array(r["meta"], np.float64))
+            for r in sorted(got, key=lambda r: (r["doc_id"], r["at"]))}
 
 
 def _platt(s: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -176,7 +192,8 @@ def clean_labels(labels: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, pool: DataFrame, labels: DataFrame, max_labels: int = 8000, rounds: int = 3, quota: int = 200, sure: float = 0.95) -> Model | float:
-    """Co-train on ``labelled`` documents and the unlabelled ``pool``. With labels of one class only, their share."""
+    """Co-train on :func:`vectors` of ``labelled`` and of the ``pool``, whose unlabelled rows are the candidates.
+    With labels of one class only, their share."""
     known = store(clean_labels(labels).join(labelled.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id"), "labels")
     count = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(count) < 2:
@@ -184,7 +201,7 @@ def train(labelled: DataFrame, pool: DataFrame, labels: DataFrame, max_labels: i
     order = F.xxhash64("doc_id")
     chosen = known.filter("y = 0").orderBy(order).limit(max_labels // 2).union(known.filter("y = 1").orderBy(order).limit(max_labels // 2))
     y_of = {r.doc_id: r.y for r in chosen.collect()}
-    rows = _sample(labelled, labelled.sparkSession.createDataFrame(sorted((i,) for i in y_of), "doc_id long"))
+    rows = _sample(labelled, list(y_of))
     share = {c: count[c] / max(1, sum(y == c for y in y_of.values())) for c in count}
     held = [i for i in rows if zlib.crc32(f"held {i}".encode()) % 5 == 0]
     fit = [i for i in rows if zlib.crc32(f"held {i}".encode()) % 5]
@@ -203,66 +220,66 @@ def train(labelled: DataFrame, pool: DataFrame, labels: DataFrame, max_labels: i
             y, w = np.array([r[1] for r in own], float), np.array([r[2] for r in own], float)
             sides.append(fit_content([r[0] for r in own], y, w) if side == 0 else fit_metadata((np.array([r[0] for r in own]) - mean) / sd, y, w))
         model = Model(sides[0], sides[1], mean, sd, np.array([1.0, 0, 1, 0]), prior)
-        s = np.array([model.margins(*rows[i][0], rows[i][1]) for i in held])
+        s = np.stack(model.margins(np.concatenate([rows[i][0][0] for i in held]), np.concatenate([rows[i][0][1] for i in held]),
+                                   np.array([len(rows[i][0][0]) for i in held]), np.array([rows[i][1] for i in held])), axis=1)
         y, w = np.array([y_of[i] for i in held], float), np.array([share[y_of[i]] for i in held])
         model.scale = np.array([*_platt(s[:, 0], y, w), *_platt(s[:, 1], y, w)])
         return model
 
     model = fitted()
-    free = pool.join(known.select("doc_id"), "doc_id", "left_anti").filter("doc_id IS NOT NULL")
     for _ in range(rounds):
-        scored = store(score(free, model).select("doc_id", "p_content", "p_metadata"), "scores")
+        scored = store(score(pool, model).filter("doc_id IS NOT NULL").select("doc_id", "p_content", "p_metadata")
+                       .join(known.select("doc_id"), "doc_id", "left_anti"), "scores")  # narrow rows, no text in the shuffle
         moved = []
         for side, view in enumerate(("p_content", "p_metadata")):
             for y, part in ((1, scored.filter(f"{view} >= {sure}").orderBy(F.desc(view), order)), (0, scored.filter(f"{view} <= {1 - sure}").orderBy(view, order))):
                 moved += [(1 - side, r.doc_id, y) for r in part.limit(quota + len(extra[1 - side])).collect() if r.doc_id not in extra[1 - side]][:quota]
         if not moved:
             break
-        vectors = _sample(pool, pool.sparkSession.createDataFrame(sorted({(i,) for _, i, _ in moved}), "doc_id long"))
+        found = _sample(pool, [i for _, i, _ in moved])
         for side, i, y in moved:
-            extra[side][i] = (vectors[i], y)
+            extra[side][i] = (found[i], y)
         model = fitted()
     return model
 
 
-def _scored(batch, content: Content, model: Model) -> list[np.ndarray]:
-    pairs = np.array([model.margins(*content(t), metadata(t, lang, source, n)) for t, lang, source, n in _vectors(batch)]).reshape(-1, 2)
-    return list(model.scores(pairs[:, 0], pairs[:, 1]))
+def _scored(at: pa.Array, n: pa.Array, meta: pa.Array, model: Model) -> list[np.ndarray]:
+    sizes = np.diff(at.offsets.to_numpy())
+    flat = [x.flatten().to_numpy(zero_copy_only=False) for x in (at, n)]
+    return list(model.scores(*model.margins(*flat, sizes, meta.flatten().to_numpy(zero_copy_only=False).reshape(-1, META).astype(np.float64))))
 
 
-def score(docs: DataFrame, model: Model | float) -> DataFrame:
-    """``(doc_id, p_content, p_metadata, score)`` for every row: the probability of good quality by each view and by both."""
+def score(rows: DataFrame, model: Model | float) -> DataFrame:
+    """``(doc_id, p_content, p_metadata, score)`` for :func:`vectors`: the probability of good quality by each view and by both."""
+    names = ("p_content", "p_metadata", "score")
     if isinstance(model, float):
-        return docs.select("doc_id", *[F.lit(model).alias(c) for c in ("p_content", "p_metadata", "score")])
+        return rows.select("doc_id", *[F.lit(model).alias(c) for c in names])
 
     def make():
-        content = Content()
-
         def step(batch):
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _scored(batch, content, model))], ["doc_id", "p_content", "p_metadata", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _scored(*batch.columns[1:], model))], ["doc_id", *names])
         return step
-    return map_arrow(_columns(docs), make, "doc_id long, p_content double, p_metadata double, score double")
+    return map_arrow(rows.select("doc_id", "at", "n", "meta"), make, "doc_id long, p_content double, p_metadata double, score double")
 
 
 def keep_good(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> DataFrame:
     """``docs`` without those scored below ``threshold``; columns as they were."""
     if isinstance(model, float):
         return docs
-    names = docs.columns
-    wide = _columns(docs.select("*")).columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *[F.col(c) for c in wide if c in names])
+    views = _columns(docs).columns
+    held = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in views]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.struct(*held).alias("_view"))
 
     def make():
         content = Content()
 
         def step(batch):
-            rest = {c: batch.column(c) for c in wide if c in batch.schema.names}
-            size = batch.num_rows
-            blank = pa.nulls(size, pa.string())
-            texts = pa.array([t or "" for t in rest["text"].to_pylist()], pa.string())
-            view = pa.RecordBatch.from_arrays([pa.array(range(size)), texts, rest.get("lang", blank), rest.get("source", blank), rest.get("n_chars", blank)],
-                                              ["doc_id", "text", "lang", "source", "n_chars"])
-            keep = pa.array(_scored(view, content, model)[2] >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("row").filter(keep)], ["row"])
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                view = [(r["text"] or "", r["lang"], r["source"], r["n_chars"]) for r in part.column(1).to_pylist()]
+                pairs = [content(v[0]) for v in view]
+                cols = [pa.array([p[i] for p in pairs], pa.list_(pa.int32())) for i in (0, 1)]
+                good = _scored(*cols, pa.array([metadata(*v) for v in view], pa.list_(pa.float32())), model)[2] >= threshold
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good))], ["_row"])
         return step
-    return map_arrow(rows, make, f"row {docs.schema.simpleString()}").select("row.*")
+    return map_arrow(rows, make, f"_row {docs.schema.simpleString()}").select("_row.*")

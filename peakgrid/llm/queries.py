@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, classifier, embeddings, lm, packing, rules, sharding, simhash, urls, warc
-from .common import table
+from .common import store, table
 
 #: Name of the vocabulary file among the public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -41,9 +41,9 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    model = classifier.train(docs, docs, labels)
-    return classifier.score(docs, model).withColumn("kept", F.col("score") >= 0.5)
+    views = store(classifier.vectors(table(spark, folder, "documents")), "vectors")
+    model = classifier.train(views, views, table(spark, folder, "labels"))
+    return classifier.score(views, model).withColumn("kept", F.col("score") >= 0.5)
 
 
 @query
