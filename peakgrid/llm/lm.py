@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, store, text_or_empty
 
 DICTIONARY, SYMBOLS, CLASSES, WIDTH = 50_000, 4096, 64, 16
-ROUNDS, NOISE, BATCH, RATE = 2, 24, 1024, 0.15
+ROUNDS, NOISE, BATCH, RATE = 2, 24, 4096, 0.15
 END, RARE, START = 0, 1, 2
 FLUSH = 300_000
 
@@ -203,7 +204,7 @@ class Trainer:
 def _symbols(words: list[bytes], place: dict[bytes, int]) -> np.ndarray:
     out = np.empty(len(words) + 3, np.int64)
     out[:2], out[-1] = START, END
-    out[2:-1] = [place.get(w, RARE) for w in words]
+    out[2:-1] = np.fromiter(map(place.get, words, repeat(RARE)), np.int64, len(words))
     return out
 
 
@@ -266,15 +267,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rare_types = vocabulary - len(lay.place) - (lay.ends > 0)
 
     def make():
-        base_of = {w: np.log10((n + 1) / total) for w, n in lay.known.items()}
-        tail_of = {w: np.log10((n + 1) / (rare_tokens + rare_types + 1)) for w, n in lay.known.items() if w not in lay.place}
+        rank = {w: i for i, w in enumerate(lay.known)}
+        n = np.array([*lay.known.values(), 0], float)  # the last place stands for words outside the dictionary
+        base_of, tail_of = np.log10((n + 1) / total), np.log10((n + 1) / (rare_tokens + rare_types + 1))
+        single = len(lay.place)
+        base_of[-1] = tail_of[-1] = 0
+        tail_of[:single] = 0
+        symbol_of = np.full(len(n), RARE)
+        symbol_of[:single] = 3 + np.arange(single)
         base_end = np.log10((lay.ends + 1) / total)
 
         def step(batch):
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 texts = [words_of(t) for t in part.column(1).to_pylist()]
-                symbols = [_symbols(w, lay.place) for w in texts]
+                ranks = [np.fromiter(map(rank.get, w, repeat(len(rank))), np.int64, len(w)) for w in texts]
+                symbols = [np.concatenate(([START, START], symbol_of[x], [END])) for x in ranks]
                 near, far, target = (np.concatenate([s[i:len(s) - 2 + i] for s in symbols]) for i in (1, 0, 2))
                 owner = np.repeat(np.arange(len(texts)), [len(s) - 2 for s in symbols])
                 logs = np.zeros(len(target))
@@ -282,19 +290,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     logs[k:k + (1 << 15)] = par.log_probabilities(near[k:k + (1 << 15)], far[k:k + (1 << 15)], target[k:k + (1 << 15)])
                 model = np.bincount(owner, logs, len(texts)) / ten if lay.place else np.zeros(len(texts))
                 out = ([], [], [], [], [], [])
-                for i, w in enumerate(texts):
-                    base, tail, other, known = base_end, 0.0, Counter(), int(lay.ends > 0)
-                    for x in w:
-                        b = base_of.get(x)
-                        if b is None:
-                            other[x] += 1
-                        else:
-                            base += b
-                            known += 1
-                    if tail_of:
-                        tail = sum(map(tail_of.get, w, [0.0] * len(w)))
-                    for col, x in zip(out, (len(w) + 1, known, base, float(model[i] + tail), list(other), list(other.values()))):
-                        col.append(x)
+                for i, (w, x) in enumerate(zip(texts, ranks)):
+                    outside = np.flatnonzero(x == len(rank))
+                    other = Counter(w[k] for k in outside.tolist())
+                    for col, value in zip(out, (len(w) + 1, len(w) - len(outside) + int(lay.ends > 0), float(base_end + base_of[x].sum()),
+                                                float(model[i] + tail_of[x].sum()), list(other), list(other.values()))):
+                        col.append(value)
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
                 ids = part.column(0)
                 yield pa.RecordBatch.from_arrays([ids, pa.array([is_held_out(x) for x in ids.to_pylist()]), *[pa.array(c, k) for c, k in zip(out, kinds)]],
