@@ -206,6 +206,15 @@ class Lexicon:
         return self.ids[self.offset[place]:self.offset[place + 1]].tolist()
 
 
+@lru_cache(maxsize=1)
+def library_encoder(path: str) -> "Encoder":
+    """One encoder for all tasks of a worker, with the library's own merging of words not yet met."""
+    encoder = Encoder(path)
+    letters, model = byte_letters(), encoder.vocabulary.library.model
+    encoder.merge = lambda word: [t.id for t in model.tokenize("".join(map(letters.__getitem__, word.encode("utf-8", "surrogatepass"))))]
+    return encoder
+
+
 class Encoder(dict):
     """Word -> its ids as little-endian bytes; texts to id bytes."""
 
@@ -213,12 +222,13 @@ class Encoder(dict):
         super().__init__()
         self.vocabulary = vocabulary(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
+        self.merge = self.vocabulary.merge
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBER:
             self.clear()
         ids = self.lexicon.find(word) if self.lexicon else None
-        raw = np.asarray(self.vocabulary.merge(word) if ids is None else ids, dtype="<u4").tobytes()
+        raw = np.asarray(self.merge(word) if ids is None else ids, dtype="<u4").tobytes()
         self[word] = raw
         return raw
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
+from .bpe import library_encoder
 from .common import map_arrow, store, text_or_empty
 
 SIZE, END = 4096, 1
@@ -142,7 +142,7 @@ def assign(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 def pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents as id pieces: ``(doc_id, piece, start, length, ids_crc32[, ids])``; only documents longer than ``size`` are cut."""
     def make():
-        encoder = Encoder(path)
+        encoder = library_encoder(path)
 
         def step(batch):
             ids, out = batch.column(0).to_pylist(), ([], [], [], [], [], [])
