@@ -358,13 +358,17 @@ def most_frequent_length(hist: DataFrame) -> DataFrame:
 
 def qc_stats(reads: DataFrame, genome: DataFrame, bed: DataFrame | None = None, flen: int | DataFrame = FIXED_FRAGMENT,
              threshold: int | DataFrame = 1, norm: str = "NONE", nrpm: int = 20_000_000, ndepth: float = 1.0,
-             mappable: DataFrame | None = None, weighted: DataFrame | None = None) -> DataFrame:
+             mappable: DataFrame | None = None, weighted: DataFrame | None = None,
+             paired: bool = False, rcenter: int = 0, max_insert: int | None = None) -> DataFrame:
     """Quality table: one ``Genome`` row and the chromosome rows of every sample.
 
+    ``paired`` reads are one site per pair of ends, and coverage and peak share take the real fragments
+    (``max_insert`` bounds their length).
+
     ``weighted`` (sample, chrom, strand, weight) gives the read totals after GC weighting.
     """
     from .bins import scale_factors
-    counts = read_depth(read_counts(reads, genome, threshold), flen)
+    counts = read_depth(read_counts(reads, genome, threshold, paired), flen)
     scaled = scale_factors(counts, norm, nrpm, ndepth)
     genome_total = F.max(F.when(F.col("chrom") == GENOME_ROW, F.col("n"))).over(Window.partitionBy("sample"))
     out = (scaled.withColumn("pct_genome", 100.0 * safe_ratio(F.col("n"), genome_total))
@@ -373,7 +377,7 @@ def qc_stats(reads: DataFrame, genome: DataFrame, bed: DataFrame | None = None,
         for suffix in ("", "_fwd", "_rev"):
             out = out.withColumn(f"pct_{kind}{suffix}",
                                  100.0 * safe_ratio(F.col(f"n_{kind}{suffix}"), F.col(f"n{suffix}")))
-    frags = site_fragments(reads, genome, flen, threshold)
+    frags = site_fragments(reads, genome, flen, threshold, paired, rcenter)
     whole = genome.select("chrom", F.lit(0).alias("start"), (F.col("length") - 1).alias("end"))
     considered = mappable if mappable is not None else whole
     if bed is not None:
@@ -381,7 +385,8 @@ def qc_stats(reads: DataFrame, genome: DataFrame, bed: DataFrame | None = None,
     cov = genome_coverage(frags, considered).select("sample", "chrom", "covered", "considered", "coverage")
     out = out.join(cov, ["sample", "chrom"], "left")
     if bed is not None:
-        inbed = frip(frags, bed, None if isinstance(flen, DataFrame) else flen).select("sample", "chrom", "n_inbed", "frip")
+        longest = max_insert if paired else None if isinstance(flen, DataFrame) else flen
+        inbed = frip(frags, bed, longest).select("sample", "chrom", "n_inbed", "frip")
         out = out.join(inbed, ["sample", "chrom"], "left")
     if weighted is not None:
         per = weighted.groupBy("sample", "chrom").agg(

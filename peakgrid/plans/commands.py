@@ -48,6 +48,7 @@ def count_reads(reads: DataFrame, genome: DataFrame, binsize: int = 100, flen: i
         flen = cut(R.estimate_fragment_length(reads, genome, read_length, 5 if read_length else 0))
     if threshold is None:
         threshold = cut(R.duplicate_threshold(reads, genome))
+    limit = (1 << 31) - 1 if keep_duplicates else threshold  # without the filter no read is redundant
     weighted = gc_weights = None
     if multimap or chunks is not None or read_ends_only:
         kept = reads if keep_duplicates else R.nonredundant(reads, threshold, paired)
@@ -58,12 +59,11 @@ def count_reads(reads: DataFrame, genome: DataFrame, binsize: int = 100, flen: i
             weighted = kept
         frags = R.fragments(R.extend(kept, flen), genome, rcenter)
     else:
-        limit = (1 << 31) - 1 if keep_duplicates else threshold
         frags = R.site_fragments(reads, genome, flen, limit, paired, rcenter)
     counted = (R.bin_read_ends if read_ends_only else R.bin_reads)(frags, binsize)
     if bin_mappability is not None:
         counted = B.mappability_normalise(counted, bin_mappability)
-    stats = cut(R.qc_stats(reads, genome, bed, flen, threshold, norm, nrpm, ndepth, mappable, weighted))
+    stats = cut(R.qc_stats(reads, genome, bed, flen, limit, norm, nrpm, ndepth, mappable, weighted, paired, rcenter, max_insert))
     if norm != "NONE":
         counted = B.total_read_normalise(counted, stats)
     return Counted(counted, stats, B.bin_value_distribution(counted, genome, binsize),

@@ -98,3 +98,19 @@ def test_estimated_length_and_gc(spark, files):
     full = C.count_reads(reads.filter("sample = 'input'"), genome, 100, 150, multimap=True, chunks=sequence.read_fasta(spark, str(files / "*.fa")))
     assert "after_gc" in full.stats.columns and full.gc_weights is not None
     assert full.bins.count() > 0
+
+
+def test_paired_and_unfiltered_statistics(spark):
+    """Coverage takes the real fragments of pairs; without the filter no read is redundant."""
+    from peakgrid.schemas import GENOME, READS
+    genome = spark.createDataFrame([("c", 1000, 1000, 0)], GENOME)
+    ends = [(100, 399), (100, 399), (100, 299), (500, 599)]
+    reads = spark.createDataFrame([("s", i, "c", "+", a, b, 36, 36, 1, "c", b - a + 1, 1.0) for i, (a, b) in enumerate(ends)], READS)
+
+    def row(**how):
+        out = C.count_reads(reads, genome, 100, flen=150, threshold=1, **how).stats
+        return out.filter("chrom = 'c'").select("n", "n_nonred", "n_red", "coverage").first()
+    pairs, plain, whole = row(paired=True), row(), row(keep_duplicates=True)
+    assert (pairs.n, pairs.n_nonred) == (4, 3) and pairs.coverage == 0.4
+    assert (plain.n, plain.n_nonred) == (4, 2) and plain.coverage == 0.302  # extended ends are closed: 151 bases
+    assert (whole.n, whole.n_nonred, whole.n_red) == (4, 4, 0)
