@@ -127,8 +127,9 @@ class Parameters:
         cls, member = target % CLASSES, target // CLASSES
         s = q @ self.cls.T + self.cls_bias
         top = s.max(axis=1)
-        out = s[np.arange(len(target)), cls] - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
-        order = np.argsort(cls, kind="stable")
+        s -= top[:, None]
+        out = s[np.arange(len(target)), cls] - np.log(np.exp(s).sum(axis=1))
+        order = np.argsort(cls.astype(np.uint8), kind="stable")
         ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         word, bias = self.word.reshape(-1, CLASSES, WIDTH), self.word_bias.reshape(-1, CLASSES)
         for c in range(CLASSES):
@@ -136,17 +137,16 @@ class Parameters:
             if len(at):
                 s = q[at] @ word[:, c].T + bias[:, c]
                 top = s.max(axis=1)
-                out[at] += s[np.arange(len(at)), member[at]] - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+                s -= top[:, None]
+                out[at] += s[np.arange(len(at)), member[at]] - np.log(np.exp(s).sum(axis=1))
         return out
 
 
 def _scatter(size: int, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of ``rows`` by ``index``."""
-    order = np.argsort(index, kind="stable")
-    kinds, start = np.unique(index[order], return_index=True)
-    out = np.zeros((size, *rows.shape[1:]), np.float32)
-    out[kinds] = np.add.reduceat(rows[order], start, axis=0)
-    return out
+    """Sums of ``rows`` by ``index``, counted cell by cell."""
+    width = rows.shape[1]
+    cells = (index * width)[:, None] + np.arange(width)
+    return np.bincount(cells.ravel(), rows.ravel(), size * width).astype(np.float32).reshape(size, width)
 
 
 class Trainer:
@@ -187,12 +187,12 @@ class Trainer:
         g1, gc, bc = self._contrast(q, ("cls", "cls_bias"), cls, noise_c, self.cls_share, CLASSES)
         # noise words are drawn evenly from the target's class; places without a symbol never count
         per = size // CLASSES
-        member = self.rng.choice(per, (NOISE // 4, len(target)))
+        member = self.rng.integers(per, size=(NOISE // 4, len(target)))
         g2, gw, bw = np.zeros_like(q), np.zeros_like(par.word), np.zeros_like(par.word_bias)
         for true, sign in [(target, -1), *((m * CLASSES + cls, 1) for m in member)]:
             vec = par.word[true]
-            s = np.einsum("ij,ij->i", q, vec) + par.word_bias[true] - np.log(len(member) / per)
-            e = np.where(self.used[true], sign / (1 + np.exp(np.clip(-sign * s, -30, 30))), 0).astype(np.float32) / len(target)
+            s = np.einsum("ij,ij->i", q, vec) + par.word_bias[true] - np.float32(np.log(len(member) / per))
+            e = np.where(self.used[true], np.float32(sign) / (1 + np.exp(np.clip(-sign * s, -30, 30))), np.float32(0)) / np.float32(len(target))
             g2 += e[:, None] * vec
             gw += _scatter(size, true, e[:, None] * q)
             bw += np.bincount(true, e, size).astype(np.float32)
