@@ -21,9 +21,6 @@ EDGE = 5
 MIN_GENOME_SHARE = 1e-5
 MIN_DEPTH = 1e-3
 
-IS_GC = np.isin(np.arange(256), list(b"GCgc"))
-IS_OTHER = ~np.isin(np.arange(256), list(b"ACGTacgt"))
-
 
 def window_length(flen: int, flen4gc: int = GC_LENGTH) -> int:
     return min(flen4gc, flen - 2 * EDGE)
@@ -49,22 +46,30 @@ def _with_halo(chunks: DataFrame, w: int, size: int) -> DataFrame:
                     F.concat("seq", F.coalesce("_next", F.lit(""))).alias("text")))
 
 
-def _gc_track(text: str, n_own: int, w: int) -> np.ndarray:
-    """G/C letters in i+1..i+w for the own bases; -1 where another letter than ACGT is inside."""
-    b = np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)
-    gc, other = np.zeros((2, len(b) + w + 1), dtype=np.int32)
-    for sums, letters in ((gc, IS_GC), (other, IS_OTHER)):
-        np.cumsum(letters[b], out=sums[1: len(b) + 1])
-        sums[len(b) + 1:] = sums[len(b)]
-    lo, hi = slice(1, n_own + 1), slice(w + 1, n_own + w + 1)
-    return np.where(other[hi] > other[lo], -1, gc[hi] - gc[lo]).astype("int32")
+def _gc_kernel():
+    """The window counter as a closure, so that executors get it with the task."""
+    is_gc = np.isin(np.arange(256), list(b"GCgc"))
+    is_other = ~np.isin(np.arange(256), list(b"ACGTacgt"))
+
+    def track(text: str, n_own: int, w: int) -> np.ndarray:
+        """G/C letters in i+1..i+w for the own bases; -1 where another letter than ACGT is inside."""
+        b = np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)
+        gc, other = np.zeros((2, len(b) + w + 1), dtype=np.int32)
+        for sums, letters in ((gc, is_gc), (other, is_other)):
+            np.cumsum(letters[b], out=sums[1: len(b) + 1])
+            sums[len(b) + 1:] = sums[len(b)]
+        lo, hi = slice(1, n_own + 1), slice(w + 1, n_own + w + 1)
+        return np.where(other[hi] > other[lo], -1, gc[hi] - gc[lo]).astype("int32")
+    return track
 
 
 def gc_windows(chunks: DataFrame, w: int, size: int = CHUNK) -> DataFrame:
     """(chrom, pos, gc) for every base."""
+    kernel = _gc_kernel()
+
     @F.pandas_udf("array<int>")
     def track(text: pd.Series, n_own: pd.Series) -> pd.Series:
-        return pd.Series([_gc_track(t, n, w) for t, n in zip(text, n_own)])
+        return pd.Series([kernel(t, n, w) for t, n in zip(text, n_own)])
 
     halo = _with_halo(chunks, w, size).select("chrom", "chunk", track("text", "n_own").alias("gc"))
     return halo.select("chrom", "chunk", F.posexplode("gc").alias("i", "gc")).select(
@@ -77,9 +82,11 @@ def gc_at_positions(chunks: DataFrame, positions: DataFrame, w: int, size: int =
     Positions are gathered per chunk, at most ``size`` of them, so only the
     wanted bases leave the chunk.
     """
+    kernel = _gc_kernel()
+
     @F.pandas_udf("array<int>")
     def look(text: pd.Series, n_own: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([_gc_track(t, n, w)[np.asarray(a, dtype="int64")] for t, n, a in zip(text, n_own, at)])
+        return pd.Series([kernel(t, n, w)[np.asarray(a, dtype="int64")] for t, n, a in zip(text, n_own, at)])
 
     wanted = (positions.select("chrom", div("pos", size).alias("chunk"), (F.col("pos") % size).alias("at"))
               .groupBy("chrom", "chunk").agg(F.collect_set("at").alias("at")))
@@ -97,14 +104,14 @@ def gc_genome_distribution(chunks: DataFrame, lengths: DataFrame, w: int, unmapp
     Pass the chunks of the longest chromosome to follow the reference. Each chunk
     gives a histogram of w+1 cells; bases do not become rows.
     """
-    margin = EDGE + w
+    margin, kernel = EDGE + w, _gc_kernel()
 
     @F.pandas_udf("array<long>")
     def histogram(text: pd.Series, n_own: pd.Series, chunk: pd.Series, length: pd.Series,
                   off: pd.Series) -> pd.Series:
         out = []
         for t, n, c, ln, gaps in zip(text, n_own, chunk, length, off):
-            track = _gc_track(t, n, w)
+            track = kernel(t, n, w)
             pos = np.arange(n) + c * size
             keep = (track >= 0) & (pos >= margin) & (pos < ln - margin)
             for g in gaps:

@@ -27,8 +27,8 @@ def gauss_sql(col: str, n: int, last: int = 10000) -> str:
 def sided_sql(smooth: int) -> str:
     """Dense ChIP / input pairs, smoothed, with the local background and scores."""
     c, i = (gauss_sql("c", smooth), gauss_sql("i", smooth)) if smooth else ("c", "i")
-    return f"""+ sided0 AS (SELECT a.chrom, a.bin, a.v AS c, b.v AS i FROM dense a JOIN dense b USING (chrom, bin)
- WHERE a.smp = 'chip' AND b.smp = 'input'),
+    return f"""+ sided0 AS (SELECT chrom, bin, (sum(v) FILTER (WHERE smp = 'chip'))::BIGINT AS c, (sum(v) FILTER (WHERE smp = 'input'))::BIGINT AS i
+ FROM dense GROUP BY chrom, bin),
 sided1 AS (SELECT chrom, bin, {c} AS c, {i} AS i FROM sided0 WINDOW w AS (PARTITION BY chrom ORDER BY bin)),
 sided AS (SELECT *, (sum(c) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 500 PRECEDING AND 499 FOLLOWING))::BIGINT
  // (least(bin + 500, 10001) - greatest(bin - 500, 0)) AS lam FROM sided1)"""
