@@ -83,10 +83,21 @@ def gc_normalise(reads: DataFrame, chunks: DataFrame, genome: DataFrame, flen: i
     return GC.gc_reweight(reads, chunks, genome, weights, flen, w, size), weights
 
 
+def _one_sample(spark: SparkSession, address: str) -> DataFrame:
+    path, _, name = address.partition("#")
+    bins = signals.read_bins(spark, path)
+    if name:
+        return bins.filter(F.col("sample") == name)
+    if len({part for f in bins.inputFiles() for part in f.split("/") if part.startswith("sample=")}) > 1:
+        raise ValueError(f"{path} holds several samples; write {path}#sample")
+    return bins
+
+
 def load_signals(spark: SparkSession, sheet: DataFrame, strip: bool = False) -> DataFrame:
     """Bins of every signal file of the sheet, each read once; the sample is the path.
 
-    Files of one format and bin size are one scan.
+    Files of one format and bin size are one scan. ``root#sample`` is one sample of a
+    Parquet folder; a folder of several samples without a name is refused.
     """
     rows = sheet.select("chip", "input", "binsize").collect()  # the sheet is a parameter table
     groups: dict[tuple[str, int], set[str]] = {}
@@ -101,7 +112,7 @@ def load_signals(spark: SparkSession, sheet: DataFrame, strip: bool = False) ->
         elif kind == "WIG":
             parts.append(signals.read_wig(spark, names, None, size, strip))
         else:
-            parts += [signals.read_bins(spark, p).withColumn("sample", F.lit(p)) for p in names]
+            parts += [_one_sample(spark, p).withColumn("sample", F.lit(p)) for p in names]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -114,3 +114,14 @@ def test_paired_and_unfiltered_statistics(spark):
     assert (pairs.n, pairs.n_nonred) == (4, 3) and pairs.coverage == 0.4
     assert (plain.n, plain.n_nonred) == (4, 2) and plain.coverage == 0.302  # extended ends are closed: 151 bases
     assert (whole.n, whole.n_nonred, whole.n_red) == (4, 4, 0)
+
+
+def test_one_sample_of_a_folder(spark, tmp_path):
+    kind = "sample string, chrom string, bin int, v long"
+    root = str(tmp_path / "bins")
+    sinks.write_bins(spark.createDataFrame([("chip", "chr1", 0, 10000), ("input", "chr1", 0, 30000)], kind), root)
+    sheet = "chip string, input string, binsize int"
+    got = C.load_signals(spark, spark.createDataFrame([(f"{root}#chip", f"{root}#input", 100)], sheet))
+    assert rows(got, "sample", "bin", "v") == [(f"{root}#chip", 0, 10000), (f"{root}#input", 0, 30000)]
+    with pytest.raises(ValueError, match="several samples"):
+        C.load_signals(spark, spark.createDataFrame([(root, None, 100)], sheet))
