@@ -170,11 +170,18 @@ def vectors(docs: DataFrame) -> DataFrame:
 
 
 def _sample(rows: DataFrame, ids: list[int]) -> dict:
-    """Vectors of the given ids (a bounded list), by id."""
+    """Vectors of the given ids (a bounded list), by id; of repeated rows with one id, the smallest vector."""
     chosen = rows.sparkSession.createDataFrame(sorted((i,) for i in set(ids)), "doc_id long")
-    got = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "at", "n", "meta").toArrow().to_pylist()
-    return {r["doc_id"]: ((np.array(r["at"], np.int32), np.array(r["n"], np.int32)), np.array(r["meta"], np.float64))
-            for r in sorted(got, key=lambda r: (r["doc_id"], r["at"]))}
+    got = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "at", "n", "meta").toArrow()
+    out = {}
+    for part in got.to_batches():  # numpy arrays straight from the Arrow buffers, no Python numbers
+        (at, n), ends = (c.flatten().to_numpy() for c in part.columns[1:3]), np.append(0, part.column(1).value_lengths().to_numpy().cumsum())
+        meta = part.column(3).flatten().to_numpy().reshape(-1, META)
+        for k, i in enumerate(part.column(0).to_pylist()):
+            one = slice(ends[k], ends[k + 1])
+            if i not in out or at[one].tobytes() < out[i][0][0].tobytes():
+                out[i] = ((at[one].copy(), n[one].copy()), meta[k].astype(np.float64))
+    return dict(sorted(out.items()))
 
 
 def _platt(s: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
