@@ -7,12 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_ratio
 from ..functions.tiles import cut_to_tiles, div
-from ..session import lookup
+from ..session import derived_lookup, lookup
 from .reads import with_length
 
 CHUNK = 16384
@@ -141,10 +141,16 @@ def read_window_start(reads: DataFrame, lengths: DataFrame, flen: int | DataFram
             .withColumn("pos", F.when(F.col("strand") == "+", fwd).otherwise(rev).cast("int")).drop("length", "_flen"))
 
 
+def _sample_key(df: DataFrame) -> list[str]:
+    return ["sample"] if "sample" in df.columns else []
+
+
 def gc_read_distribution(reads: DataFrame, chunks: DataFrame, lengths: DataFrame, flen: int | DataFrame, w: int,
                          unmappable: DataFrame | None = None, size: int = CHUNK) -> DataFrame:
-    """Histogram of the window GC of reads (chrom, gc, n); windows with an unmappable end are left out."""
-    at = read_window_start(reads, lengths, flen).groupBy("chrom", "pos").agg(F.count("*").alias("n"))
+    """Histogram of the window GC of reads (chrom, gc, n), of each sample where reads have one;
+    windows with an unmappable end are left out."""
+    key = _sample_key(reads)
+    at = read_window_start(reads, lengths, flen).groupBy(*key, "chrom", "pos").agg(F.count("*").alias("n"))
     if unmappable is not None:
         from .intervals import overlaps_any
         for shift in (0, w):
@@ -152,21 +158,26 @@ def gc_read_distribution(reads: DataFrame, chunks: DataFrame, lengths: DataFrame
             at = overlaps_any(at, unmappable, 0, anti=True, span=("_p", "_p")).drop("_p")
     gc = gc_at_positions(chunks, at, w, size)
     return (at.join(gc, ["chrom", "pos"]).filter(F.col("gc") >= 0)
-            .groupBy("chrom", "gc").agg(F.sum("n").alias("n")))
+            .groupBy(*key, "chrom", "gc").agg(F.sum("n").alias("n")))
 
 
 def gc_weight(genome_hist: DataFrame, read_hist: DataFrame, w: int, ignore_depth: bool = False) -> DataFrame:
-    """Shares, depth and weight per GC count 0..w: genome share / read share, with the two floors."""
+    """Shares, depth and weight per GC count 0..w: genome share / read share, with the two floors.
+
+    A read histogram with samples gives w+1 rows for each of them; a sample without a read in it has none.
+    """
+    key = _sample_key(read_hist)
     g = genome_hist.groupBy("gc").agg(F.sum("n").alias("ng"))
-    r = read_hist.groupBy("gc").agg(F.sum("n").alias("nr"))
-    grid = g.sparkSession.range(w + 1).select(F.col("id").cast("int").alias("gc"))
+    r = read_hist.groupBy(*key, "gc").agg(F.sum("n").alias("nr"))
+    if key:
+        grid = r.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(0), F.lit(w))).alias("gc"))
+    else:
+        grid = g.sparkSession.range(w + 1).select(F.col("id").cast("int").alias("gc"))
     zero = F.lit(0).cast("long")
-    both = (grid.join(g, "gc", "left").join(r, "gc", "left")
-            .select("gc", F.coalesce("ng", zero).alias("ng"), F.coalesce("nr", zero).alias("nr")))
-    # w+1 rows
-    sums = both.agg(F.sum("ng").alias("tg"), F.sum("nr").alias("tr")).first()
-    tg, tr = F.lit(float(sums["tg"] or 0)), F.lit(float(sums["tr"] or 0))
-    both = both.select("gc", safe_ratio(F.col("ng"), tg).alias("genome_prop"), safe_ratio(F.col("nr"), tr).alias("reads_prop"),
+    both = (grid.join(g, "gc", "left").join(r, [*key, "gc"], "left")
+            .select(*key, "gc", F.coalesce("ng", zero).alias("ng"), F.coalesce("nr", zero).alias("nr")))
+    tg, tr = (F.sum(c).over(Window.partitionBy(*key)).cast("double") for c in ("ng", "nr"))  # w+1 rows a sample
+    both = both.select(*key, "gc", safe_ratio(F.col("ng"), tg).alias("genome_prop"), safe_ratio(F.col("nr"), tr).alias("reads_prop"),
                        safe_ratio(F.col("nr"), F.col("ng")).alias("depth"))
     few = (F.col("reads_prop") == 0) | (F.col("genome_prop") < MIN_GENOME_SHARE)
     weight = F.when(few, 0.0)
@@ -177,18 +188,20 @@ def gc_weight(genome_hist: DataFrame, read_hist: DataFrame, w: int, ignore_depth
 
 def gc_reweight(reads: DataFrame, chunks: DataFrame, lengths: DataFrame, weights: DataFrame, flen: int | DataFrame, w: int,
                 size: int = CHUNK) -> DataFrame:
-    """Read weight x weight of its window GC; unchanged where the window holds another letter."""
+    """Read weight x weight of its window GC (of its sample, where the weights have one); unchanged where the window holds another letter."""
     placed = read_window_start(reads, lengths, flen)
     gc = gc_at_positions(chunks, placed.select("chrom", "pos").distinct(), w, size)
-    gc = gc.join(lookup(weights.select("gc", F.col("weight").alias("_w"))), "gc", "left")
-    return (placed.join(gc, ["chrom", "pos"], "left")
+    key = _sample_key(weights)
+    table = derived_lookup(weights.select(*key, "gc", F.col("weight").alias("_w")))
+    return (placed.join(gc, ["chrom", "pos"], "left").join(table, [*key, "gc"], "left")
             .withColumn("weight", F.col("weight") * F.coalesce("_w", F.lit(1.0))).drop("_w", "gc", "pos"))
 
 
 def gc_summit(read_hist: DataFrame) -> DataFrame:
-    """Most frequent GC count of reads; the lowest on ties."""
-    total = read_hist.groupBy("gc").agg(F.sum("n").alias("n"))
-    return total.agg(F.max_by("gc", F.struct(F.col("n"), (-F.col("gc")).alias("tie"))).alias("gc"), F.max("n").alias("n"))
+    """Most frequent GC count of reads, of each sample where there is one; the lowest on ties."""
+    key = _sample_key(read_hist)
+    total = read_hist.groupBy(*key, "gc").agg(F.sum("n").alias("n"))
+    return total.groupBy(*key).agg(F.max_by("gc", F.struct(F.col("n"), (-F.col("gc")).alias("tie"))).alias("gc"), F.max("n").alias("n"))
 
 
 def gc_content_track(chunks: DataFrame, window: int, size: int = CHUNK) -> DataFrame:

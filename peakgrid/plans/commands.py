@@ -55,7 +55,9 @@ def count_reads(reads: DataFrame, genome: DataFrame, binsize: int = 100, flen: i
         if multimap:
             kept = R.multimap_weight(kept)
         if chunks is not None:
-            kept, gc_weights = gc_normalise(kept, chunks, genome, flen, flen4gc)
+            whole = genome.select("chrom", F.lit(0).alias("start"), (F.col("length") - 1).alias("end"))
+            unmappable = None if mappable is None else cut(I.combine(whole, mappable, "subtract"))
+            kept, gc_weights = gc_normalise(kept, chunks, genome, flen, flen4gc, unmappable)
             weighted = kept
         frags = R.fragments(R.extend(kept, flen), genome, rcenter)
     else:
@@ -72,15 +74,26 @@ def count_reads(reads: DataFrame, genome: DataFrame, binsize: int = 100, flen: i
 
 def gc_normalise(reads: DataFrame, chunks: DataFrame, genome: DataFrame, flen: int | DataFrame, flen4gc: int = GC.GC_LENGTH,
                  unmappable: DataFrame | None = None, size: int = GC.CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Reads with GC weights and the weight table, from the chromosome with the most mappable bases."""
-    shortest = flen.agg(F.min("fragment_length")).first()[0] if isinstance(flen, DataFrame) else flen
-    w = GC.window_length(shortest, flen4gc)
+    """Reads with GC weights and the weight table of each sample, from the chromosome with the most mappable bases.
+
+    The window follows the fragment length of the sample; samples with one window length are weighted together.
+    """
+    windows: dict[int, list[str] | None] = {}
+    if isinstance(flen, DataFrame):
+        for r in flen.select("sample", "fragment_length").collect():  # one row per sample
+            windows.setdefault(GC.window_length(r["fragment_length"], flen4gc), []).append(r["sample"])
+    else:
+        windows[GC.window_length(flen, flen4gc)] = None
     longest = F.col("chrom") == B.longest_chrom(genome).first()["chrom"]
     one = chunks.filter(longest)
-    hist = GC.gc_genome_distribution(one, genome, w, unmappable, size)
-    seen = GC.gc_read_distribution(reads.filter(longest), one, genome, flen, w, unmappable, size)
-    weights = cut(GC.gc_weight(hist, seen, w))
-    return GC.gc_reweight(reads, chunks, genome, weights, flen, w, size), weights
+    done = []
+    for w, names in sorted(windows.items()):
+        own = reads if names is None else reads.filter(F.col("sample").isin(names))
+        hist = GC.gc_genome_distribution(one, genome, w, unmappable, size)
+        seen = GC.gc_read_distribution(own.filter(longest), one, genome, flen, w, unmappable, size)
+        weights = cut(GC.gc_weight(hist, seen, w))
+        done.append((GC.gc_reweight(own, chunks, genome, weights, flen, w, size), weights))
+    return tuple(reduce(DataFrame.unionByName, part) for part in zip(*done))
 
 
 def _one_sample(spark: SparkSession, address: str) -> DataFrame:

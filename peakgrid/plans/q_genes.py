@@ -390,6 +390,46 @@ def gc_reweighted(t):
     return out.groupBy("chrom", "strand").agg(r6(F.sum("weight"), "after_gc"))
 
 
+SAMPLES = """,
+splaced AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'input' ELSE 'chip' END AS smp FROM placed)"""
+SHIST = f""",
+srh AS (SELECT smp, gc, count(*) AS nr FROM splaced SEMI JOIN longest USING (chrom) JOIN win USING (chrom, pos) WHERE gc >= 0 GROUP BY smp, gc),
+sgrid AS (SELECT smp, unnest(range(0, {W + 1})) AS gc FROM (SELECT DISTINCT smp FROM srh)),
+swt AS (SELECT smp, gc, coalesce(ng, 0) AS ng, coalesce(nr, 0) AS nr, coalesce(ng, 0)::DOUBLE / (SELECT sum(ng) FROM gh)::DOUBLE AS gp,
+ coalesce(nr, 0)::DOUBLE / (sum(nr) OVER (PARTITION BY smp))::DOUBLE AS rp FROM sgrid LEFT JOIN gh USING (gc) LEFT JOIN srh USING (smp, gc)),
+sweights AS (SELECT *, CASE WHEN nr = 0 OR gp < 1e-5 THEN 0 WHEN ng > 0 AND nr::DOUBLE / ng < 1e-3 THEN 1 WHEN ng = 0 THEN 1 ELSE gp / rp END AS weight FROM swt)"""
+
+
+def sampled(t):
+    """As :func:`gc_weights` with the reads dealt to two samples."""
+    chunks, lengths, reads, longest = gc_inputs(t)
+    reads = reads.withColumn("sample", F.when(F.col("k") % 3 == 0, "input").otherwise("chip"))
+    g = GC.gc_genome_distribution(chunks.filter(longest), lengths, W, size=4096)
+    r = GC.gc_read_distribution(reads.filter(longest), chunks.filter(longest), lengths, 40, W, size=4096)
+    return chunks, lengths, reads, r, GC.gc_weight(g, r, W)
+
+
+@query("gc_weights_by_sample", "sequences", GCW + GREADS + HIST + SAMPLES + SHIST + """
+SELECT smp, gc, round(gp, 6) AS genome_prop, round(rp, 6) AS reads_prop, round(CASE WHEN ng > 0 THEN nr::DOUBLE / ng ELSE 0 END, 6) AS depth,
+ round(weight, 6) AS weight FROM sweights""")
+def gc_weights_by_sample(t):
+    return sampled(t)[4].select(F.col("sample").alias("smp"), "gc", r6("genome_prop"), r6("reads_prop"), r6("depth"), r6("weight"))
+
+
+@query("gc_reweighted_by_sample", "sequences", GCW + GREADS + HIST + SAMPLES + SHIST + """
+SELECT p.smp, p.chrom, strand, round(sum(coalesce(weight, 1)), 6) AS after_gc FROM splaced p LEFT JOIN win USING (chrom, pos)
+ LEFT JOIN sweights w ON w.smp = p.smp AND w.gc = win.gc GROUP BY ALL""")
+def gc_reweighted_by_sample(t):
+    chunks, lengths, reads, _, weights = sampled(t)
+    out = GC.gc_reweight(reads, chunks, lengths, weights, 40, W, size=4096)
+    return out.groupBy(F.col("sample").alias("smp"), "chrom", "strand").agg(r6(F.sum("weight"), "after_gc"))
+
+
+@query("gc_summit_by_sample", "sequences", GCW + GREADS + HIST + SAMPLES + SHIST + " SELECT smp, arg_max(gc, nr * 1000 - gc) AS gc, max(nr) AS n FROM srh GROUP BY smp")
+def gc_summit_by_sample(t):
+    return GC.gc_summit(sampled(t)[3]).selectExpr("sample AS smp", "gc", "n")
+
+
 @query("gc_summit", "sequences", GCW + GREADS + HIST + " SELECT arg_max(gc, nr * 1000 - gc) AS gc, max(nr) AS n FROM rh")
 def gc_summit(t):
     return GC.gc_summit(gc_weights(t)[3])

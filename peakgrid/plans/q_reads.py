@@ -7,6 +7,7 @@ from ..operators import intervals as I
 from ..operators import reads as R
 from ..operators.bins import scale_factors
 from ..session import cut
+from . import commands
 from .adapters import BIN, FLEN
 from .registry import query, r6
 
@@ -243,3 +244,53 @@ def reads_scale_factors(t):
     for kind in ("GR", "GD", "CR", "CD"):
         d = scale_factors(d, kind).drop("normalised", "noisy").withColumnRenamed("w", kind.lower())
     return d.select(F.col("sample").alias("smp"), "chrom", r6("gr"), r6("gd"), r6("cr"), r6("cd"))
+
+
+# ---- the counting workflow, paired and unfiltered -----------------------------------
+
+#: ``folded``: one row per site with its reads ``c``, the reads ``kept`` by the filter and the fragment ``s``..``e``.
+PAIRED_SITES = """+ folded AS (SELECT smp, chrom, strand, f3, f5, count(*) AS c, 1 AS kept, greatest(least(f3, f5), 0) AS s,
+ least(greatest(f3, f5), 999999) AS e FROM paired WHERE chrom = mate_chrom AND tlen <= 500 GROUP BY ALL)"""
+ALL_READS = """+ ended AS (SELECT *, CASE WHEN strand = '+' THEN f3 + 150 ELSE f3 - 150 END AS f5 FROM reads),
+folded AS (SELECT smp, chrom, strand, f3, f5, count(*) AS c, count(*) AS kept, greatest(least(f3, f5), 0) AS s,
+ least(greatest(f3, f5), 999999) AS e FROM ended GROUP BY ALL)"""
+STATS = """,
+hit AS (SELECT DISTINCT f.smp, f.chrom, f.strand, f.f3, f.f5 FROM folded f JOIN sites b ON f.chrom = b.chrom AND f.s <= b.e AND b.s <= f.e),
+flagged AS (SELECT f.*, CASE WHEN h.smp IS NULL THEN 0 ELSE kept END AS inbed FROM folded f LEFT JOIN hit h USING (smp, chrom, strand, f3, f5)),
+counts AS (SELECT smp, chrom, sum(c)::BIGINT AS n, sum(kept)::BIGINT AS n_nonred, sum(kept) FILTER (WHERE strand = '+')::BIGINT AS fwd,
+ sum(kept) FILTER (WHERE strand = '-')::BIGINT AS rev, sum(inbed)::BIGINT AS n_inbed FROM flagged GROUP BY GROUPING SETS ((smp, chrom), (smp))),
+covered AS (SELECT DISTINCT smp, chrom, unnest(range(s, e + 1)) AS p FROM folded),
+masked AS (SELECT DISTINCT chrom, unnest(range(s, e + 1)) AS p FROM sites),
+cov AS (SELECT c.smp, c.chrom, count(*) AS covered FROM covered c ANTI JOIN masked USING (chrom, p) GROUP BY GROUPING SETS ((smp, chrom), (smp))),
+base AS (SELECT chrom, 1000000 - count(p) AS considered FROM genome LEFT JOIN masked USING (chrom) GROUP BY chrom
+ UNION ALL SELECT NULL, 5000000 - (SELECT count(*) FROM masked)),
+scaled AS (SELECT k.*, 20000000::DOUBLE / g.n_nonred AS w FROM counts k JOIN counts g ON g.smp = k.smp AND g.chrom IS NULL)
+SELECT a.smp, coalesce(a.chrom, 'Genome') AS chrom, n, n_nonred, n - n_nonred AS n_red, round(w, 6) AS w,
+ CASE WHEN a.chrom IS NOT NULL THEN trunc(fwd * w)::BIGINT + trunc(rev * w)::BIGINT ELSE (SELECT sum(trunc(b.fwd * b.w)::BIGINT + trunc(b.rev * b.w)::BIGINT)
+  FROM scaled b WHERE b.smp = a.smp AND b.chrom IS NOT NULL)::BIGINT END AS normalised,
+ round(covered::DOUBLE / considered, 6) AS coverage, n_inbed, round(n_inbed::DOUBLE / n_nonred, 6) AS frip
+FROM scaled a JOIN cov ON a.smp = cov.smp AND a.chrom IS NOT DISTINCT FROM cov.chrom JOIN base ON a.chrom IS NOT DISTINCT FROM base.chrom"""
+
+
+def _workflow_stats(counted):
+    return counted.stats.select(F.col("sample").alias("smp"), "chrom", "n", "n_nonred", "n_red", r6("w"), "normalised", r6("coverage"),
+                                "n_inbed", r6("frip"))
+
+
+@query("reads_qc_stats_paired", "paired sites genome", PAIRED_SITES + STATS)
+def reads_qc_stats_paired(t):
+    return _workflow_stats(commands.count_reads(t.paired, t.genome, BIN, FLEN, paired=True, threshold=1, norm="GR", bed=t.sites))
+
+
+@query("reads_qc_stats_unfiltered", "reads sites genome", ALL_READS + STATS)
+def reads_qc_stats_unfiltered(t):
+    return _workflow_stats(commands.count_reads(t.reads, t.genome, BIN, FLEN, threshold=1, keep_duplicates=True, norm="GR", bed=t.sites))
+
+
+@query("bins_scaled_paired", "paired", PAIRED_SITES + """,
+g AS (SELECT smp, sum(kept)::BIGINT AS n FROM folded GROUP BY smp),
+b AS (SELECT smp, chrom, bin, sum(kept)::BIGINT * 10000 AS v FROM
+ (SELECT smp, chrom, kept, unnest(range(s // 100, e // 100 + 1)) AS bin FROM folded) GROUP BY ALL)
+SELECT smp, chrom, bin, trunc(v * (20000000::DOUBLE / n))::BIGINT AS v FROM b JOIN g USING (smp)""")
+def bins_scaled_paired(t):
+    return commands.count_reads(t.paired, t.genome, BIN, FLEN, paired=True, threshold=1, norm="GR").bins.selectExpr(SMP, "chrom", "bin", "v")

@@ -100,6 +100,23 @@ def test_estimated_length_and_gc(spark, files):
     assert full.bins.count() > 0
 
 
+def test_gc_weights_are_of_one_sample(spark, files):
+    """Two samples in one table get what each gets alone; estimated lengths give each its own window."""
+    genome, reads = load(spark, files)
+    chunks = sequence.read_fasta(spark, str(files / "*.fa"), 4096)
+    kept = R.nonredundant(reads, 1)
+    lengths = spark.createDataFrame([("chip", 150), ("input", 60)], "sample string, fragment_length int")
+    for flen, windows in ((150, {"chip": 121, "input": 121}), (lengths, {"chip": 121, "input": 51})):
+        out, weights = C.gc_normalise(kept, chunks, genome, flen, size=4096)
+        assert {r["sample"]: r["count"] for r in weights.groupBy("sample").count().collect()} == windows
+        assert out.count() == kept.count()
+        for s, alone_flen in (("chip", 150), ("input", 150 if flen == 150 else 60)):
+            alone, own = C.gc_normalise(kept.filter(F.col("sample") == s), chunks, genome, alone_flen, size=4096)
+            same = F.col("sample") == s
+            assert rows(weights.filter(same), "gc", "weight") == rows(own, "gc", "weight")
+            assert rows(out.filter(same), "read_id", "weight") == rows(alone, "read_id", "weight")
+
+
 def test_paired_and_unfiltered_statistics(spark):
     """Coverage takes the real fragments of pairs; without the filter no read is redundant."""
     from peakgrid.schemas import GENOME, READS
