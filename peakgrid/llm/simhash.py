@@ -1,9 +1,9 @@
 """SimHash near-duplicates: blocks that close fingerprints must share, then a Hamming check.
 
 ``fingerprints``/``linked_pairs``/``near_groups`` work on the 64-bit fingerprint and
-find *every* pair within three bits. ``near_duplicates`` uses the same idea on a
-longer fingerprint, because texts whose shingle sets are only 0.8 alike differ
-in far more than three of 64 bits.
+find *every* pair within three bits. ``near_duplicates`` searches candidates by the same
+idea on a longer fingerprint, because texts whose shingle sets are only 0.8 alike differ
+in far more than three of 64 bits; what it links is decided by the shingle sets themselves.
 
 Defined results: a null text counts as empty; an empty text has fingerprint 0 and
 links like any other; rows with a null id keep their fingerprint and get a null
@@ -133,12 +133,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 # A longer fingerprint for similarity 0.8 -----------------------------------------------------------------------
 
 WIDTH = 4096
-TABLES, BITS = 128, 24
+#: Blocks are drawn from the 4,096 bits in turn, so a bit is in one or two of them.
+TABLES, BITS = 256, 22
+BLOCKS = np.concatenate([np.random.default_rng(7 + i).permutation(WIDTH) for i in range(2)])[:TABLES * BITS]
 PIECES = np.arange(4, dtype=np.uint64) * np.uint64(16)
-#: Members of a block bucket that are paired directly; larger buckets are linked to their ends and split.
-SMALL = 16
-#: Blocks searched before the others; large groups are connected there, and their buckets in the other blocks skipped.
-FIRST = 16
+#: Standard deviation of the distance of a pair, in bits (measured 19 to 24 for sets of 5 to 3,000 shingles), and how many of them the prefilters allow.
+SPREAD, MARGIN = 25, 5
+#: Bits carried along as two numbers for the first look at a pair.
+SKETCH = 128
+#: Buckets up to this size are joined with themselves; larger ones are compared in blocks of at most about TILE rows.
+SMALL, TILE = 64, 512
+#: Blocks whose crowded buckets are linked to a member first, so that pairs inside a connected group need no comparison.
+FIRST = 8
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -153,70 +159,105 @@ def hadamard(rows: np.ndarray) -> np.ndarray:
 
 
 def long_bits(texts: list[str], size: int) -> np.ndarray:
-    """TABLES x BITS sign bits of random projections of the set of word shingles."""
-    pick = np.random.default_rng(7).permutation(WIDTH)[:TABLES * BITS]
-    bits = np.empty((len(texts), TABLES * BITS), bool)
+    """WIDTH sign bits of random projections of the set of word shingles."""
+    order = np.random.default_rng(7).permutation(WIDTH)
+    bits = np.empty((len(texts), WIDTH), bool)
     for i in range(0, len(texts), 64):
         sums = np.zeros((len(texts[i:i + 64]), WIDTH), np.float32)
         for j, text in enumerate(texts[i:i + 64]):
             h = np.unique(shingle_hashes(text, size))
             part = (h[None, :] >> PIECES[:, None]).ravel()  # four places for each shingle, so that two rarely share all
             sums[j] = np.bincount((part & np.uint64(WIDTH - 1)).astype(np.int64), 1.0 - 2.0 * ((part >> np.uint64(12)) & np.uint64(1)), WIDTH)
-        bits[i:i + 64] = hadamard(sums)[:, pick] > 0
+        bits[i:i + 64] = hadamard(sums)[:, order] > 0
     return bits
 
 
+def block_keys(bits: np.ndarray) -> np.ndarray:
+    """The number that each block of ``bits`` spells."""
+    powers = (1 << np.arange(BITS)).astype(np.float32)  # sums stay below 2^24, exact in single precision
+    return (bits[:, BLOCKS].reshape(-1, BITS).astype(np.float32) @ powers).astype(np.int32).reshape(len(bits), TABLES)
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two sets at this Jaccard; equal sizes, where it is largest."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
 def _signatures(texts: DataFrame, size: int) -> DataFrame:
     def make():
         def step(batch):
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 bits = long_bits(part.column(1).to_pylist(), size)
-                powers = 1 << np.arange(BITS, dtype=np.int64)
-                keys = bits.reshape(len(bits), TABLES, BITS) @ powers + (np.arange(TABLES, dtype=np.int64) << BITS)
                 packed = np.packbits(bits, axis=1)
+                looks = packed[:, :SKETCH // 8].copy().view("<i8")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x.tobytes() for x in packed], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * TABLES), pa.array(keys.ravel()))],
-                    ["id", "bits", "keys"])
+                    [part.column(0), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(looks[:, 0].copy()), pa.array(looks[:, 1].copy()),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * TABLES), pa.array(block_keys(bits).ravel()))],
+                    ["id", "bits", "s1", "s2", "keys"])
         return step
-    return map_arrow(texts, make, "id long, bits binary, keys array<long>")
-
-
-def _candidates(sig: DataFrame, tables: range, roots: DataFrame | None = None) -> DataFrame:
-    """Pairs that share one of the blocks ``tables``: all pairs of small buckets; in larger ones links to both ends,
-    and all pairs again of the buckets that the following blocks split it into.
-
-    ``roots`` ``(node, root)`` tells which ids are connected already: a bucket inside one component adds nothing and is skipped.
+    return map_arrow(texts, make, "id long, bits binary, s1 long, s2 long, keys array<int>")
+
+
+def _seeds(sig: DataFrame) -> DataFrame:
+    """Links of the members of crowded buckets, and of their halves by the next block, to one member: groups known early spare comparisons, no more."""
+    keys = F.expr(f"flatten(transform(sequence(0, {FIRST - 1}), t -> array(xxhash64(t, keys[t]), xxhash64(t, keys[t], keys[t + 1]))))")
+    rows = sig.select("id", F.explode(keys).alias("key"))
+    hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("hub")).filter(f"n > {SMALL}")
+    links = rows.join(store(hubs, "hubs").select("key", "hub"), "key").filter("id <> hub")
+    return links.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _compare(limit: int):
+    """All pairs of a cell's two sides that are not connected and differ in at most ``limit`` bits."""
+    def pairs(key, table):
+        i, j = (k.as_py() for k in key[-2:])
+        ids, roots, side = (table.column(c).to_numpy() for c in ("id", "root", "side"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u8").reshape(len(ids), -1)
+        right = np.flatnonzero(side == j)
+        a, b = [], []
+        for x in np.flatnonzero(side == i):
+            other = right[roots[right] != roots[x]]
+            if i == j:
+                other = other[ids[other] > ids[x]]
+            near = other[np.bitwise_count(bits[other] ^ bits[x]).sum(axis=1, dtype=np.int64) <= limit]
+            a.append(np.minimum(ids[near], ids[x]))
+            b.append(np.maximum(ids[near], ids[x]))
+        return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
+    return pairs
+
+
+def _candidates(sig: DataFrame, roots: DataFrame, share: float) -> DataFrame:
+    """Every pair that shares a block, is not connected by ``roots(node, root)`` and passes a prefilter by Hamming distance.
+
+    Small buckets are joined with themselves. A crowded bucket falls into its largest connected group and the rest, either into parts of
+    about TILE rows; each part of the rest meets every part, so no pair is left out and no task takes a whole bucket.
     """
-    ids = sig.select("id", "keys")
-    if roots is None:
-        ids = ids.withColumn("root", F.col("id"))
-    else:
-        ids = ids.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    found = []
-    rows = (ids.select("id", "root", F.posexplode(F.slice("keys", tables.start + 1, len(tables))).alias("at", "key"))
-            .select("id", "root", (F.col("at") + tables.start).alias("t"), "key"))
-    for more in (1, 2, 3):
-        size = store(rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"),
-                                                  F.min("root").alias("low"), F.max("root").alias("high"))
-                     .filter("low < high").drop("low", "high"), "buckets")
-        found.append(size.select("a", "b"))
-        shared = store(rows.join(size.filter("n > 2"), ["t", "key"]), "shared")
-        found.append(shared.select(F.expr("inline(array(struct(a, id AS b), struct(id AS a, b)))")).filter("a < b"))
-        few = shared.filter(f"n <= {SMALL}").select("t", "key", "id")
-        found.append(few.withColumnRenamed("id", "a").alias("l").join(few.withColumnRenamed("id", "b").alias("r"),
-                     F.expr("l.t = r.t AND l.key = r.key AND a < b")).select("a", "b"))
-        many = shared.filter(f"n > {SMALL}").select("id", "root", "t", "key")
-        rows = store(many.join(sig.select("id", "keys"), "id")
-                     .select("id", "root", "t", F.xxhash64("key", F.expr(f"keys[(t + {more}) % {TABLES}]")).alias("key")), "split")
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df)
-    return out.distinct()
+    look = int(share * SKETCH + (MARGIN + 1) * (share * (1 - share) * SKETCH) ** 0.5)
+    ids = (sig.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+           .select("id", "root", "s1", "s2", F.posexplode("keys").alias("t", "k")).select("id", "root", "s1", "s2", F.expr(f"shiftleft(cast(t AS long), {BITS}) + k").alias("key")))
+    size = store(ids.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "n"), "buckets")
+    shared = store(ids.join(size, "key"), "shared")
+    few = shared.filter(f"n <= {SMALL}")
+    left, right = few.withColumnRenamed("id", "a").alias("l"), few.withColumnRenamed("id", "b").alias("r")
+    pairs = left.join(right, F.expr(f"l.key = r.key AND a < b AND l.root <> r.root AND bit_count(l.s1 ^ r.s1) + bit_count(l.s2 ^ r.s2) <= {look}")).select("a", "b").distinct()
+    limit = int(share * WIDTH + MARGIN * SPREAD)
+    many = shared.filter(f"n > {SMALL}").select("key", "id", "root")
+    groups = many.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.sum("n").alias("n"), F.max("n").alias("m"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    groups = groups.select("key", "main", F.ceil((F.col("n") - F.col("m")) / TILE).cast("int").alias("kr"), F.ceil(F.col("m") / TILE).cast("int").alias("km"))
+    sided = many.join(groups, "key").withColumn("side", F.expr(
+        "CASE WHEN root = main THEN kr + cast(pmod(xxhash64(id), km) AS int) ELSE cast(pmod(xxhash64(id), kr) AS int) END"))
+    met = F.expr("CASE WHEN root = main THEN sequence(0, kr - 1) ELSE sequence(0, kr + km - 1) END")
+    cells = (sided.select("key", "id", "root", "side", F.explode(met).alias("other"))
+             .select("key", "id", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+             .join(sig.select("id", "bits"), "id"))
+    crowded = cells.groupBy("key", "i", "j").applyInArrow(_compare(limit), "a long, b long").distinct()
+    return _close(pairs, sig, limit).unionByName(crowded).distinct()
 
 
 def _close(pairs: DataFrame, sig: DataFrame, limit: int) -> DataFrame:
+    """Pairs that differ in at most ``limit`` bits."""
     both = (pairs.join(sig.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a")
             .join(sig.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b").select("a", "b", "x", "y"))
 
@@ -230,24 +271,58 @@ def _close(pairs: DataFrame, sig: DataFrame, limit: int) -> DataFrame:
     return map_arrow(both, make, "a long, b long")
 
 
+def _alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Pairs whose shingle sets have a Jaccard of ``similarity`` or more, counted on the sets; two empty sets are equal."""
+    pairs = store(pairs, "pairs")
+
+    def sets():
+        def step(batch):
+            found = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "s"])
+        return step
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    made = store(map_arrow(texts.join(wanted, "id", "left_semi").select("id", "text"), sets, "id long, s binary"), "sets")
+    both = pairs.join(made.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(made.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
+
+    def make():
+        def step(batch):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                # 1e-9 for the rounding of ``similarity`` itself
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        return step
+    return map_arrow(both, make, "a long, b long")
+
+
+def near_rows(rows: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(row, id, same, root)`` of stored ``rows(row, id, text)``, ``row`` being unique: rows of one root are alike, directly or through others."""
+    same = store(rows.select("row", "id", F.sha2("text", 256).alias("same")), "texts")
+    classes = store(same.groupBy("same").agg(F.min("row").alias("node")), "classes")
+    texts = rows.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi").select(F.col("node").alias("id"), "text")
+    sig = store(_signatures(texts, size), "signatures")
+    share = differing_share(similarity)
+    first = _alike(_close(_seeds(sig), sig, int(share * WIDTH + MARGIN * SPREAD)), texts, size, similarity)
+    first = store(components(first), "roots")
+    rest = _alike(_candidates(sig, first, share), texts, size, similarity)
+    roots = components(rest.union(first.select("node", "root")))
+    named = classes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
+    return same.join(named, "same").select("row", "id", "same", "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(id, component)`` of texts whose ``size``-word shingle sets are alike by ``similarity`` (Jaccard) or more.
 
-    Equal texts are one class from the start. Each class gets 3,072 sign bits in 128
-    blocks of 24; candidates share a block and are kept when the Hamming distance over all bits is
-    that of the wanted similarity (two sets of equal size at Jaccard j have cosine 2j/(1+j)).
-    The first 16 blocks are searched before the others, which then pass over buckets whose members are connected.
-    A pair at exactly 0.8 shares a block with probability 0.92, at 0.85 with 0.99, at 0.9 above 0.9999.
-    Ids are taken as unique; rows with a null id are left out.
+    Equal texts are one class from the start. Each class gets 4,096 sign bits and 256 blocks of 22 of them. Pairs that
+    share a block are candidates, however crowded it is; those within five standard deviations of the Hamming distance expected at
+    ``similarity`` are decided by the Jaccard of their shingle sets. So no pair below ``similarity`` is linked, and a pair at or above it
+    is missed only if it shares no block: by the model with probability 0.0008 at 0.8, less above (sets of equal size; others are closer).
+    The crowded buckets of the first 8 blocks are linked before, and pairs of one group are not compared again.
+    Rows with a null id are left out; repeated ids take the smallest id of the component of each of their texts.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).filter("id IS NOT NULL")
-    same = store(rows.select("id", F.sha2("text", 256).alias("same")), "texts")
-    reps = store(same.groupBy("same").agg(F.min("id").alias("rep")), "classes")
-    sig = store(_signatures(rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text"), size), "signatures")
-    cosine = 2 * similarity / (1 + similarity)
-    limit = int(np.arccos(cosine) / np.pi * TABLES * BITS)
-    first = store(components(_close(_candidates(sig, range(FIRST)), sig, limit)), "roots")
-    rest = _close(_candidates(sig, range(FIRST, TABLES), first), sig, limit)
-    roots = components(rest.union(first.select("node", "root")))
-    named = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("component"))
-    return same.join(named, "same").select("id", "component")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    found = near_rows(store(rows.filter("id IS NOT NULL"), "rows"), size, similarity)
+    lowest = found.groupBy("root").agg(F.min("id").alias("component"))
+    return found.join(lowest, "root").select("id", "component")

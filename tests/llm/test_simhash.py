@@ -124,3 +124,28 @@ def test_equal_texts_in_a_large_group(spark):
     got = {r.id: r.component for r in simhash.near_duplicates(df).collect()}
     assert all(got[i] == 0 for i in range(0, 3000, 3))
     assert len({got[i] for i in range(3000) if i % 3}) == 2000
+
+
+def changed(rng, words, own):
+    """``words`` with one run of words replaced, so that ``own`` five-word shingles are new."""
+    at = int(rng.integers(4, len(words) - own - 4))
+    return words[:at] + [f"n{x}" for x in rng.integers(10**9, size=own - 4)] + words[at + own - 4:]
+
+
+def alike(words, own):
+    return (len(words) - 4 - own) / (len(words) - 4 + own)
+
+
+def test_pairs_about_the_limit(spark):
+    """Pairs from 0.80 to 0.85 are found (all but 0.01), pairs from 0.75 to 0.79 never."""
+    rng = np.random.default_rng(9)
+    rows, above, below = [], [], []
+    for g in range(400):
+        words = [f"w{x}" for x in rng.integers(10**9, size=202)]
+        own = (22, 24, 18 + g % 5, 25 + g % 4)[g % 4]
+        assert alike(words, own) >= 0.8 or 0.75 <= alike(words, own) <= 0.79
+        (above if own <= 22 else below).append((2 * g, 2 * g + 1))
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(changed(rng, words, own)))]
+    got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(above) > 150 and sum(got[a] != got[b] for a, b in above) <= 2
+    assert all(got[a] != got[b] for a, b in below)
