@@ -149,3 +149,23 @@ def test_pairs_about_the_limit(spark):
     got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(above) > 150 and sum(got[a] != got[b] for a, b in above) <= 2
     assert all(got[a] != got[b] for a, b in below)
+
+
+def test_pairs_in_a_template_family(spark):
+    """4,000 texts about 0.7 alike by their template, with pairs of 0.85 among them: all are found and nothing else is linked."""
+    rng = np.random.default_rng(4)
+    template, rows, pairs = [f"t{x}" for x in range(404)], [], []
+    for g in range(2000):
+        one, other = (list(template) for _ in range(2))
+        for words in (one, other):
+            for i in rng.choice(np.arange(2, 404, 5), 14, replace=False):
+                words[i] = f"o{rng.integers(10**9)}"
+        if g % 20 == 0:
+            other = changed(rng, one, 32)
+            pairs.append((2 * g, 2 * g + 1))
+        rows += [(2 * g, " ".join(one)), (2 * g + 1, " ".join(other))]
+    got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert all(got[a] == got[b] == a for a, b in pairs)
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    others = [(i, c) for i, c in got.items() if i != c and (c, i) not in set(pairs)]
+    assert all(any(len(sets[i] & s) >= 0.8 * len(sets[i] | s) for j, s in sets.items() if j != i) for i, _ in others[:20])
