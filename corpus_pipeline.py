@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakgrid.llm import classifier, packing, rules, simhash
-from peakgrid.llm.common import store, table
+from peakgrid.llm.common import store, table, text_or_empty
 from peakgrid.llm.queries import tokenizer_path
 
 
@@ -26,9 +26,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts alike by 0.8 or more in five-word shingles, the one with the smallest id stays."""
-    copies = simhash.near_duplicates(docs).filter("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of texts alike by 0.8 or more in five-word shingles, the row with the smallest id stays, one row for each group.
+
+    Rows are told apart by a number of their own, so repeated and null ids are judged by their texts; a null id stays only if no other of its group has an id.
+    """
+    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = simhash.near_rows(rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")))
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same", "row")).alias("least")).select(F.col("least.row").alias("_row"))
+    return rows.join(stay, "_row", "left_semi").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

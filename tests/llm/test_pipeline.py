@@ -61,3 +61,12 @@ def test_odd_tables(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.store(stage(spark, docs, FOLDER), name)
         docs.collect()
+
+
+def test_dedup_tells_rows_apart(spark):
+    """Repeated and null ids: one row of each text stays, and a clean text with a repeated id stays as well."""
+    a, b, c, d = ("".join(f"{x}{i} " for i in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, c), (None, d), (None, d + "end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], spark.read.parquet(f"{FOLDER}/documents.parquet").schema)
+    got = sorted(((r.doc_id, r.text[0]) for r in corpus_pipeline.simhash_dedup(spark, docs, FOLDER).collect()), key=str)
+    assert got == [(1, "a"), (5, "b"), (7, "c"), (None, "d")]
