@@ -15,6 +15,7 @@ prior and every document is kept; repeated rows are scored each.
 """
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -33,13 +34,13 @@ CACHE = 200_000
 
 
 def _shape(word: str) -> str:
-    """Runs of capitals, small letters, digits and each other sign, folded."""
+    """Runs of capitals, small letters, digits and each other sign, folded, over the whole word; in long shapes repeated run patterns count once."""
     out = []
-    for ch in word[:24]:
+    for ch in word:
         kind = "A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch
         if not out or out[-1] != kind:
             out.append(kind)
-    return "".join(out)
+    return "".join(out) if len(out) <= 24 else re.sub(r"(.{1,4}?)\1+", r"\1", "".join(out))
 
 
 class Places(dict):

@@ -62,3 +62,8 @@ def test_one_class_no_labels_nulls_and_clashing_columns(spark):
 def test_contradictory_labels_do_not_count(spark):
     labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 1, 0), (2, 1, 1), (3, None, 0), (None, 1, 0), (4, 7, 0)], "doc_id long, quality int, toxic int")
     assert [tuple(r) for r in classifier.clean_labels(labels).collect()] == [(2, 1)]
+
+
+def test_shape_covers_the_whole_word():
+    assert classifier._shape("字" * 30 + "12") == "a0" and classifier._shape("字" * 32) == "a"
+    assert classifier._shape("a1" * 40 + "=") == "a0=" and classifier._shape("Ab-1") == "Aa-0"
