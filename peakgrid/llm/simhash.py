@@ -143,8 +143,8 @@ SPREAD, MARGIN = 25, 5
 SKETCH = 128
 #: Buckets up to this size are joined with themselves; larger ones are compared in blocks of at most about TILE rows.
 SMALL, TILE = 64, 512
-#: Blocks whose crowded buckets are linked to a member first, so that pairs inside a connected group need no comparison.
-FIRST = 8
+#: Blocks whose buckets of over FEW rows are linked to a member first, so that pairs inside a connected group need no comparison.
+FIRST, FEW = 32, 8
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -200,10 +200,10 @@ def _signatures(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _seeds(sig: DataFrame) -> DataFrame:
-    """Links of the members of crowded buckets, and of their halves by the next block, to one member: groups known early spare comparisons, no more."""
+    """Links of the members of buckets of over FEW rows, and of their halves by the next block, to one member: groups known early spare comparisons, no more."""
     keys = F.expr(f"flatten(transform(sequence(0, {FIRST - 1}), t -> array(xxhash64(t, keys[t]), xxhash64(t, keys[t], keys[t + 1]))))")
     rows = sig.select("id", F.explode(keys).alias("key"))
-    hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("hub")).filter(f"n > {SMALL}")
+    hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("hub")).filter(f"n > {FEW}")
     links = rows.join(store(hubs, "hubs").select("key", "hub"), "key").filter("id <> hub")
     return links.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a block are candidates, however crowded it is; those within five standard deviations of the Hamming distance expected at
     ``similarity`` are decided by the Jaccard of their shingle sets. So no pair below ``similarity`` is linked, and a pair at or above it
     is missed only if it shares no block: by the model with probability 0.0008 at 0.8, less above (sets of equal size; others are closer).
-    The crowded buckets of the first 8 blocks are linked before, and pairs of one group are not compared again.
+    The buckets of over 8 rows of the first 32 blocks are linked before, and pairs of one group are not compared again.
     Rows with a null id are left out; repeated ids take the smallest id of the component of each of their texts.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
