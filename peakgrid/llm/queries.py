@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, embeddings, lm, packing, rules, sharding, simhash, urls, warc
+from . import bpe, classifier, embeddings, lm, merkle, packing, rules, sharding, simhash, urls, warc
 from .common import store, table
 
 #: Name of the vocabulary file among the public tokenizers.
@@ -91,3 +91,12 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_texts(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return merkle.audit(docs, merkle.tampered(docs))
+
+
+ORACLE["op11_merkle_manifest"] = merkle.check_sql()
