@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, embeddings, lm, merkle, packing, rules, sharding, simhash, urls, warc
+from . import alignment, bpe, classifier, embeddings, lm, merkle, packing, rules, sharding, simhash, urls, warc
 from .common import store, table
 
 #: Name of the vocabulary file among the public tokenizers.
@@ -16,9 +16,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -100,3 +100,9 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op11_merkle_manifest"] = merkle.check_sql()
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return alignment.score(alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")))
