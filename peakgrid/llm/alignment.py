@@ -17,12 +17,16 @@ space), have no tokens, zeros and an empty digest; repeated rows and rows of one
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +35,10 @@ from .bpe import byte_of_letter
 from .common import map_arrow, store, text_or_empty
 
 CHUNK = 2_000_000
-REMEMBER, REMEMBER_CHARS = 200_000, 8_000_000
+REMEMBER, REMEMBER_CHARS = 250_000, 10_000_000
 SPACE = "▁"
 #: A single space before a sign that is surely neither a space nor part of one.
-PLACES = regex.compile(r"(?<=[^ ])(?= [!-~À-ɏ])")
+PLACES = re.compile(r"(?<=[^ ])(?= [!-~À-ɏ])")
 ALIGNED = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, times binary, pairs binary, holders binary"
 
 
@@ -43,44 +47,36 @@ def divide(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int, int, int]
     out, open_ = [], [(0, len(a), 0, len(b))]
     while open_:
         a0, a1, b0, b1 = open_.pop()
-        middle = (a0 + a1 - 1) // 2
-        for step in range(max(middle - a0 + 1, a1 - 1 - middle)):  # outwards from the middle
-            found = False
-            for i in (middle - step, middle + step + 1):
-                if a0 <= i < a1 - 1 and (j := bisect_left(b, a[i], b0, b1 - 1)) < b1 - 1 and b[j] == a[i]:
-                    found = True
+        if a1 - a0 == b1 - b0 and a[a0:a1] == b[b0:b1]:  # every end is a cut
+            out += zip(range(a0, a1), range(a0 + 1, a1 + 1), range(b0, b1), range(b0 + 1, b1 + 1))
+            continue
+        if a1 - a0 > 1 and b1 - b0 > 1:  # else no end lies inside
+            last, middle = a1 - 1, (a0 + a1) // 2 - 1
+            i, j = -1, 0
+            for near in range(max(middle - a0 + 1, last - 1 - middle)):  # outwards from the middle
+                i = middle - near
+                if i >= a0 and b[j := bisect_left(b, a[i], b0, b1 - 1)] == a[i]:
                     break
-            if found:
+                i = middle + near + 1
+                if i < last and b[j := bisect_left(b, a[i], b0, b1 - 1)] == a[i]:
+                    break
+                i = -1
+            if i >= 0:
                 open_ += [(i + 1, a1, j + 1, b1), (a0, i + 1, b0, j + 1)]  # the left half is taken next
-                break
-        else:
-            out.append((a0, a1, b0, b1))
+                continue
+        out.append((a0, a1, b0, b1))
     return out
 
 
-class Unit:
-    """The aligned tokens of a stretch of text."""
-
-    __slots__ = ("ok", "n_a", "n_b", "n_groups", "text", "pairs")
-
-    def __init__(self, unit: str, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]):
-        raw, ends_a, ends_b = unit.encode("utf-8", "surrogatepass"), [], []
-        for ids, table, ends in ((a, bytes_a, ends_a), (b, bytes_b, ends_b)):
-            at = 0
-            for i in ids:
-                at += len(table[i])
-                ends.append(at)
-        self.ok = b"".join([bytes_a[i] for i in a]) == raw == b"".join([bytes_b[i] for i in b])
-        self.n_a, self.n_b, self.n_groups, self.text, self.pairs = len(a), len(b), 0, "", np.empty(0, np.int64)
-        if self.ok:
-            groups = divide(ends_a, ends_b)
-            self.n_groups = len(groups)
-            self.text = ";".join([",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m])) for i, j, k, m in groups])
-            if all(j - i == 1 == m - k for i, j, k, m in groups):
-                self.pairs = np.array([x << 32 | y for x, y in zip(a, b)], np.int64)
-            else:
-                left, right = np.array(a, np.int64) << 32, np.array(b, np.int64)
-                self.pairs = np.concatenate([(left[i:j, None] | right[None, k:m]).ravel() for i, j, k, m in groups])
+class Unit(NamedTuple):
+    """The aligned tokens of a stretch of text; its linked pairs are packed as 64-bit numbers, A id in the high half."""
+
+    ok: bool
+    n_a: int
+    n_b: int
+    n_groups: int
+    text: str
+    pairs: bytes
 
 
 class Aligner:
@@ -103,20 +99,40 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.known: dict[str, Unit] = {}
+        self.before: dict[str, Unit] = {}
         self.chars = 0
 
+    def unit(self, text: str, a: list[int], b: list[int]) -> Unit:
+        raw = text.encode("utf-8", "surrogatepass")
+        parts_a, parts_b = [*map(self.bytes_a.__getitem__, a)], [*map(self.bytes_b.__getitem__, b)]
+        if not b"".join(parts_a) == raw == b"".join(parts_b):
+            return Unit(False, len(a), len(b), 0, "", b"")
+        groups, texts, pairs = divide([*accumulate(map(len, parts_a))], [*accumulate(map(len, parts_b))]), [], []
+        for i, j, k, m in groups:
+            if j - i == 1 == m - k:
+                x, y = a[i], b[k]
+                texts.append(f"{x}|{y}")
+                pairs.append(x << 32 | y)
+            else:
+                left, right = a[i:j], b[k:m]
+                texts.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
+                pairs += [x << 32 | y for x in left for y in right]
+        return Unit(True, len(a), len(b), len(groups), ";".join(texts), array("q", pairs).tobytes())
+
     def units(self, texts: list[str]) -> list[list[Unit]]:
         """The units of every text, with the space in front."""
         cut = [(PLACES.split(" " + t) if self.splits else [" " + t]) if t else [] for t in texts]
-        here = {u: self.known.get(u) for c in cut for u in c}
-        new = [u for u, x in here.items() if x is None]
-        if new:
-            for u, a, b in zip(new, self.a.encode_batch(new, add_special_tokens=False), self.b.encode([u[1:] for u in new], num_threads=1)):
-                here[u] = self.known[u] = Unit(u, a.ids, b, self.bytes_a, self.bytes_b)
-            self.chars += sum(map(len, new))
-            if len(self.known) > REMEMBER or self.chars > REMEMBER_CHARS:
-                self.known, self.chars = {}, 0
-        return [[here[u] for u in c] for c in cut]
+        if len(self.known) > REMEMBER or self.chars > REMEMBER_CHARS:  # what is not met again goes at the next turn
+            self.known, self.before, self.chars = {}, self.known, 0
+        known, before = self.known, self.before
+        missing = {u for c in cut for u in c if u not in known}
+        met = missing & before.keys()
+        known.update((u, before[u]) for u in met)
+        if new := [*(missing - met)]:
+            for u, a, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self.b.encode([u[1:] for u in new], num_threads=1)):
+                known[u] = self.unit(u, a.ids, b)
+        self.chars += sum(map(len, missing))
+        return [[*map(known.__getitem__, c)] for c in cut]
 
     def documents(self, texts: list[str]) -> Iterator[list[Unit]]:
         """As :meth:`units`; a text that does not come back from its tokens has none."""
@@ -125,6 +141,12 @@ class Aligner:
                 yield found if all(u.ok for u in found) else []
 
 
+@lru_cache(1)
+def aligner(path_a: str, path_b: str) -> Aligner:
+    """One for each worker process, so its next task finds the words remembered."""
+    return Aligner(path_a, path_b)
+
+
 class _Chunk:
     """Documents and the distinct pairs they hold."""
 
@@ -132,9 +154,13 @@ class _Chunk:
         self.number, self.rows, self.codes, self.times, self.n = number, [], [], [], 0
 
     def add(self, doc, found: list[Unit]):
-        codes, times = (np.unique(np.concatenate([u.pairs for u in found]), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64)))
-        digest = hashlib.sha256(";".join([u.text for u in found]).encode()).hexdigest() if found else ""
-        self.rows.append((doc, sum(u.n_a for u in found), sum(u.n_b for u in found), sum(u.n_groups for u in found), int(times.sum()), digest))
+        if found:
+            _, n_a, n_b, n_groups, texts, pairs = zip(*found)
+            codes, times = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_counts=True)
+            self.rows.append((doc, sum(n_a), sum(n_b), sum(n_groups), int(times.sum()), hashlib.sha256(";".join(texts).encode()).hexdigest()))
+        else:
+            codes = times = np.empty(0, np.int64)
+            self.rows.append((doc, 0, 0, 0, 0, ""))
         self.codes.append(codes)
         self.times.append(times.astype("<u4" if len(times) and times.max() > 65535 else "<u2").tobytes())
         self.n += len(codes)
@@ -159,10 +185,9 @@ def _fields(schema: str) -> list[tuple[str, pa.DataType]]:
 def align(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its numbers and, packed, its distinct linked pairs as places in the sorted dictionary that the first row of its chunk carries."""
     def run(batches):
-        aligner, first = Aligner(path_a, path_b), TaskContext.get().partitionId() << 32
-        held = _Chunk(first)
+        held, sides = _Chunk(TaskContext.get().partitionId() << 32), aligner(path_a, path_b)
         for batch in batches:
-            for doc, found in zip(batch.column(0).to_pylist(), aligner.documents(batch.column(1).to_pylist())):
+            for doc, found in zip(batch.column(0).to_pylist(), sides.documents(batch.column(1).to_pylist())):
                 held.add(doc, found)
                 if held.n >= chunk:
                     yield held.batch()
@@ -220,11 +245,11 @@ def groups(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
     kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
 
     def make():
-        aligner = Aligner(path_a, path_b)
+        both = aligner(path_a, path_b)
 
         def step(batch):
             rows = []
-            for found in aligner.documents(batch.column(1).to_pylist()):
+            for found in both.documents(batch.column(1).to_pylist()):
                 sides = [g.split("|") for u in found for g in u.text.split(";")]
                 rows.append([{"a": [int(x) for x in a.split(",")], "b": [int(x) for x in b.split(",")]} for a, b in sides])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "groups"])
