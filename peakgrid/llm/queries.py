@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, classifier, embeddings, lm, merkle, packing, rules, sharding, simhash, urls, warc
+from . import alignment, bpe, classifier, embeddings, licences, lm, merkle, packing, rules, sharding, simhash, urls, warc
 from .common import store, table
 
 #: Name of the vocabulary file among the public tokenizers.
@@ -102,6 +102,11 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 ORACLE["op11_merkle_manifest"] = merkle.check_sql()
 
 
+@query
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents")).drop("notices")
+
+
 @query
 def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
