@@ -6,18 +6,22 @@ joined back to the sites.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import from_fixed, safe_ratio
-from ..functions.tiles import div
+from ..functions.tiles import by_tile, div
 from ..session import cut, lookup
 
 NONCANONICAL = ["nonsense_mediated_decay", "processed_transcript", "retained_intron"]  # fixed values
 GENE_BLOCKS = 100
 PROFILE_WIDTH = 2500
 LOCUS_FLANK = 50_000
+SUM_BINS = 1024
+#: Of range sums of values that are not fixed point.
+EXACT = "decimal(28,12)"
 
 
 def drop_noncanonical_biotypes(genes: DataFrame) -> DataFrame:
@@ -46,10 +50,10 @@ def gene_loci_regions(genes: DataFrame, names: DataFrame, genome: DataFrame, fla
 
 
 def value_bins(bins: DataFrame, pairs: DataFrame, stype: int = 0) -> DataFrame:
-    """Values to profile: 0 the ChIP signal, 1 ChIP / input per bin -> (label, chrom, bin, value)."""
+    """Values to profile: 0 the ChIP signal (with its fixed-point ``v``), 1 ChIP / input per bin -> (label, chrom, bin, value)."""
     if stype == 0:
         one = lookup(pairs).select("label", F.col("chip").alias("sample"))
-        return bins.join(one, "sample").select("label", "chrom", "bin", from_fixed(F.col("v")).alias("value"))
+        return bins.join(one, "sample").select("label", "chrom", "bin", from_fixed(F.col("v")).alias("value"), "v")
     from .peaks import pair_bins
     side = (pair_bins(bins, pairs).groupBy("label", "chrom", "bin")
             .agg(F.sum("c").alias("c"), F.sum("i").alias("i")))
@@ -149,15 +153,71 @@ def _gene_blocks(genes: DataFrame, genome: DataFrame, binsize: int, width: int |
                     _trunc_bin(F.when(fwd, fe).otherwise(re_), binsize).alias("ebin"))
 
 
-def range_bins(ranges: DataFrame, values: DataFrame) -> DataFrame:
-    """The values in every distinct (chrom, sbin, ebin)."""
-    distinct = ranges.filter(F.col("ebin") >= F.col("sbin")).select("chrom", "sbin", "ebin").distinct()
-    return distinct.withColumn("bin", F.explode(F.sequence("sbin", "ebin"))).join(values, ["chrom", "bin"])
-
+def range_totals(ranges: DataFrame, values: DataFrame, labels: Sequence[str], tile: int = SUM_BINS) -> DataFrame:
+    """Sum of the values in every distinct closed range (chrom, sbin, ebin), per label -> (label, chrom, sbin, ebin, total).
 
-def _block_means(blocks: DataFrame, values: DataFrame, labels: DataFrame) -> DataFrame:
-    hit = range_bins(blocks, values).groupBy("chrom", "sbin", "ebin", "label").agg(F.sum("value").alias("total"))
-    every = blocks.withColumn("label", F.explode(F.array(*[F.lit(r[0]) for r in labels.select("label").collect()])))
+    Running sums are made inside tiles, which hold the points asked for beside the stored bins; what lies in earlier tiles is carried
+    through the table of tile sums. So a range costs two points, however long it is. Sums are exact (of the
+    fixed-point ``v`` where there is one, else of decimals), hence a range without signal is 0. Every range has a row for every label.
+    """
+    keys, fixed = ["label", "chrom"], "v" in values.columns
+    q, kind = (F.col("v"), "long") if fixed else (F.col("value"), EXACT)
+    distinct = ranges.filter(F.col("ebin") >= F.col("sbin")).select("chrom", "sbin", "ebin").distinct()
+    points = (distinct.select("chrom", "sbin", "ebin", F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"), F.inline(F.array(
+        F.struct((F.col("sbin") - 1).alias("bin"), F.lit(-1).alias("sign")), F.struct(F.col("ebin").alias("bin"), F.lit(1).alias("sign")))))
+        .filter("bin >= 0").withColumn("q", F.lit(None).cast(kind)))
+    rows = values.select(*keys, "bin", q.cast(kind).alias("q")).unionByName(points, True).withColumn("tile", div("bin", tile))
+    w = Window.partitionBy(*keys, "tile").orderBy("bin", F.col("sign").asc_nulls_first())  # stored bins before the points on them
+    sums = cut(by_tile(rows, keys)
+               .withColumn("run", F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.lead("bin").over(w).isNull())
+               .filter("sign IS NOT NULL OR last").drop("q", "bin"))
+    before = F.sum("run").over(Window.partitionBy(*keys).orderBy("tile").rowsBetween(Window.unboundedPreceding, -1))
+    carried = sums.filter("last").select(*keys, "tile", before.alias("carried"))  # one row a tile
+    upto = F.coalesce("run", F.lit(0)) + F.coalesce("carried", F.lit(0))
+    total = F.sum(F.when(F.col("sign") < 0, -upto).otherwise(upto))
+    return (sums.filter("sign IS NOT NULL").join(carried, [*keys, "tile"]).groupBy(*keys, "sbin", "ebin")
+            .agg((from_fixed(total) if fixed else total.cast("double")).alias("total")))
+
+
+def range_maxima(ranges: DataFrame, values: DataFrame, fan: int = 16, levels: int = 6) -> DataFrame:
+    """Largest value in every distinct range (chrom, sbin, ebin), per label -> (label, chrom, sbin, ebin, top).
+
+    Maxima are kept for blocks of ``fan`` bins, ``fan`` of those and so on; a range is cut into whole blocks, at most
+    ``2 * fan`` of each level but the last.
+    """
+    def of_level(blocks: str, k: int) -> Column:
+        return F.transform(F.coalesce(blocks, F.array().cast("array<int>")), lambda x: F.struct(F.lit(k).alias("level"), x.alias("block")))
+    keys = ["label", "chrom"]
+    layer = values.select(*keys, F.col("bin").alias("block"), F.col("value").alias("top"))
+    layers = []
+    for k in range(levels):
+        if k:
+            layer = layer.groupBy(*keys, div("block", fan).alias("block")).agg(F.max("top").alias("top"))
+        layers.append(layer.withColumn("level", F.lit(k)))
+    out = ranges.filter(F.col("ebin") >= F.col("sbin")).select("chrom", "sbin", "ebin").distinct()
+    low, high, pieces = F.col("sbin"), F.col("ebin"), []
+    for k in range(levels):
+        # what lies outside the whole blocks of the next level; everything where there is none
+        first, last = F.ceil(low / fan).cast("int"), (F.floor((high + 1) / fan) - 1).cast("int")
+        some, inner = low <= high, (first <= last) if k < levels - 1 else F.lit(False)
+        to, back = F.when(inner, first * fan - 1).otherwise(high), (last + 1) * fan
+        head, tail = F.when(some & (low <= to), F.sequence(low, to)), F.when(some & inner & (back <= high), F.sequence(back, high))
+        out = out.withColumn(f"_head{k}", head).withColumn(f"_tail{k}", tail).withColumn(f"_low{k}", F.when(some & inner, first).otherwise(1)).withColumn(f"_high{k}", F.when(some & inner, last).otherwise(0))
+        low, high = F.col(f"_low{k}"), F.col(f"_high{k}")
+        pieces += [of_level(f"_{part}{k}", k) for part in ("head", "tail")]
+    blocks = out.select("chrom", "sbin", "ebin", F.inline(F.concat(*pieces)))
+    return (blocks.join(reduce(DataFrame.unionByName, layers), ["chrom", "level", "block"])
+            .groupBy(*keys, "sbin", "ebin").agg(F.max("top").alias("top")))
+
+
+def _label_names(pairs: DataFrame) -> list[str]:
+    return [r[0] for r in pairs.select("label").collect()]
+
+
+def _block_means(blocks: DataFrame, values: DataFrame, pairs: DataFrame) -> DataFrame:
+    labels = _label_names(pairs)
+    hit = range_totals(blocks, values, labels)
+    every = blocks.withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels])))
     out = every.join(hit, ["chrom", "sbin", "ebin", "label"], "left")
     width = F.col("ebin") - F.col("sbin") + 1
     mean = F.when(width > 0, F.coalesce(safe_ratio(F.col("total"), width), F.lit(0.0))).otherwise(0.0)
@@ -185,13 +245,14 @@ def site_matrix(bed: DataFrame, bins: DataFrame, pairs: DataFrame, genome: DataF
     Intervals outside the chromosome are left out. Every distinct bin range is
     looked up once for all labels; equal intervals keep their rows.
     """
-    labels = [r[0] for r in pairs.select("label").collect()]
+    labels = _label_names(pairs)
     inside = (bed.join(lookup(genome).select("chrom", "length"), "chrom")
               .filter((F.col("start") >= 0) & (F.col("end") < F.col("length"))).drop("length")
               .withColumn("sbin", div("start", binsize)).withColumn("ebin", div(F.col("end") - 1, binsize)))
-    of = {l: F.when(F.col("label") == l, F.col("value")) for l in labels}
-    cells = [(F.sum(of[l]) if how == "mean" else F.max(of[l])).alias(l) for l in labels]
-    hit = (range_bins(inside, value_bins(bins, pairs, stype)).groupBy("chrom", "sbin", "ebin").agg(*cells))
+    values = value_bins(bins, pairs, stype)
+    hit = range_totals(inside, values, labels) if how == "mean" else range_maxima(inside, values)
+    value = F.col("total") if how == "mean" else F.col("top")
+    hit = hit.groupBy("chrom", "sbin", "ebin").agg(*[F.max(F.when(F.col("label") == l, value)).alias(l) for l in labels])
     width = F.col("ebin") - F.col("sbin") + 1
 
     def cell(label: str) -> Column:

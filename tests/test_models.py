@@ -319,3 +319,28 @@ def test_global_rank(spark):
     got = PR.global_rank(df, [F.col("v").desc(), F.col("site").asc()], "k", parts=7).collect()
     want = {s: i for i, (s, _) in enumerate(sorted(data, key=lambda x: (-x[1], x[0])))}
     assert {r["site"]: r["k"] for r in got} == want
+
+
+@pytest.mark.parametrize("tile, fan", [(8, 2), (64, 4), (8192, 16)])
+def test_range_totals_and_maxima(spark, tile, fan):
+    """Against the exploded form; ranges from one bin to the whole chromosome, ranges without signal, backward ranges."""
+    rnd = random.Random(21)
+    data = [(label, chrom, b, round(rnd.random() * 100 - 20, 4)) for label in "xy" for chrom in "cd" for b in rnd.sample(range(1000), 250)]
+    spans = [(rnd.choice("cd"), a, min(a + rnd.choice([0, 1, 7, 63, 64, 300, 999]), 1200)) for a in (rnd.randrange(1100) for _ in range(120))]
+    spans += [("c", 0, 999), ("c", 0, 0), ("d", 1100, 1150), ("c", 9, 3), ("none", 0, 5), ("c", 0, 999)]
+    values = spark.createDataFrame(data, "label string, chrom string, bin int, value double")
+    ranges = spark.createDataFrame(spans, "chrom string, sbin int, ebin int")
+    inside = {(label, c, s, e): [v for x, k, b, v in data if (x, k) == (label, c) and s <= b <= e] for label in "xy" for c, s, e in spans if e >= s}
+    got = {(r.label, r.chrom, r.sbin, r.ebin): r.total for r in PR.range_totals(ranges, values, ["x", "y"], tile).collect()}
+    assert got == {k: pytest.approx(sum(v), abs=1e-9) for k, v in inside.items()} and all(got[k] == 0 for k, v in inside.items() if not v)
+    top = {(r.label, r.chrom, r.sbin, r.ebin): r.top for r in PR.range_maxima(ranges, values, fan, 4).collect()}
+    assert top == {k: max(v) for k, v in inside.items() if v}
+
+
+def test_long_range_is_not_exploded(spark):
+    """A range over ten million bins costs two points, or a few blocks for the maximum."""
+    values = spark.createDataFrame([("x", "c", 5, 2.0), ("x", "c", 9_999_999, 3.0)], "label string, chrom string, bin int, value double")
+    ranges = spark.createDataFrame([("c", 1, 9_999_999)], "chrom string, sbin int, ebin int")
+    totals = PR.range_totals(ranges, values, ["x"])
+    assert totals.first().total == 5.0 and "sequence(" not in totals._jdf.queryExecution().toString()
+    assert PR.range_maxima(ranges, values).first().top == 3.0
