@@ -1,7 +1,7 @@
 """Interval algebra on closed intervals ``(keys..., start, end)``."""
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,53 +72,82 @@ def combine(a: DataFrame, b: DataFrame, how: str, keys: Sequence[str] = ("chrom"
     return merge_intervals(segs.filter(keep), keys, tile)
 
 
+def _widths(bucket: int, fan: int) -> list[int]:
+    """Bin widths of the nested levels; the last covers every 32-bit position."""
+    out = [bucket]
+    while out[-1] < 1 << 31:
+        out.append(out[-1] * fan)
+    return out
+
+
+def _by_level(length: Column, widths: list[int], value: Callable[[int, int], Column]) -> Column:
+    """``value(level, width)`` of the lowest level whose bins are as wide as ``length``."""
+    out = F.when(length <= widths[0], value(0, widths[0]))
+    for k, w in enumerate(widths[1:-1], 1):
+        out = out.when(length <= w, value(k, w))
+    return out.otherwise(value(len(widths) - 1, widths[-1]))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, bucket: int = BUCKET_BP, how: str = "inner",
                  on: Sequence[str] = ("chrom",), left_span: tuple[str, str] = ("start", "end"),
-                 right_span: tuple[str, str] = ("start", "end")) -> DataFrame:
+                 right_span: tuple[str, str] = ("start", "end"), fan: int = 4) -> DataFrame:
     """Pairs of overlapping intervals.
 
-    Both sides go to the buckets they touch and meet by equality; a pair that
-    shares several buckets is reported in the first of them only, so no
-    de-duplication follows. Span columns must differ in name between the sides.
+    Bins are nested: each level's are ``fan`` times as wide as those of the level below. An interval is at home on the lowest level whose bins are as
+    wide as itself, and visits those levels above that the other side has; it lies in one or two bins of each, however long it is. A pair meets at the higher
+    of its two levels only: a key names the side that is at home, so visitors of a wide bin do not meet each other. A pair that
+    shares two bins is reported in the first. Span columns must differ in name between the sides.
     """
     if how != "inner":
         raise ValueError("use overlaps_any for semi joins")
-    on = list(on)
-    ls, le = left_span
-    rs, re_ = right_span
-    lb = left.withColumn("_lb", div(ls, bucket)).withColumn("_b", F.explode(F.sequence("_lb", div(le, bucket))))
-    rb = right.withColumn("_rb", div(rs, bucket)).withColumn("_b", F.explode(F.sequence("_rb", div(re_, bucket))))
-    pairs = lb.join(rb, [*on, "_b"])
-    return (pairs.filter((F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le))
-                         & (F.greatest("_lb", "_rb") == F.col("_b")))
-            .drop("_b", "_lb", "_rb"))
+    on, widths = list(on), _widths(bucket, fan)
+
+    def level(span: tuple[str, str]) -> Column:
+        return _by_level(F.col(span[1]) - F.col(span[0]) + 1, widths, lambda k, _: F.lit(k))
+
+    def placed(df: DataFrame, span: tuple[str, str], first: str, left_side: bool, other: DataFrame, other_span: tuple[str, str]) -> DataFrame:
+        """Key 2k names the right side at home on level k, 2k + 1 the left side. A right row at home meets left rows at home too."""
+        there = other.agg(F.collect_set(level(other_span))).scalar()  # at most one entry a level
+        df = df.withColumn("_own", level(span)).withColumn("_there", there)
+        side = 1 - left_side  # of those that are visited: right rows visit left homes
+        home = F.array(2 * F.col("_own") + (1 - side))
+        visits = F.transform(F.filter("_there", lambda x: x > F.col("_own") if left_side else x >= F.col("_own")), lambda x: 2 * x + side)
+        df = df.withColumn("_key", F.explode(F.concat(home, visits))).drop("_own", "_there")
+        width = F.lit(bucket).cast("long") * F.pow(F.lit(float(fan)), F.shiftright("_key", 1)).cast("long")
+        df = df.withColumn(first, F.floor(F.col(span[0]) / width).cast("int")).withColumn("_last", F.floor(F.col(span[1]) / width).cast("int"))
+        return df.withColumn("_b", F.explode(F.sequence(first, "_last"))).drop("_last")
+
+    l, r = placed(left, left_span, "_lb", True, right, right_span), placed(right, right_span, "_rb", False, left, left_span)
+    (ls, le), (rs, re_) = left_span, right_span
+    return (l.join(r, [*on, "_key", "_b"]).filter((F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le)) & (F.greatest("_lb", "_rb") == F.col("_b")))
+            .drop("_key", "_b", "_lb", "_rb"))
 
 
 def overlaps_any(left: DataFrame, right: DataFrame, max_span: int | None = None,
                  on: Sequence[str] = ("chrom",), bucket: int = 4096, anti: bool = False,
-                 span: tuple[str, str] = ("start", "end")) -> DataFrame:
+                 span: tuple[str, str] = ("start", "end"), fan: int = 16) -> DataFrame:
     """Rows of ``left`` that overlap any interval of ``right`` (semi or anti join), each once.
 
-    With a proven bound ``max_span`` on ``end - start`` of the left rows, a left
-    row lives in the bucket of its start only, and the merged right intervals are
-    offered to every bucket whose rows could reach them; a longer row is an error.
-    Without a bound the distinct left spans are matched, then joined back.
+    A left row has one key: the bin of its start at the lowest level of nested bins that are as wide as itself. The right intervals are merged, so they are
+    disjoint, and offered at every level to the bins whose rows could reach them; their number is bounded by the genome over ``bucket``
+    plus a few for each interval and level. ``max_span``, the usual bound of ``end - start``, widens the lowest bins to it; longer rows are found as well.
     """
     on = list(on)
     s, e = span
-    how = "left_anti" if anti else "left_semi"
+    widths = _widths(max(bucket, (max_span or 0) + 1), fan)
     merged = merge_intervals(right, on).withColumnRenamed("start", "_s").withColumnRenamed("end", "_e")
-    if max_span is None:
-        spans = left.select(*on, s, e).distinct()
-        hits = overlap_join(spans, merged, left_span=span, right_span=("_s", "_e"), on=on)
-        return left.join(hits.select(*on, s, e).distinct(), [*on, s, e], how)
-    offer = merged.withColumn("_b", F.explode(F.sequence(
-        div(F.greatest(F.col("_s") - max_span, F.lit(0)), bucket), div("_e", bucket))))
-    home = F.when(F.col(e) - F.col(s) <= max_span, div(s, bucket)).otherwise(
-        F.raise_error(F.lit(f"interval longer than {max_span}")).cast("int"))
-    l = left.withColumn("_b", home)
-    cond = [l[k] == offer[k] for k in [*on, "_b"]] + [l[s] <= offer["_e"], offer["_s"] <= l[e]]
-    return l.join(offer, cond, how).drop("_b")
+    reach = F.concat(*[F.transform(F.sequence(F.floor(F.greatest(F.col("_s") - (w - 1), F.lit(0)) / w).cast("int"), F.floor(F.col("_e") / w).cast("int")), _at_level(k))
+                       for k, w in enumerate(widths)])
+    offer = merged.select("*", F.inline(reach))
+    length = F.col(e) - F.col(s) + 1
+    l = (left.withColumn("_l", _by_level(length, widths, lambda k, _: F.lit(k)))
+         .withColumn("_b", _by_level(length, widths, lambda _, w: F.floor(F.col(s) / w).cast("int"))))
+    cond = [l[k] == offer[k] for k in on] + [l["_l"] == offer["_level"], l["_b"] == offer["_bin"], l[s] <= offer["_e"], offer["_s"] <= l[e]]
+    return l.join(offer, cond, "left_anti" if anti else "left_semi").drop("_b", "_l")
+
+
+def _at_level(k: int):
+    return lambda x: F.struct(F.lit(k).alias("_level"), x.alias("_bin"))
 
 
 def restrict_to_regions(df: DataFrame, regions: DataFrame) -> DataFrame:

@@ -200,11 +200,22 @@ def test_overlaps(spark, bucket):
     assert rows(joined, "chrom", "start", "end", "s", "e") == want
 
 
-def test_span_bound_is_checked(spark):
+def test_longer_rows_than_the_usual_bound_are_found(spark):
     schema = "chrom string, start int, end int"
-    a = spark.createDataFrame([("x", 0, 100)], schema)
-    with pytest.raises(Exception, match="longer than 50"):
-        I.overlaps_any(a, a, 50).collect()
+    a = spark.createDataFrame([("x", 0, 100), ("x", 200, 2_000_000_000), ("x", 150, 160)], schema)
+    b = spark.createDataFrame([("x", 90, 95), ("x", 1_999_999_999, 2_100_000_000)], schema)
+    assert rows(I.overlaps_any(a, b, 50, bucket=16), "start") == [(0,), (200,)]
+    assert rows(I.overlaps_any(a, b, 50, bucket=16, anti=True), "start") == [(150,)]
+
+
+def test_long_interval_among_short_ones(spark):
+    """With buckets of one base, an interval over a chromosome could never be dealt to every bucket it touches."""
+    short = [("x", 1000 * i, 1000 * i + i % 40) for i in range(300)]
+    a = spark.createDataFrame([*short, ("x", 50_000, 2_000_000_000), ("y", 0, 9)], "chrom string, start int, end int")
+    b = spark.createDataFrame([("x", 1000 * i + 20, 1000 * i + 20) for i in range(300)] + [("x", 0, 2_000_000_000)], "chrom string, s int, e int")
+    got = rows(I.overlap_join(a, b, 1, right_span=("s", "e")), "chrom", "start", "end", "s", "e")
+    spans_a, spans_b = [tuple(r) for r in a.collect()], [tuple(r) for r in b.collect()]
+    assert got == sorted((*p, q[1], q[2]) for p in spans_a for q in spans_b if p[0] == q[0] and p[1] <= q[2] and q[1] <= p[2])
 
 
 def make_reads(spark, n=3000, hot=0.4):
