@@ -30,10 +30,10 @@ def pair_filter(reads: DataFrame, max_insert: int = MAX_INSERT) -> DataFrame:
 
 
 def with_length(df: DataFrame, flen: int | DataFrame) -> DataFrame:
-    """Add ``_flen``: one fragment length, or that of each sample (sample, fragment_length)."""
+    """Add ``_flen``: one fragment length, or that of each sample (sample, fragment_length); a sample without one takes the fixed length."""
     if isinstance(flen, DataFrame):
         lengths = lookup(flen.select("sample", F.col("fragment_length").cast("int").alias("_flen")))
-        return df.join(lengths, "sample")
+        return df.join(lengths, "sample", "left").withColumn("_flen", F.coalesce("_flen", F.lit(FIXED_FRAGMENT)))
     return df.withColumn("_flen", F.lit(int(flen)))
 
 
@@ -78,10 +78,10 @@ def duplicate_threshold(reads: DataFrame, genome: DataFrame) -> DataFrame:
 
 
 def with_threshold(df: DataFrame, threshold: int | DataFrame) -> DataFrame:
-    """Add ``_limit``: one threshold, or that of each sample (sample, threshold)."""
+    """Add ``_limit``: one threshold, or that of each sample (sample, threshold); a sample without one keeps one read a site."""
     if isinstance(threshold, DataFrame):
         limits = lookup(threshold.select("sample", F.floor("threshold").cast("long").alias("_limit")))
-        return df.join(limits, "sample")
+        return df.join(limits, "sample", "left").withColumn("_limit", F.coalesce("_limit", F.lit(1).cast("long")))
     return df.withColumn("_limit", F.lit(int(threshold)).cast("long"))
 
 
@@ -93,7 +93,7 @@ def nonredundant(reads: DataFrame, threshold: int | DataFrame = 1, paired: bool
     sample the cut uses the largest one and the rest is filtered behind it.
     """
     each = isinstance(threshold, DataFrame)
-    top = int(threshold.agg(F.max("threshold")).first()[0] or 1) if each else int(threshold)
+    top = max(1, int(threshold.agg(F.max("threshold")).first()[0] or 1)) if each else int(threshold)
     w = Window.partitionBy(*site_keys(reads, paired)).orderBy("read_id")
     out = reads.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top)
     if each:
@@ -218,6 +218,12 @@ def estimate_fragment_length(reads: DataFrame, genome: DataFrame, read_length: i
     return fragment_length(profile, read_length, margin)
 
 
+def with_every_sample(lengths: DataFrame, reads: DataFrame) -> DataFrame:
+    """A length for each sample of the reads: the fixed one where none could be estimated, as without reads on numbered chromosomes."""
+    return (reads.select("sample").distinct().join(lengths, "sample", "left")
+            .withColumn("fragment_length", F.coalesce("fragment_length", F.lit(FIXED_FRAGMENT))))
+
+
 def fragment_length(profile: DataFrame, read_length: int = 0, margin: int = 0) -> DataFrame:
     """Shift at the maximum, the peak at the read length left out; smallest shift on ties."""
     p = profile.filter(F.abs(F.col("shift") - read_length) > margin) if read_length else profile

@@ -38,14 +38,14 @@ def count_reads(reads: DataFrame, genome: DataFrame, binsize: int = 100, flen: i
     """Filter, extend, weight, count and normalise reads; with quality statistics.
 
     ``flen`` None estimates the fragment length of each sample from the strand
-    shift. ``threshold`` None takes the rule 10 x expected reads, per sample.
+    shift; a sample without reads on numbered chromosomes takes the fixed length. ``threshold`` None takes the rule 10 x expected reads, per sample.
     """
     if paired:
         reads = R.pair_filter(reads, max_insert)
     if paired:
         flen = flen or R.FIXED_FRAGMENT
     elif flen is None:
-        flen = cut(R.estimate_fragment_length(reads, genome, read_length, 5 if read_length else 0))
+        flen = cut(R.with_every_sample(R.estimate_fragment_length(reads, genome, read_length, 5 if read_length else 0), reads))
     if threshold is None:
         threshold = cut(R.duplicate_threshold(reads, genome))
     limit = (1 << 31) - 1 if keep_duplicates else threshold  # without the filter no read is redundant
@@ -80,7 +80,7 @@ def gc_normalise(reads: DataFrame, chunks: DataFrame, genome: DataFrame, flen: i
     """
     windows: dict[int, list[str] | None] = {}
     if isinstance(flen, DataFrame):
-        for r in flen.select("sample", "fragment_length").collect():  # one row per sample
+        for r in R.with_every_sample(flen, reads).select("sample", "fragment_length").collect():  # one row per sample
             windows.setdefault(GC.window_length(r["fragment_length"], flen4gc), []).append(r["sample"])
     else:
         windows[GC.window_length(flen, flen4gc)] = None

@@ -142,3 +142,18 @@ def test_one_sample_of_a_folder(spark, tmp_path):
     assert rows(got, "sample", "bin", "v") == [(f"{root}#chip", 0, 10000), (f"{root}#input", 0, 30000)]
     with pytest.raises(ValueError, match="several samples"):
         C.load_signals(spark, spark.createDataFrame([(root, None, 100)], sheet))
+
+
+def test_sample_without_an_estimated_length_stays(spark, files):
+    """A sample on chrX only has no strand shift on numbered chromosomes; it is counted with the fixed length."""
+    from peakgrid.schemas import GENOME, READS
+    genome = spark.createDataFrame([("chr1", 5000, 5000, 0), ("chrX", 5000, 5000, 1)], GENOME)
+    sites = [("a", "chr1", st, p + (80 if st == "-" else 0)) for p in range(300, 4500, 97) for st in "+-"] + [("b", "chrX", "+-"[p % 2], p) for p in range(300, 4500, 131)]
+    reads = spark.createDataFrame([(s, i, c, st, p, None, 36, 36, 1, None, None, 1.0) for i, (s, c, st, p) in enumerate(sites)], READS)
+    got, fixed = C.count_reads(reads, genome, 100, None, threshold=1), C.count_reads(reads.filter("sample = 'b'"), genome, 100, R.FIXED_FRAGMENT, threshold=1)
+    assert rows(got.bins.filter("sample = 'b'"), "chrom", "bin", "v") == rows(fixed.bins, "chrom", "bin", "v") != []
+    assert got.stats.filter("chrom = 'Genome'").count() == 2
+    lengths = spark.createDataFrame([("a", 80)], "sample string, fragment_length int")
+    assert R.extend(reads, lengths).filter("sample = 'b' AND abs(f5 - f3) = 150").count() == sum(s[0] == "b" for s in sites)
+    limits = spark.createDataFrame([("a", 2.0)], "sample string, threshold double")
+    assert R.nonredundant(reads.union(reads), limits).groupBy("sample").count().filter("sample = 'b'").first()["count"] == sum(s[0] == "b" for s in sites)
