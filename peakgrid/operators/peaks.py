@@ -11,6 +11,7 @@ from ..functions.scores import evaluate_once, scaled_ratio, with_binomial_score,
 from ..functions.tiles import TILE_BINS, by_tile, div, own_rows, spread, stitch
 from ..session import cut, derived_lookup, lookup
 from .bins import LOCAL_BINS, bin_count, local_mean, smooth_tiles
+from .intervals import tiled_union
 
 
 @dataclass(frozen=True)
@@ -152,3 +153,20 @@ def mark_peaks(track: DataFrame, peaks: DataFrame, start: int, end: int) -> Data
     """Peaks of the shown range, clipped to it."""
     return (peaks.filter((F.col("start") <= end) & (F.col("end") >= start))
             .withColumn("start", F.greatest("start", F.lit(start))).withColumn("end", F.least("end", F.lit(end))))
+
+
+def mark_track(track: DataFrame, called: DataFrame, binsize: int, user: DataFrame | None = None, tile: int = TILE_BINS) -> DataFrame:
+    """Bins (sample, chrom, bin, ...) with ``in_peak``: whether a peak of the sample touches them, a sample's user list (sample, chrom, start, end) before its called peaks.
+
+    The merged peaks are cut at tile borders, so one sweep over the bins and the interval ends of a tile needs nothing from other tiles.
+    """
+    keys, span = ["sample", "chrom"], ["sample", "chrom", "start", "end"]
+    peaks = called.select(span)
+    if user is not None:
+        peaks = peaks.join(user.select("sample").distinct(), "sample", "left_anti").unionByName(user.select(span))
+    spans = tiled_union(peaks.withColumn("start", div("start", binsize)).withColumn("end", div("end", binsize)), keys, tile)
+    steps = spans.select(*keys, "tile", F.inline(F.array(F.struct(F.col("start").alias("bin"), F.lit(1).alias("_step")),
+                                                         F.struct((F.col("end") + 1).alias("bin"), F.lit(-1).alias("_step")))))
+    rows = by_tile(track.withColumn("tile", div("bin", tile)).unionByName(steps, True), keys)
+    w = Window.partitionBy(*keys, "tile").orderBy("bin", F.col("_step").isNull()).rowsBetween(Window.unboundedPreceding, 0)  # ends before the bin itself
+    return (rows.withColumn("in_peak", F.coalesce(F.sum("_step").over(w), F.lit(0)) > 0).filter("_step IS NULL").drop("_step", "tile"))

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import functions as F
+
 from ..operators import bins as B
 from ..operators import peaks as P
 from ..operators.bins import gaussian_weights
@@ -112,3 +114,12 @@ WHERE "start" <= 700000 AND "end" >= 200000""")
 def peaks_in_view(t):
     peaks = P.call_peaks(t.bins, t.pairs, t.genome, BIN, params("SHARP"))
     return P.mark_peaks(peaks, peaks, 200000, 700000).select("chrom", "start", "end", "summit")
+
+
+@query("tracks_marked_peaks", "dense", peaks_sql("SHARP") + """
+SELECT chrom, bin, EXISTS (SELECT 1 FROM peaks p WHERE p.chrom = b.chrom AND p."start" < (b.bin + 1) * 100 AND p."end" >= b.bin * 100) AS in_peak
+FROM bins b WHERE smp = 'chip'""")
+def tracks_marked_peaks(t):
+    peaks = P.call_peaks(t.bins, t.pairs, t.genome, BIN, params("SHARP"))
+    track = t.bins.filter("sample = 'chip'").select(F.lit("S1").alias("sample"), "chrom", "bin")
+    return P.mark_track(track, peaks, BIN).select("chrom", "bin", "in_peak")

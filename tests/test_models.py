@@ -355,3 +355,17 @@ def test_long_range_is_not_exploded(spark):
     totals = PR.range_totals(ranges, values, ["x"])
     assert totals.first().total == 5.0 and "sequence(" not in totals._jdf.queryExecution().toString()
     assert PR.range_maxima(ranges, values).first().top == 3.0
+
+
+@pytest.mark.parametrize("tile", [4, 64, 8192])
+def test_mark_track(spark, tile):
+    """Against the exploded form; the user's list replaces the called peaks of its sample only."""
+    rnd = random.Random(31)
+    spans = {who: [(s, c, p, p + rnd.choice([0, 5, 99, 100, 900])) for s in names for c in "cd" for p in rnd.sample(range(6000), 6)] for who, names in (("called", "ab"), ("user", "b"))}
+    track = [(s, c, b, s + c) for s in "abz" for c in "cde" for b in range(0, 80, rnd.choice([1, 2]))]
+    kind = "sample string, chrom string, start int, end int"
+    called, user = (spark.createDataFrame(spans[k], kind) for k in ("called", "user"))
+    df = spark.createDataFrame(track, "sample string, chrom string, bin int, note string")
+    for mine, source in ((None, {"a": "called", "b": "called", "z": "called"}), (user, {"a": "called", "b": "user", "z": "called"})):
+        want = sorted((s, c, b, any(x == s and k == c and p // 100 <= b <= e // 100 for x, k, p, e in spans[source[s]]), note) for s, c, b, note in track)
+        assert rows(P.mark_track(df, called, 100, mine, tile), "sample", "chrom", "bin", "in_peak", "note") == want
