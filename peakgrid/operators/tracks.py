@@ -103,8 +103,13 @@ def track_view(bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: in
     grp, value, drawn (clipped to the scale), marked. ``input_of_first`` keeps the
     input layer for that label only. Overlay samples are further rows of ``pairs``
     with the same panel.
+
+    Only bins within reach of the region (half the local window and twice the smoothing) are read and scored; the
+    condition goes down to the files, which ``write_bins`` sorts by bin.
     """
-    s = scored_bins(bins, pairs, genome, binsize, smooth, keep_zero=True).filter(F.col("chrom") == chrom)
+    reach = LOCAL_BINS // 2 + 2 * smooth
+    near = bins.filter((F.col("chrom") == chrom) & F.col("bin").between(start // binsize - reach, end // binsize + reach))
+    s = scored_bins(near, pairs, genome, binsize, smooth, keep_zero=True)
     value = {
         "pinter": F.col("p_internal"), "penrich": F.col("p_enrich"), "ratio": F.col("enrichment"),
         "logratio": log_ratio(F.col("enrichment"), scale_ratio), "chip": from_fixed(F.col("c")),

@@ -157,3 +157,21 @@ def test_sample_without_an_estimated_length_stays(spark, files):
     assert R.extend(reads, lengths).filter("sample = 'b' AND abs(f5 - f3) = 150").count() == sum(s[0] == "b" for s in sites)
     limits = spark.createDataFrame([("a", 2.0)], "sample string, threshold double")
     assert R.nonredundant(reads.union(reads), limits).groupBy("sample").count().filter("sample = 'b'").first()["count"] == sum(s[0] == "b" for s in sites)
+
+
+def test_view_reads_its_neighbourhood_only(spark, tmp_path):
+    """Bins far from the region change nothing, and the bin range is pushed to the files."""
+    from peakgrid.operators import tracks as T
+    genome = spark.createDataFrame([("c", 10_000_000, None, 0), ("d", 5000, None, 1)], "chrom string, length int, mappable long, ord int")
+    near = [(s, "c", b, 10000 * (1 + b * (7 if s == "chip" else 5) % 13)) for s in ("chip", "input") for b in range(48_000, 53_000, 3)]
+    far = [(s, "c", b, 5_000_000) for s in ("chip", "input") for b in (*range(0, 9000, 10), *range(90_000, 99_000, 10))] + [("chip", "d", 3, 90000)]
+    kind = "sample string, chrom string, bin int, v long"
+    sinks.write_bins(spark.createDataFrame(near + far, kind), str(tmp_path / "bins"))
+    pairs = spark.createDataFrame([("S1", "chip", "input")], "label string, chip string, input string")
+    stored = spark.read.schema(kind).parquet(str(tmp_path / "bins"))
+    for smooth in (0, 3):
+        view = T.track_view(stored, pairs, genome, 100, "c", 5_000_000, 5_100_000, width=20_000, smooth=smooth)
+        alone = T.track_view(spark.createDataFrame(near, kind), pairs, genome, 100, "c", 5_000_000, 5_100_000, width=20_000, smooth=smooth)
+        assert rows(view, "layer", "line", "grp", "value", "drawn") == rows(alone, "layer", "line", "grp", "value", "drawn") != []
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(bin," in plan and "LessThanOrEqual(bin," in plan
