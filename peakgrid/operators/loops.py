@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import safe_ratio
 from ..functions.tiles import div
 from ..session import cut, derived_lookup
-from .intervals import merge_intervals, overlap_join
+from .intervals import overlaps_any
 
 MIN_MAXIMUM = 1e-10
 
@@ -41,9 +41,7 @@ def loop_intensity(loops: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def _span_flag(spans: DataFrame, bed: DataFrame, name: str) -> DataFrame:
-    merged = merge_intervals(bed).withColumnRenamed("start", "_s").withColumnRenamed("end", "_e")
-    hit = overlap_join(spans.select("chrom", "start", "end"), merged, right_span=("_s", "_e"))
-    hit = hit.select("chrom", "start", "end").distinct().withColumn(name, F.lit(True))
+    hit = overlaps_any(spans.select("chrom", "start", "end"), bed).withColumn(name, F.lit(True))
     return spans.join(hit, ["chrom", "start", "end"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
@@ -90,6 +88,5 @@ def loops_between_beds(loops: DataFrame, bed1: DataFrame, bed2: DataFrame) -> Da
 
 def beds_hit_by_loops(bed: DataFrame, loops: DataFrame) -> DataFrame:
     """Intervals that overlap any anchor."""
-    from .intervals import overlaps_any
     anchors = loops.select(F.explode(F.array("first", "second")).alias("a")).select("a.*")
     return overlaps_any(bed, anchors)
