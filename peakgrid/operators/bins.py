@@ -8,12 +8,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FIX, fixed_divide, fixed_multiply, safe_ratio, to_fixed
 from ..functions.tiles import TILE_BINS, by_tile, cut_to_tiles, div, own_rows, spread
-from ..session import derived_lookup, lookup
+from ..session import cut, derived_lookup, lookup
 from .intervals import tiled_union
 from .reads import FIXED_FRAGMENT, GENOME_ROW, with_genome_row
 
@@ -21,6 +21,8 @@ LOCAL_BINS = 1000
 MAPPABLE_THRESHOLD = 0.3
 # beyond this distance a Gaussian weight exp(-j^2/2) is below 1e-31 of the centre and moves no fixed-point digit
 GAUSS_REACH = 12
+# sums that one pass computes beside its own work; more (sample, chromosome) pairs are summed from the stored table
+OBSERVED_SUMS = 500
 
 
 def bin_count(genome: DataFrame, binsize: int) -> DataFrame:
@@ -201,6 +203,35 @@ def signal_total(bins: DataFrame) -> DataFrame:
     return with_genome_row(per, ["total"])
 
 
+def totals_of_stats(stats: DataFrame) -> DataFrame:
+    """(sample, chrom, total) of a quality table: its normalised read numbers, genome row included."""
+    return stats.select("sample", "chrom", F.col("normalised").cast("long").alias("total"))
+
+
+def stored_with_totals(bins: DataFrame, genome: DataFrame, samples: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The bins, stored once, and their totals, summed while they were written.
+
+    The sums are taken in the pass that writes, so nothing is read for them. ``samples`` are the
+    signals to be summed; totals cover the chromosomes of the genome, those without a
+    bin count 0, and the genome row adds the truncated totals.
+    """
+    chroms = [r["chrom"] for r in genome.select("chrom").collect()]  # one row per chromosome
+    keys = [(s, c) for s in samples for c in chroms]
+    if len(keys) > OBSERVED_SUMS:
+        bins = cut(bins)
+        every = genome.select("chrom", F.explode(F.array(*map(F.lit, samples))).alias("sample"))
+        per = signal_total(bins).filter(F.col("chrom") != GENOME_ROW).join(every, ["sample", "chrom"], "right")
+        return bins, with_genome_row(per.select("sample", "chrom", F.coalesce("total", F.lit(0)).alias("total")), ["total"])
+    if not keys:
+        return cut(bins), bins.sparkSession.createDataFrame([], "sample string, chrom string, total long")
+    seen = Observation()
+    sums = [F.sum(F.when((F.col("sample") == s) & (F.col("chrom") == c), F.col("v"))).alias(f"t{i}") for i, (s, c) in enumerate(keys)]
+    bins = cut(bins.observe(seen, *sums))
+    total = {k: int((seen.get[f"t{i}"] or 0) / FIX) for i, k in enumerate(keys)}
+    rows = [(s, c, n) for (s, c), n in total.items()] + [(s, GENOME_ROW, sum(total[s, c] for c in chroms)) for s in samples]
+    return bins, bins.sparkSession.createDataFrame(rows, "sample string, chrom string, total long")
+
+
 def light_stats(bins: DataFrame, genome: DataFrame, flen: int = FIXED_FRAGMENT) -> DataFrame:
     """Totals and depth for a signal without read statistics."""
     size = genome.select("chrom", F.col("length").cast("long").alias("length"))
@@ -209,12 +240,13 @@ def light_stats(bins: DataFrame, genome: DataFrame, flen: int = FIXED_FRAGMENT)
         "sample", "chrom", "total", safe_ratio(F.col("total") * flen, F.col("length")).alias("depth"))
 
 
-def chip_input_ratio(bins: DataFrame, pairs: DataFrame, norm: int = 0) -> DataFrame:
+def chip_input_ratio(bins: DataFrame | None, pairs: DataFrame, norm: int = 0, totals: DataFrame | None = None) -> DataFrame:
     """ChIP / input total ratio per (label, chrom): 0 one, 1 genome totals, 2 chromosome totals.
 
-    ``pairs`` = (label, chip, input); without an input the ratio is 1.
+    ``pairs`` = (label, chip, input); without an input the ratio is 1. ``totals`` = (sample, chrom, total)
+    with a genome row spares the pass over the bins.
     """
-    totals = signal_total(bins)
+    totals = signal_total(bins) if totals is None else totals
     c = totals.select(F.col("sample").alias("chip"), "chrom", F.col("total").alias("_c"))
     i = totals.select(F.col("sample").alias("input"), F.col("chrom").alias("_k"), F.col("total").alias("_i"))
     whole = c.filter(F.col("chrom") == GENOME_ROW).select("chip", F.col("_c").alias("_cg"))

@@ -1,13 +1,14 @@
 """Whole workflows over files: reads to normalised bins with statistics, and the signal commands."""
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import drop_sex_mito, only_chrom
+from ..functions.scalars import drop_sex_mito, only_chrom, strip_chr
 from ..operators import bins as B
 from ..operators import gc as GC
 from ..operators import intervals as I
@@ -16,7 +17,7 @@ from ..operators import profiles as PR
 from ..operators import reads as R
 from ..operators import tracks as T
 from ..session import cut, lookup
-from ..sources import signals
+from ..sources import signals, tables
 
 
 @dataclass(frozen=True)
@@ -129,6 +130,30 @@ def load_signals(spark: SparkSession, sheet: DataFrame, strip: bool = False) ->
     return reduce(DataFrame.unionByName, parts)
 
 
+def signal_totals(bins: DataFrame, genome: DataFrame, names: Sequence[str],
+                  stats: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The bins and the read totals of the named signals, as (sample, chrom, total) with genome rows.
+
+    ``stats`` names the statistics file of a signal; its normalised read numbers are the totals, and
+    chromosomes it leaves out count 0. Signals without one are summed while the bins are
+    stored. With a file for each, the bins come back as they are and no row of them is read.
+    """
+    stats = {n: stats[n] for n in names if n in (stats or {})}
+    rest = [n for n in names if n not in stats]
+    parts = []
+    if rest:
+        bins, seen = B.stored_with_totals(bins, genome, rest)
+        parts.append(seen)
+    spark = genome.sparkSession
+    chroms = genome.select("chrom", strip_chr(F.col("chrom")).alias("_k")).unionByName(
+        spark.createDataFrame([(R.GENOME_ROW, R.GENOME_ROW)], "chrom string, _k string"))
+    for name, path in stats.items():
+        found = tables.read_stats(spark, path).select(F.col("chrom").alias("_k"), "total")
+        parts.append(chroms.join(found, "_k", "left").select(
+            F.lit(name).alias("sample"), "chrom", F.coalesce("total", F.lit(0)).cast("long").alias("total")))
+    return bins, reduce(DataFrame.unionByName, parts)
+
+
 def _scope(bins: DataFrame, genome: DataFrame, chrom: str | None, include_all: bool) -> DataFrame:
     bins = drop_sex_mito(bins, include_all)
     return only_chrom(bins, genome, chrom) if chrom else bins
@@ -136,9 +161,11 @@ def _scope(bins: DataFrame, genome: DataFrame, chrom: str | None, include_all: b
 
 def peak_command(bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: int, mode: str = "SHARP", norm: int = 0,
                  chrom: str | None = None, include_all: bool = False, regions: DataFrame | None = None,
-                 method: str = "gaussian", window: int = B.LOCAL_BINS, **thresholds: float) -> DataFrame:
+                 method: str = "gaussian", window: int = B.LOCAL_BINS, totals: DataFrame | None = None, **thresholds: float) -> DataFrame:
     """Numbered peaks of all pairs; pairs without an input use the internal score only.
 
+    With ``norm`` 1 or 2 the ratios come from ``totals`` (of :func:`signal_totals`), else from a pass over the bins.
+
     ``thresholds`` override the preset (p_internal, p_enrich, ratio, height, smooth).
     """
     params = replace(P.peak_presets(mode), **thresholds)
@@ -147,7 +174,7 @@ def peak_command(bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize:
     parts = []
     if has_input[0]:
         both = lookup(pairs.filter("input IS NOT NULL"))
-        ratios = B.chip_input_ratio(bins, both, norm) if norm in (1, 2) else None
+        ratios = B.chip_input_ratio(bins, both, norm, totals) if norm in (1, 2) else None
         parts.append(P.call_peaks(scoped, both, genome, binsize, params, method, window, ratios))
     if has_input[0] < has_input[1]:
         parts.append(P.call_peaks_chip_only(scoped, lookup(pairs.filter("input IS NULL")), genome, binsize, params, method, window))
@@ -186,9 +213,9 @@ def matrix_command(bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize
 
 
 def signal_command(bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: int, value: int = 0, norm: int = 0,
-                   smooth: int = 0) -> DataFrame:
+                   smooth: int = 0, totals: DataFrame | None = None) -> DataFrame:
     """Derived signals (0 ratio, 1 internal, 2 enrichment score) of the pairs with an input; no chromosome is left out."""
     both = lookup(pairs.filter("input IS NOT NULL"))
     labels = [r[0] for r in both.select("label").collect()]
-    ratios = B.chip_input_ratio(bins, both, norm) if norm in (1, 2) else None
+    ratios = B.chip_input_ratio(bins, both, norm, totals) if norm in (1, 2) else None
     return T.genwig(bins, both, genome, binsize, labels, value, smooth, ratios=ratios)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import bins as B
 from ..operators import peaks as P
+from ..operators import reads as R
 from ..operators.bins import gaussian_weights
-from .adapters import BIN
+from .adapters import BIN, FLEN
 from .registry import query, r6
 
 
@@ -87,18 +88,28 @@ def peaks_global_ratio(t):
     return P.call_peaks(t.bins, t.pairs, t.genome, BIN, params("GV")).select(*peak_cols())
 
 
-@query("peaks_scaled", "dense", sided_sql(5) + """, totals AS (SELECT smp, (sum(t))::DOUBLE AS t FROM
- (SELECT smp, chrom, sum(v)::BIGINT // 10000 AS t FROM bins GROUP BY ALL) GROUP BY smp),
-r AS (SELECT a.t / b.t AS r FROM totals a, totals b WHERE a.smp = 'chip' AND b.smp = 'input'),
-scored AS (SELECT *, c / 1e4 AS cv, i / 1e4 AS iv, CASE WHEN r > 1 THEN ceil(c / 1e4 / r) ELSE ceil(c / 1e4) END AS n1,
+SCALED = (""", scored AS (SELECT *, c / 1e4 AS cv, i / 1e4 AS iv, CASE WHEN r > 1 THEN ceil(c / 1e4 / r) ELSE ceil(c / 1e4) END AS n1,
  CASE WHEN r > 1 THEN ceil(i / 1e4) ELSE ceil(i / 1e4 * r) END AS n2, trunc(c / 1e4) AS k, r AS ratio FROM sided, r)"""
-       + SCORES[SCORES.index(",\nscores"):] + RUNS.format(cond="pint >= 3 AND penr >= 1") + " SELECT * FROM peaks")
+          + SCORES[SCORES.index(",\nscores"):] + RUNS.format(cond="pint >= 3 AND penr >= 1") + " SELECT * FROM peaks")
+RATIO = ", r AS (SELECT a.t / b.t AS r FROM totals a, totals b WHERE a.smp = 'chip' AND b.smp = 'input')"
+
+
+@query("peaks_scaled", "dense", sided_sql(5) + """, totals AS (SELECT smp, (sum(t))::DOUBLE AS t FROM
+ (SELECT smp, chrom, sum(v)::BIGINT // 10000 AS t FROM bins GROUP BY ALL) GROUP BY smp)""" + RATIO + SCALED)
 def peaks_scaled(t):
-    bins = t.bins
-    ratios = B.chip_input_ratio(bins, t.pairs, norm=1)
+    bins, totals = B.stored_with_totals(t.bins, t.genome, ["chip", "input"])
+    ratios = B.chip_input_ratio(None, t.pairs, 1, totals)
     return P.call_peaks(bins, t.pairs, t.genome, BIN, params("SHARP"), ratios=ratios).select(*peak_cols())
 
 
+@query("peaks_scaled_by_reads", "dense", sided_sql(5) + """, totals AS (SELECT smp, count(*)::DOUBLE AS t FROM nonred GROUP BY smp)"""
+       + RATIO + SCALED)
+def peaks_scaled_by_reads(t):
+    totals = B.totals_of_stats(B.scale_factors(R.read_depth(R.read_counts(t.reads, t.genome), FLEN), "NONE"))
+    ratios = B.chip_input_ratio(None, t.pairs, 1, totals)
+    return P.call_peaks(t.bins, t.pairs, t.genome, BIN, params("SHARP"), ratios=ratios).select(*peak_cols())
+
+
 @query("peaks_chip_only", "dense", sided_sql(5) + SCORES.replace("ratio", "1.0::DOUBLE") + RUNS.format(cond="pint >= 3") + """
 SELECT chrom, "start", "end", length, summit, pileup, 0.0::DOUBLE AS pileup_input, 0.0::DOUBLE AS enrichment,
  p_internal FROM peaks""")

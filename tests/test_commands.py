@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from peakgrid.operators import bins as B
 from peakgrid.operators import gc as GC
 from peakgrid.operators import reads as R
 from peakgrid.plans import commands as C
@@ -82,6 +83,32 @@ def test_reads_to_peaks(spark, files, tmp_path):
     assert view.filter("marked").count() > 0 and view.select("line").distinct().count() == 1
 
 
+def test_totals_of_statistics_files(spark, files, tmp_path):
+    """A signal with a statistics file takes its numbers, another one is summed while it is stored."""
+    genome, reads = load(spark, files)
+    got = C.count_reads(reads, genome, 100, 150, threshold=2, norm="GR", nrpm=3000)
+    sinks.write_stats(got.stats, genome, str(tmp_path / "stats"))
+    own = {(r["sample"], r["chrom"]): r["normalised"] for r in got.stats.collect()}
+    summed = {(r["sample"], r["chrom"]): r["total"] for r in B.signal_total(got.bins).collect()}
+    paths = {s: str(tmp_path / "stats" / f"sample={s}") for s in ("chip", "input")}
+    same, totals = C.signal_totals(got.bins, genome, ["chip", "input"], paths)
+    assert same is got.bins
+    assert {(r["sample"], r["chrom"]): r["total"] for r in totals.collect()} == own
+    stored, mixed = C.signal_totals(got.bins, genome, ["chip", "input"], {"chip": paths["chip"]})
+    want = {k: (own if k[0] == "chip" else summed)[k] for k in own}
+    assert {(r["sample"], r["chrom"]): r["total"] for r in mixed.collect()} == want
+    assert stored.count() == got.bins.count()
+    pairs = spark.createDataFrame([("S", "chip", "input")], "label string, chip string, input string")
+    for norm in (1, 2):
+        cols = ("chrom", "start", "end", "enrichment")
+        assert (rows(C.peak_command(got.bins, pairs, genome, 100, norm=norm, totals=C.signal_totals(got.bins, genome, ["chip", "input"])[1]), *cols)
+                == rows(C.peak_command(got.bins, pairs, genome, 100, norm=norm), *cols))
+    short = tmp_path / "short.tsv"
+    short.write_text("".join(f"{line}\n" for line in ("\ttotal reads\tread depth", "Genome\t80\t1.0", "1\t80\t1.0")))
+    _, gap = C.signal_totals(got.bins, genome, ["chip"], {"chip": str(short)})
+    assert {r["chrom"]: r["total"] for r in gap.collect()} == {"Genome": 80, "chr1": 80, "chr2": 0, "chrY": 0}
+
+
 def test_estimated_length_and_gc(spark, files):
     genome, reads = load(spark, files)
     est = {r["sample"]: r["fragment_length"] for r in R.estimate_fragment_length(reads, genome, 36, 5, 0, 300).collect()}

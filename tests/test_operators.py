@@ -90,6 +90,22 @@ def test_shared_input_serves_several_pairs(spark, genome):
     assert rows(r, "label", "chrom", "ratio") == [("A", "chr1", 2.0), ("B", "chr1", 3.0), ("C", "chr1", 1.0)]
 
 
+def test_totals_of_the_storing_pass(spark, genome, monkeypatch):
+    """The same totals from the pass that stores, from the stored table, and from a pass of its own; empty chromosomes count 0."""
+    b = spark.createDataFrame([("a", "chr1", i, 10000 * i + 9999) for i in range(9)] + [("a", "chr2", 1, 5000), ("b", "chr1", 3, 70000)], BINS)
+    want = sorted([("a", "chr1", 44), ("a", "chr2", 0), ("a", "Genome", 44), ("b", "chr1", 7), ("b", "chr2", 0), ("b", "Genome", 7)])
+    for limit in (100, 0):
+        monkeypatch.setattr(B, "OBSERVED_SUMS", limit)
+        kept, totals = B.stored_with_totals(b, genome, ["a", "b"])
+        assert rows(totals, "sample", "chrom", "total") == want
+        assert rows(kept, "sample", "chrom", "bin", "v") == rows(b, "sample", "chrom", "bin", "v")
+    pairs = spark.createDataFrame([("S", "a", "b")], "label string, chip string, input string")
+    assert rows(B.chip_input_ratio(None, pairs, 1, totals), "chrom", "ratio") == [("chr1", 44 / 7), ("chr2", 44 / 7)]
+    assert rows(B.chip_input_ratio(b, pairs, 1), "chrom", "ratio") == [("chr1", 44 / 7), ("chr2", 44 / 7)]
+    none, empty = B.stored_with_totals(b.limit(0), genome, ["a"])
+    assert none.count() == 0 and {r["total"] for r in empty.collect()} == {0}
+
+
 GENE = "chrom string, tid string, gid string, tname string, gname string, strand string, tx_start int, tx_end int, gtype string, tag string"
 
 
