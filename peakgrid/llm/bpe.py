@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_arrow, text_or_empty
+from .common import frequency_cut, map_arrow, store, text_or_empty
 
 LEXICON_WORDS = 50_000
 REMEMBER = 300_000
@@ -241,6 +241,42 @@ class Encoder(dict):
         return b"".join(out)
 
 
+class Listing:
+    """Texts to their ids as decimals and to their tokens, both joined by spaces and remembered for each word."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.vocabulary = encoder, encoder.vocabulary
+        self.decimals: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
+
+    def learn(self, words: set[str]):
+        if len(self.decimals) + len(words) > REMEMBER:
+            self.decimals.clear()
+            self.tokens.clear()
+        for word in words - self.decimals.keys():
+            ids = np.frombuffer(self.encoder[word], "<u4").tolist()
+            self.decimals[word] = " ".join(map(str, ids))
+            self.tokens[word] = self.vocabulary.decode(ids)
+
+    def list(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, the ids and the decoded text."""
+        ids, decoded = [], []
+        for part, special in self.vocabulary.segments(text):
+            words = self.vocabulary.words(part)
+            try:
+                own = list(map(self.decimals.__getitem__, words))
+            except KeyError:
+                self.learn(set(words))
+                own = list(map(self.decimals.__getitem__, words))
+            ids += own
+            decoded += map(self.tokens.__getitem__, words)
+            if special is not None:
+                ids.append(str(special))
+                decoded.append(self.vocabulary.tokens[special])
+        joined = " ".join(ids)
+        return joined.count(" ") + bool(joined), joined, " ".join(decoded)
+
+
 def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``(word, n)`` over all texts, counted inside the tasks first."""
     def count(batches):
@@ -263,8 +299,9 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
 
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    """Lexicon of the ``size`` most frequent words of all texts (ties in word order); the rest is merged exactly when met."""
-    top = word_counts(docs, path, text_col).orderBy(F.desc("n"), "word").limit(size).collect()
+    """Lexicon of the most frequent words of all texts, ``size`` at most (equal counts stay or go together); the rest is merged exactly when met."""
+    counts = store(word_counts(docs, path, text_col), "words")
+    top = counts.filter(F.col("n") >= frequency_cut(counts, size)).select("word").collect()
     return compile_lexicon({r.word: vocabulary(path).merge(r.word) for r in top})
 
 
@@ -294,17 +331,14 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 def round_trip(docs: DataFrame, path: str, lexicon: bytes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, ids_text, decoded)``: encoded, listed as decimals, and decoded from the ids, in one pass."""
     def make():
-        encoder = Encoder(path, lexicon)
-        words = encoder.vocabulary
-        digits = {i: str(i) for i in words.tokens}
+        listing = Listing(Encoder(path, lexicon))
 
         def step(batch):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, ids), pa.int64()), pa.array([" ".join(map(digits.__getitem__, x)) for x in ids], pa.string()),
-                     pa.array(map(words.decode, ids), pa.string())], ["id", "n_tokens", "ids_text", "decoded"])
+                n, ids, decoded = zip(*map(listing.list, part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                                                 ["id", "n_tokens", "ids_text", "decoded"])
         return step
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")), make,
                      "id long, n_tokens long, ids_text string, decoded string")

@@ -4,6 +4,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from peakgrid.llm import bpe
+from peakgrid.llm.common import frequency_cut
 from peakgrid.llm.queries import tokenizer_path
 
 PATH = tokenizer_path()
@@ -63,3 +64,25 @@ def test_tables(spark, library):
     back = {r.id: r.text for r in bpe.decode(bpe.encode(df, PATH, lexicon), PATH).collect()}
     assert back == {i: r.decoded for i, r in got.items()}
     assert bpe.round_trip(df.limit(0), PATH, bpe.build_lexicon(df.limit(0), PATH)).collect() == []
+
+
+def test_frequency_cut(spark):
+    """Against sorted counts: at most so many rows reach the cut, and one class of equal counts more would be too many."""
+    rng = np.random.default_rng(9)
+    for values in ([], [1] * 10, [5, 4, 3, 2, 1], rng.integers(1, 100, 500).tolist(), (2 ** rng.uniform(0, 40, 300)).astype(int).tolist()):
+        counts = spark.createDataFrame([(v,) for v in [*values, None]], "n long")
+        for size in (0, 1, 5, 250, 1000):
+            cut = frequency_cut(counts, size)
+            kept = [v for v in values if v >= cut]
+            assert len(kept) <= size
+            below = [v for v in values if v < cut]
+            if below and max(below) < 128:
+                assert len(kept) + below.count(max(below)) > size
+
+
+def test_listing_forgets_and_learns_again(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBER", 4)
+    own = bpe.Listing(bpe.Encoder(PATH))
+    for t in TEXTS + ["one two three", "four five six seven eight nine", "one nine two"]:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert own.list(t) == (len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)), t[:30]
