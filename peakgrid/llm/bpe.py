@@ -16,7 +16,9 @@ import mmap
 import tempfile
 import unicodedata
 from collections import Counter
+from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,9 @@ from .common import frequency_cut, map_arrow, store, text_or_empty
 
 LEXICON_WORDS = 50_000
 REMEMBER = 300_000
+#: Words of up to so many bytes are merged by a scan of their pairs, longer ones by a heap.
+SHORT = 40
+UNRANKED = 1 << 60
 
 
 @lru_cache
@@ -87,6 +92,17 @@ class Vocabulary:
         parts = [byte_letters()[b] for b in word.encode("utf-8", "surrogatepass")]
         parts[-1] += self.end
         n, ranks = len(parts), self.ranks
+        if n <= SHORT:
+            order = [ranks.get(pair, UNRANKED) for pair in pairwise(parts)]
+            while order and (low := min(order)) < UNRANKED:
+                i = order.index(low)
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+                del order[i]
+                if i:
+                    order[i - 1] = ranks.get((parts[i - 1], parts[i]), UNRANKED)
+                if i < len(order):
+                    order[i] = ranks.get((parts[i], parts[i + 1]), UNRANKED)
+            return [self.ids[p] for p in parts]
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -106,7 +122,7 @@ class Vocabulary:
                 heapq.heappush(heap, (r, h, parts[h], parts[i]))
         return [self.ids[p] for p in parts if p]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by a space (the file names no decoder); word ends and special tokens stay visible."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
@@ -227,11 +243,13 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBER:
             self.clear()
-        ids = self.lexicon.find(word) if self.lexicon else None
-        raw = np.asarray(self.merge(word) if ids is None else ids, dtype="<u4").tobytes()
-        self[word] = raw
+        self[word] = raw = np.asarray(self.ids_of(word), dtype="<u4").tobytes()
         return raw
 
+    def ids_of(self, word: str) -> list[int]:
+        ids = self.lexicon.find(word) if self.lexicon else None
+        return self.merge(word) if ids is None else ids
+
     def encode(self, text: str) -> bytes:
         out = []
         for part, special in self.vocabulary.segments(text):
@@ -241,34 +259,35 @@ class Encoder(dict):
         return b"".join(out)
 
 
+class Remembered(dict):
+    """Word -> what ``make`` gives for it; forgets all when full."""
+
+    def __init__(self, make: Callable[[str], str]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= REMEMBER:
+            self.clear()
+        self[word] = out = self.make(word)
+        return out
+
+
 class Listing:
     """Texts to their ids as decimals and to their tokens, both joined by spaces and remembered for each word."""
 
     def __init__(self, encoder: Encoder):
-        self.encoder, self.vocabulary = encoder, encoder.vocabulary
-        self.decimals: dict[str, str] = {}
-        self.tokens: dict[str, str] = {}
-
-    def learn(self, words: set[str]):
-        if len(self.decimals) + len(words) > REMEMBER:
-            self.decimals.clear()
-            self.tokens.clear()
-        for word in words - self.decimals.keys():
-            ids = np.frombuffer(self.encoder[word], "<u4").tolist()
-            self.decimals[word] = " ".join(map(str, ids))
-            self.tokens[word] = self.vocabulary.decode(ids)
+        self.vocabulary = encoder.vocabulary
+        self.decimals = Remembered(lambda word: " ".join(map(str, encoder.ids_of(word))))
+        # the ids are read back from their decimals
+        self.tokens = Remembered(lambda word: self.vocabulary.decode(map(int, self.decimals[word].split())))
 
     def list(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids and the decoded text."""
         ids, decoded = [], []
         for part, special in self.vocabulary.segments(text):
             words = self.vocabulary.words(part)
-            try:
-                own = list(map(self.decimals.__getitem__, words))
-            except KeyError:
-                self.learn(set(words))
-                own = list(map(self.decimals.__getitem__, words))
-            ids += own
+            ids += map(self.decimals.__getitem__, words)
             decoded += map(self.tokens.__getitem__, words)
             if special is not None:
                 ids.append(str(special))

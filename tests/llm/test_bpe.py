@@ -38,6 +38,15 @@ def test_every_character(library):
     assert not bad, bad
 
 
+def test_both_ways_of_merging(monkeypatch):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("aeinrst'éø日"), int(rng.integers(1, 30)))) for _ in range(1500)] + ["aaaa", "aaaaaaa", "abababab"]
+    own = bpe.vocabulary(PATH)
+    scanned = [own.merge(w) for w in words]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert [own.merge(w) for w in words] == scanned
+
+
 def test_lexicon_finds_its_words_only():
     rng = np.random.default_rng(4)
     words = {"".join(rng.choice(list("abcé日"), int(rng.integers(1, 7)))): None for _ in range(2000)}
