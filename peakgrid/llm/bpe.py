@@ -15,6 +15,7 @@ import json
 import mmap
 import tempfile
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable
 from functools import lru_cache
@@ -31,6 +32,8 @@ from .common import frequency_cut, map_arrow, store, text_or_empty
 
 LEXICON_WORDS = 50_000
 REMEMBER = 300_000
+#: Edges of the mapped transducer that a task remembers.
+EDGES = 200_000
 #: Words of up to so many bytes are merged by a scan of their pairs, longer ones by a heap.
 SHORT = 40
 UNRANKED = 1 << 60
@@ -54,7 +57,7 @@ SETTLED = regex.compile("[\x00-\u0557\u0900-\u097f\u2010-\u2027\u20a0-\u20b9\u30
 
 
 class Vocabulary:
-    """Ids, merge ranks, special tokens and word pattern of a tokenizer file."""
+    """Ids, merges, special tokens and word pattern of a tokenizer file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -62,7 +65,10 @@ class Vocabulary:
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"]
-        self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
+        # ids of two neighbours -> rank of their merge and id of the merged token
+        self.joins = {self.ids[a] << 20 | self.ids[b]: rank << 20 | self.ids[a + b] for rank, (a, b) in enumerate(model["merges"])}
+        self.inner = [self.ids[c] for c in byte_letters()]
+        self.last = [self.ids[c + self.end] for c in byte_letters()]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(t) for t in self.special)) if self.special else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -89,38 +95,38 @@ class Vocabulary:
 
     def merge(self, word: str) -> list[int]:
         """Ids of a word: the adjacent pair of lowest rank is merged, leftmost first, until none is left."""
-        parts = [byte_letters()[b] for b in word.encode("utf-8", "surrogatepass")]
-        parts[-1] += self.end
-        n, ranks = len(parts), self.ranks
+        raw, joins, none = word.encode("utf-8", "surrogatepass"), self.joins.get, UNRANKED
+        parts = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
+        n = len(parts)
         if n <= SHORT:
-            order = [ranks.get(pair, UNRANKED) for pair in pairwise(parts)]
-            while order and (low := min(order)) < UNRANKED:
+            order = [joins(left << 20 | right, none) for left, right in pairwise(parts)]
+            while order and (low := min(order)) != none:
                 i = order.index(low)
-                parts[i:i + 2] = [parts[i] + parts[i + 1]]
-                del order[i]
+                parts[i] = low & 0xFFFFF
+                del parts[i + 1], order[i]
                 if i:
-                    order[i - 1] = ranks.get((parts[i - 1], parts[i]), UNRANKED)
+                    order[i - 1] = joins(parts[i - 1] << 20 | parts[i], none)
                 if i < len(order):
-                    order[i] = ranks.get((parts[i], parts[i + 1]), UNRANKED)
-            return [self.ids[p] for p in parts]
+                    order[i] = joins(parts[i] << 20 | parts[i + 1], none)
+            return parts
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(join, i, parts[i], parts[i + 1]) for i in range(n - 1) if (join := joins(parts[i] << 20 | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            join, i, left, right = heapq.heappop(heap)
             j = after[i]
             if j < 0 or parts[i] != left or parts[j] != right:
                 continue
-            parts[i], parts[j] = left + right, ""
+            parts[i], parts[j] = join & 0xFFFFF, -1
             after[i] = k = after[j]
             after[j] = -1
             if k >= 0:
                 before[k] = i
-                if (r := ranks.get((parts[i], parts[k]))) is not None:
-                    heapq.heappush(heap, (r, i, parts[i], parts[k]))
-            if (h := before[i]) >= 0 and (r := ranks.get((parts[h], parts[i]))) is not None:
-                heapq.heappush(heap, (r, h, parts[h], parts[i]))
-        return [self.ids[p] for p in parts if p]
+                if (join := joins(parts[i] << 20 | parts[k])) is not None:
+                    heapq.heappush(heap, (join, i, parts[i], parts[k]))
+            if (h := before[i]) >= 0 and (join := joins(parts[h] << 20 | parts[i])) is not None:
+                heapq.heappush(heap, (join, h, parts[h], parts[i]))
+        return [p for p in parts if p >= 0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by a space (the file names no decoder); word ends and special tokens stay visible."""
@@ -201,22 +207,31 @@ class Lexicon:
             setattr(self, name, view[at:at + size])
             at += size
         self.start = states - 1
+        self.walked: dict[int, tuple[int, int] | None] = {}
+
+    def _edge(self, step: int) -> tuple[int, int] | None:
+        """Target and output of the edge ``state << 8 | label`` from the map, remembered for the next walk."""
+        state, c = step >> 8, step & 255
+        low, end = self.first[state] & 0x7FFFFFFF, self.first[state + 1] & 0x7FFFFFFF
+        at = bisect_left(self.label, c, low, end)
+        found = (self.target[at], self.output[at]) if at < end and self.label[at] == c else None
+        if len(self.walked) >= EDGES:
+            self.walked.clear()
+        self.walked[step] = found
+        return found
 
     def find(self, word: str) -> list[int] | None:
         """Ids of the word, or None if it is not in the lexicon."""
-        state, place, first, label = self.start, 0, self.first, self.label
+        state, place, first, walked = self.start, 0, self.first, self.walked
         for c in word.encode("utf-8", "surrogatepass"):
-            low, high = first[state] & 0x7FFFFFFF, first[state + 1] & 0x7FFFFFFF
-            while low < high:
-                mid = (low + high) // 2
-                if label[mid] < c:
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == first[state + 1] & 0x7FFFFFFF or label[low] != c:
+            step = state << 8 | c
+            edge = walked.get(step, 0)
+            if edge == 0:
+                edge = self._edge(step)
+            if edge is None:
                 return None
-            place += self.output[low]
-            state = self.target[low]
+            state = edge[0]
+            place += edge[1]
         if not first[state] >> 31:
             return None
         return self.ids[self.offset[place]:self.offset[place + 1]].tolist()
