@@ -133,18 +133,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 # A longer fingerprint for similarity 0.8 -----------------------------------------------------------------------
 
 WIDTH = 4096
-#: Blocks are drawn from the 4,096 bits in turn, so a bit is in one or two of them.
-TABLES, BITS = 256, 22
-BLOCKS = np.concatenate([np.random.default_rng(7 + i).permutation(WIDTH) for i in range(2)])[:TABLES * BITS]
+#: Least bits of a block; from 2^22 texts on a block has log2 of their number, so that chance pairs grow with the texts and not with their square.
+BITS = 22
+#: Probability, by the model, that a pair at the least similarity shares no block. The number of blocks follows from it.
+MISS = 0.001
 PIECES = np.arange(4, dtype=np.uint64) * np.uint64(16)
 #: Standard deviation of the distance of a pair, in bits (measured 19 to 24 for sets of 5 to 3,000 shingles), and how many of them the prefilters allow.
 SPREAD, MARGIN = 25, 5
-#: Bits carried along as two numbers for the first look at a pair.
-SKETCH = 128
-#: Buckets up to this size are joined with themselves; larger ones are compared in blocks of at most about TILE rows.
-SMALL, TILE = 64, 512
-#: Blocks whose buckets of over FEW rows are linked to a member first, so that pairs inside a connected group need no comparison.
-FIRST, FEW = 32, 8
+#: Steps to a natural logarithm in the size of a shingle set, and the bits that hold it.
+SIZE_STEPS, SIZE_BITS = 2048, 16
+#: Buckets up to SMALL are compared at once, up to BUCKET row by row against the bucket; larger ones are compared in cells of about TILE rows a side.
+SMALL, BUCKET, TILE = 64, 1 << 14, 512
+#: Pairs a row from which a bucket is decided in cells by all bits instead of pair by pair.
+DENSE = 8
+#: Rounds of the first look for groups, and blocks of a round.
+ROUNDS, FIRST = 5, 4
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -158,24 +161,34 @@ def hadamard(rows: np.ndarray) -> np.ndarray:
     return rows
 
 
-def long_bits(texts: list[str], size: int) -> np.ndarray:
-    """WIDTH sign bits of random projections of the set of word shingles."""
+def long_bits(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """WIDTH sign bits of random projections of the set of word shingles, and the size of that set."""
     order = np.random.default_rng(7).permutation(WIDTH)
-    bits = np.empty((len(texts), WIDTH), bool)
+    bits, sizes = np.empty((len(texts), WIDTH), bool), np.zeros(len(texts), np.int64)
     for i in range(0, len(texts), 64):
         sums = np.zeros((len(texts[i:i + 64]), WIDTH), np.float32)
         for j, text in enumerate(texts[i:i + 64]):
             h = np.unique(shingle_hashes(text, size))
+            sizes[i + j] = len(h)
             part = (h[None, :] >> PIECES[:, None]).ravel()  # four places for each shingle, so that two rarely share all
             sums[j] = np.bincount((part & np.uint64(WIDTH - 1)).astype(np.int64), 1.0 - 2.0 * ((part >> np.uint64(12)) & np.uint64(1)), WIDTH)
         bits[i:i + 64] = hadamard(sums)[:, order] > 0
-    return bits
+    return bits, sizes
 
 
-def block_keys(bits: np.ndarray) -> np.ndarray:
-    """The number that each block of ``bits`` spells."""
-    powers = (1 << np.arange(BITS)).astype(np.float32)  # sums stay below 2^24, exact in single precision
-    return (bits[:, BLOCKS].reshape(-1, BITS).astype(np.float32) @ powers).astype(np.int32).reshape(len(bits), TABLES)
+def draw_blocks(count: int, share: float) -> np.ndarray:
+    """Places of the bits of each block, for ``count`` texts; bits are dealt from shuffles of all, so none is used more than once oftener than another."""
+    width = max(BITS, int(count).bit_length())
+    tables = int(np.ceil(np.log(MISS) / np.log1p(-(1 - share) ** width)))
+    deals = -(-tables * width // WIDTH)
+    return np.concatenate([np.random.default_rng(7 + i).permutation(WIDTH) for i in range(deals)])[:tables * width].reshape(tables, width)
+
+
+def block_keys(packed: list[bytes], blocks: np.ndarray) -> np.ndarray:
+    """The number that each block of the packed bits spells; sums are exact in double precision."""
+    bits = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1)
+    kind = np.float32 if blocks.shape[1] <= 24 else np.float64
+    return (bits[:, blocks].astype(kind) @ (1 << np.arange(blocks.shape[1])).astype(kind)).astype(np.int64)
 
 
 def differing_share(similarity: float) -> float:
@@ -184,28 +197,142 @@ def differing_share(similarity: float) -> float:
 
 
 def _signatures(texts: DataFrame, size: int) -> DataFrame:
+    """``(id, bits, look, code)``: all bits, the first 64 of them, and the logarithm of the size of the shingle set (0 for none)."""
     def make():
         def step(batch):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                bits = long_bits(part.column(1).to_pylist(), size)
+                bits, sizes = long_bits(part.column(1).to_pylist(), size)
                 packed = np.packbits(bits, axis=1)
-                looks = packed[:, :SKETCH // 8].copy().view("<i8")
+                codes = np.where(sizes > 0, 1 + SIZE_STEPS * np.log(np.maximum(sizes, 1)), 0).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(looks[:, 0].copy()), pa.array(looks[:, 1].copy()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * TABLES), pa.array(block_keys(bits).ravel()))],
-                    ["id", "bits", "s1", "s2", "keys"])
+                    [part.column(0), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(packed[:, :8].copy().view("<i8")[:, 0].copy()), pa.array(codes)],
+                    ["id", "bits", "look", "code"])
         return step
-    return map_arrow(texts, make, "id long, bits binary, s1 long, s2 long, keys array<int>")
+    return map_arrow(texts, make, "id long, bits binary, look long, code long")
+
+
+def _seeds(sig: DataFrame, blocks: np.ndarray, limit: int) -> DataFrame:
+    """Links of rows to the smallest row of a bucket: groups known early spare comparisons, no more.
+
+    Each round looks at a few blocks of the rows that no earlier round has linked, so a row is linked once, however large its group.
+    """
+    def keys(some):
+        def make():
+            def step(batch):
+                if batch.num_rows:
+                    found = block_keys(batch.column(1).to_pylist(), some) + (np.arange(len(some)) << some.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), len(some)))], ["key", "id"])
+            return step
+        return make
+    links = None
+    for r in range(ROUNDS):
+        left = sig.select("id", "bits")
+        left = left if links is None else left.join(links.select(F.col("b").alias("id")), "id", "left_anti")
+        rows = store(map_arrow(left, keys(blocks[FIRST * r:FIRST * (r + 1)]), "key long, id long"), "seeds")
+        hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).filter("n > 1")
+        pairs = rows.join(hubs, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+        found = store(_close(pairs, sig, limit).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "links")
+        links = found if links is None else links.unionByName(found)
+    return links
+
+
+def _exploded(sig: DataFrame, roots: DataFrame, blocks: np.ndarray) -> DataFrame:
+    """``(k, id, root, look)`` for every row and block; ``k`` is block, its bits and the size of the shingle set, from the top."""
+    rows = sig.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "look", "code", "bits")
 
+    def make():
+        tables, width = blocks.shape
 
-def _seeds(sig: DataFrame) -> DataFrame:
-    """Links of the members of buckets of over FEW rows, and of their halves by the next block, to one member: groups known early spare comparisons, no more."""
-    keys = F.expr(f"flatten(transform(sequence(0, {FIRST - 1}), t -> array(xxhash64(t, keys[t]), xxhash64(t, keys[t], keys[t + 1]))))")
-    rows = sig.select("id", F.explode(keys).alias("key"))
-    hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("hub")).filter(f"n > {FEW}")
-    links = rows.join(store(hubs, "hubs").select("key", "hub"), "key").filter("id <> hub")
-    return links.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        def step(batch):
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                found = block_keys(part.column(4).to_pylist(), blocks) + (np.arange(tables) << width)
+                k = (found << SIZE_BITS) + part.column(3).to_numpy()[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *(pa.array(np.repeat(part.column(c).to_numpy(), tables)) for c in range(3))], ["k", "id", "root", "look"])
+        return step
+    return map_arrow(rows, make, "k long, id long, root long, look long")
+
+
+def _near_in_small(k, root, look, reach, most):
+    """Places of pairs of one bucket, of different roots, sizes within reach and close first bits; rows are ordered by bucket and size."""
+    left, out, d = np.arange(len(k)), [], 0
+    key = k >> SIZE_BITS
+    while len(left):
+        d += 1
+        left = left[left + d < len(k)]
+        other = left + d
+        # ordered by size: a row whose partner at distance d is too far has none beyond
+        left = left[(key[left] == key[other]) & (k[other] - k[left] <= reach)]
+        other = left + d
+        near = (root[left] != root[other]) & (np.bitwise_count(look[left] ^ look[other]) <= most)
+        out.append(np.stack((left[near], other[near])))
+    return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+
+
+def _near_in_large(k, root, look, reach, most):
+    """As above for one crowded bucket: rows outside its largest group are compared with all; None if a bucket is too dense to list."""
+    names, place, sizes = np.unique(root, return_inverse=True, return_counts=True)
+    out, total = [np.empty((2, 0), np.int64)], 0
+    main = place == np.argmax(sizes)
+    for x in np.flatnonzero(~main):
+        near = (np.abs(k - k[x]) <= reach) & (root != root[x]) & (np.bitwise_count(look ^ look[x]) <= most)
+        near[:x] &= main[:x]  # of two rows outside, the earlier one finds the pair
+        near = np.flatnonzero(near)
+        total += len(near)
+        if total > DENSE * len(k):
+            return None
+        out.append(np.stack((np.full(len(near), x), near)))
+    return np.concatenate(out, axis=1)
+
+
+def _buckets(similarity: float, most: int):
+    """Reads rows ordered by ``k``; gives pairs ``(key null, a, b)``, and of crowded buckets the rows as ``(key, id, root)``."""
+    reach, bucket, small = int(np.ceil(SIZE_STEPS * np.log(1 / similarity))) + 1, BUCKET, SMALL
+
+    def whole(rows):
+        k, ids, root, look = rows = [*rows[:3], rows[3].view(np.uint64)]  # unsigned: numpy counts the bits of absolute values
+        edges = np.flatnonzero(np.diff(k >> SIZE_BITS, prepend=-1, append=-1))
+        sizes = np.diff(edges)
+        few = np.repeat(sizes <= small, sizes)
+        part = [c[few] for c in rows]
+        x, y = _near_in_small(part[0], part[2], part[3], reach, most)
+        yield None, np.minimum(part[1][x], part[1][y]), np.maximum(part[1][x], part[1][y])
+        for i in np.flatnonzero(sizes > small):
+            at = slice(edges[i], edges[i + 1])
+            found = _near_in_large(k[at], root[at], look[at], reach, most)
+            if found is None:
+                yield int(k[edges[i]] >> SIZE_BITS), ids[at], root[at]
+            else:
+                x, y = found
+                yield None, np.minimum(ids[at][x], ids[at][y]), np.maximum(ids[at][x], ids[at][y])
+
+    def batch_of(found):
+        key, a, b = found
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
+
+    def run(batches):
+        held, crowded = [np.empty(0, np.int64)] * 4, None
+        for batch in batches:
+            rows = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("k", "id", "root", "look"))]
+            key = rows[0] >> SIZE_BITS
+            if crowded is not None:  # the rest of a bucket that was too large to hold
+                end = int(np.searchsorted(key, crowded, "right"))
+                yield batch_of((crowded, rows[1][:end], rows[2][:end]))
+                rows, key = [c[end:] for c in rows], key[end:]
+            if not len(key):
+                held = rows
+                continue
+            crowded = None
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            yield from map(batch_of, whole([c[:cut] for c in rows]))
+            held = [c[cut:] for c in rows]
+            if len(held[0]) > bucket:
+                crowded = int(key[-1])
+                yield batch_of((crowded, held[1], held[2]))
+                held = [c[:0] for c in held]
+        yield from map(batch_of, whole(held))
+    return run
 
 
 def _compare(limit: int):
@@ -227,24 +354,22 @@ def _compare(limit: int):
     return pairs
 
 
-def _candidates(sig: DataFrame, roots: DataFrame, share: float) -> DataFrame:
-    """Every pair that shares a block, is not connected by ``roots(node, root)`` and passes a prefilter by Hamming distance.
+def _candidates(sig: DataFrame, roots: DataFrame, blocks: np.ndarray, similarity: float) -> DataFrame:
+    """Every pair that shares a block, is not connected by ``roots(node, root)``, has sizes that allow ``similarity`` and is close by Hamming distance.
 
-    Small buckets are joined with themselves. A crowded bucket falls into its largest connected group and the rest, either into parts of
-    about TILE rows; each part of the rest meets every part, so no pair is left out and no task takes a whole bucket.
+    One shuffle by block brings a bucket together, ordered by size; tasks read it as a stream and hold at most BUCKET rows of one. Larger
+    and dense buckets fall into their largest connected group and the rest, either into parts of about TILE rows; each part of the rest
+    meets every part, so no pair is left out and no task takes a whole bucket.
     """
-    look = int(share * SKETCH + (MARGIN + 1) * (share * (1 - share) * SKETCH) ** 0.5)
-    ids = (sig.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-           .select("id", "root", "s1", "s2", F.posexplode("keys").alias("t", "k")).select("id", "root", "s1", "s2", F.expr(f"shiftleft(cast(t AS long), {BITS}) + k").alias("key")))
-    size = store(ids.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "n"), "buckets")
-    shared = store(ids.join(size, "key"), "shared")
-    few = shared.filter(f"n <= {SMALL}")
-    left, right = few.withColumnRenamed("id", "a").alias("l"), few.withColumnRenamed("id", "b").alias("r")
-    pairs = left.join(right, F.expr(f"l.key = r.key AND a < b AND l.root <> r.root AND bit_count(l.s1 ^ r.s1) + bit_count(l.s2 ^ r.s2) <= {look}")).select("a", "b").distinct()
+    share = differing_share(similarity)
+    most = int(share * 64 + MARGIN * (share * (1 - share) * 64) ** 0.5)
     limit = int(share * WIDTH + MARGIN * SPREAD)
-    many = shared.filter(f"n > {SMALL}").select("key", "id", "root")
+    dealt = _exploded(sig, roots, blocks).repartition(F.expr(f"shiftright(k, {SIZE_BITS})")).sortWithinPartitions("k")
+    found = store(dealt.mapInArrow(_buckets(similarity, most), "key long, a long, b long"), "found")
+    pairs = found.filter("key IS NULL").select("a", "b").distinct()
+    many = found.filter("key IS NOT NULL").select("key", F.col("a").alias("id"), F.col("b").alias("root"))
     groups = many.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.sum("n").alias("n"), F.max("n").alias("m"), F.max_by("root", F.struct("n", "root")).alias("main"))
+        F.sum("n").alias("n"), F.max("n").alias("m"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("n > m")
     groups = groups.select("key", "main", F.ceil((F.col("n") - F.col("m")) / TILE).cast("int").alias("kr"), F.ceil(F.col("m") / TILE).cast("int").alias("km"))
     sided = many.join(groups, "key").withColumn("side", F.expr(
         "CASE WHEN root = main THEN kr + cast(pmod(xxhash64(id), km) AS int) ELSE cast(pmod(xxhash64(id), kr) AS int) END"))
@@ -304,9 +429,10 @@ def near_rows(rows: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFr
     texts = rows.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi").select(F.col("node").alias("id"), "text")
     sig = store(_signatures(texts, size), "signatures")
     share = differing_share(similarity)
-    first = _alike(_close(_seeds(sig), sig, int(share * WIDTH + MARGIN * SPREAD)), texts, size, similarity)
+    blocks = draw_blocks(sig.count(), share)
+    first = _alike(_seeds(sig, blocks, int(share * WIDTH + MARGIN * SPREAD)), texts, size, similarity)
     first = store(components(first), "roots")
-    rest = _alike(_candidates(sig, first, share), texts, size, similarity)
+    rest = _alike(_candidates(sig, first, blocks, similarity), texts, size, similarity)
     roots = components(rest.union(first.select("node", "root")))
     named = classes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     return same.join(named, "same").select("row", "id", "same", "root")
@@ -315,11 +441,12 @@ def near_rows(rows: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFr
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(id, component)`` of texts whose ``size``-word shingle sets are alike by ``similarity`` (Jaccard) or more.
 
-    Equal texts are one class from the start. Each class gets 4,096 sign bits and 256 blocks of 22 of them. Pairs that
-    share a block are candidates, however crowded it is; those within five standard deviations of the Hamming distance expected at
-    ``similarity`` are decided by the Jaccard of their shingle sets. So no pair below ``similarity`` is linked, and a pair at or above it
-    is missed only if it shares no block: by the model with probability 0.0008 at 0.8, less above (sets of equal size; others are closer).
-    The buckets of over 8 rows of the first 32 blocks are linked before, and pairs of one group are not compared again.
+    Equal texts are one class from the start. Each class gets 4,096 sign bits and blocks of 22 of them (254 at 0.8; beyond 2^22 texts blocks
+    are longer and more). Pairs that share a block are candidates, however crowded it is, where the sizes of their shingle sets allow
+    ``similarity``; those within five standard deviations of the Hamming distance expected at ``similarity`` are decided by the
+    Jaccard of their shingle sets. So no pair below ``similarity`` is linked, and a pair at or above it
+    is missed only if it shares no block: by the model with probability 0.001 at 0.8, less above (sets of equal size; others are closer).
+    Rows are linked to the smallest row of a bucket in rounds before, and pairs of one group are not compared again.
     Rows with a null id are left out; repeated ids take the smallest id of the component of each of their texts.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))

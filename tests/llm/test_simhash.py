@@ -169,3 +169,45 @@ def test_pairs_in_a_template_family(spark):
     sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
     others = [(i, c) for i, c in got.items() if i != c and (c, i) not in set(pairs)]
     assert all(any(len(sets[i] & s) >= 0.8 * len(sets[i] | s) for j, s in sets.items() if j != i) for i, _ in others[:20])
+
+
+@pytest.mark.parametrize("dense, bucket", [(8, 1 << 14), (0, 1 << 14), (8, 70)])
+def test_buckets_as_a_stream_lose_no_pair(monkeypatch, dense, bucket):
+    """Buckets cut by batches, crowded, dense or too large to hold: every pair of other roots, fitting sizes and close first bits is listed, or its bucket handed on whole."""
+    import pyarrow as pa
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = np.random.default_rng(bucket + dense)
+    rows, reach = [], int(np.ceil(simhash.SIZE_STEPS * np.log(1.25))) + 1
+    for key, n in enumerate([1, 2, 3, 200, 64, 65, 90, 1, 2]):
+        looks = rng.integers(-(1 << 63), (1 << 63) - 1, 3)
+        for _ in range(n):
+            i = len(rows)
+            rows.append(((key << simhash.SIZE_BITS) + int(rng.integers(0, 2000)), i, int(rng.choice([0, i])), int(looks[rng.integers(3)]) ^ (1 << int(rng.integers(60)))))
+    rows.sort()
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[at:at + 50]], pa.int64()) for c in range(4)], ["k", "id", "root", "look"]) for at in range(0, len(rows), 50)]
+    out = [r for b in simhash._buckets(0.8, 24)(batches) for r in b.to_pylist()]
+    pairs = [(r["a"], r["b"]) for r in out if r["key"] is None]
+    handed = {}
+    for r in out:
+        if r["key"] is not None:
+            handed.setdefault(r["key"], []).append((r["a"], r["b"]))
+    want = {tuple(sorted((x[1], y[1]))): x[0] >> simhash.SIZE_BITS for x, y in itertools.combinations(rows, 2)
+            if x[0] >> simhash.SIZE_BITS == y[0] >> simhash.SIZE_BITS and abs(x[0] - y[0]) <= reach and x[2] != y[2] and bin((x[3] ^ y[3]) % (1 << 64)).count("1") <= 24}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {p for p, key in want.items() if key not in handed}
+    for key, members in handed.items():
+        assert sorted(members) == sorted((r[1], r[2]) for r in rows if r[0] >> simhash.SIZE_BITS == key)
+
+
+def test_blocks_grow_with_the_texts():
+    """Blocks get a bit with each doubling beyond 2^22 texts, and as many more as keep the chance of a missed pair."""
+    share = simhash.differing_share(0.8)
+    for count, width in [(0, 22), (200, 22), ((1 << 22) - 1, 22), (1 << 22, 23), (1 << 30, 31)]:
+        blocks = simhash.draw_blocks(count, share)
+        assert blocks.shape[1] == width and all(len(set(b)) >= width - 1 for b in blocks.tolist())
+        assert (1 - (1 - share) ** width) ** len(blocks) <= simhash.MISS
+        assert len(blocks).bit_length() + width + simhash.SIZE_BITS < 64
+    packed = np.random.default_rng(1).integers(0, 256, (3, simhash.WIDTH // 8), dtype=np.uint8)
+    bits = np.unpackbits(packed, axis=1)
+    got = simhash.block_keys([x.tobytes() for x in packed], blocks)
+    assert got.tolist() == [[sum(int(row[b]) << i for i, b in enumerate(block)) for block in blocks.tolist()] for row in bits]
