@@ -369,3 +369,38 @@ def test_mark_track(spark, tile):
     for mine, source in ((None, {"a": "called", "b": "called", "z": "called"}), (user, {"a": "called", "b": "user", "z": "called"})):
         want = sorted((s, c, b, any(x == s and k == c and p // 100 <= b <= e // 100 for x, k, p, e in spans[source[s]]), note) for s, c, b, note in track)
         assert rows(P.mark_track(df, called, 100, mine, tile), "sample", "chrom", "bin", "in_peak", "note") == want
+
+
+def test_annotation_equals_the_hits(spark):
+    """Statuses, genes and numbers of hits without making the hits; flanks meet the start of the chromosome, names repeat and are null."""
+    rng = random.Random(11)
+    beds = [(rng.choice("ab"), s, s + rng.choice([0, 1, 5, 40, 300]), f"n{i}") for i, s in enumerate(rng.choices(range(900), k=120))]
+    beds += [(None, 1, 5, "x"), ("a", None, 5, "y"), ("c", 5, 9, "z"), beds[0]]
+    genes = []
+    for i in range(60):
+        s = rng.randrange(1000)
+        genes.append((rng.choice("ab"), rng.choice([f"t{i}", "t1", None]), "g", rng.choice(["+", "-", None]), s, s + rng.choice([0, 3, 50, 200])))
+    genes += [("a", "no end", "g", "+", 10, None), (None, "no chrom", "g", "+", 10, 20), ("a", "no start", "g", "+", None, 30), genes[0]]
+    bed = spark.createDataFrame(beds, "chrom string, start int, end int, name string")
+    tx = spark.createDataFrame(genes, "chrom string, tid string, gname string, strand string, tx_start int, tx_end int")
+    hits = {}
+    for r in G.interval_gene_hits(bed.distinct(), tx, 60, 25).collect():
+        hits.setdefault(r.name, []).append((G.STATUSES.index(r.status), r.tid or ""))
+    want = sorted((b[3], *((G.STATUSES[max(h)[0]], max(h)[1], len(h)) if (h := hits.get(b[3])) else ("INTERGENIC", "", 0))) for b in beds)
+    got = G.annotate_intervals(bed, tx, 60, 25)
+    assert sorted(tuple(r) for r in got.select("name", "status", "tid", "n_hits").collect()) == want
+    assert len({w[1] for w in want}) == 4
+
+
+def test_stab_max_and_counts(spark):
+    rng = random.Random(5)
+    spans = [(rng.choice("ab"), s, s + rng.choice([0, 7, 64, 513]), i) for i, s in enumerate(rng.choices(range(-20, 1200), k=80))]
+    asked = [(c, p) for c in "abc" for p in range(-30, 1800, 7)]
+    df = spark.createDataFrame(spans, "chrom string, start long, end long, v long")
+    points = spark.createDataFrame(asked, "chrom string, pos long")
+    over = {(c, p): [v for d, s, e, v in spans if d == c and s <= p <= e] for c, p in asked}
+    for fan in (2, 8):
+        got = {(r.chrom, r.pos): r.v for r in I.stab_max(df, points, "v", fan=fan).collect()}
+        assert got == {k: max(v) for k, v in over.items() if v}
+    begun = {(r.chrom, r.pos): r.n for r in I.count_up_to(df.select("chrom", F.col("start").alias("pos")), points, tile=100).collect()}
+    assert begun == {(c, p): sum(d == c and s <= p for d, s, _, _ in spans) for c, p in asked}
