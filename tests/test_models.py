@@ -404,3 +404,13 @@ def test_stab_max_and_counts(spark):
         assert got == {k: max(v) for k, v in over.items() if v}
     begun = {(r.chrom, r.pos): r.n for r in I.count_up_to(df.select("chrom", F.col("start").alias("pos")), points, tile=100).collect()}
     assert begun == {(c, p): sum(d == c and s <= p for d, s, _, _ in spans) for c, p in asked}
+
+
+def test_long_intervals_meet_few_that_do_not_overlap(spark):
+    """A long interval is cut into a quarter of its length or less, so that short ones meet it only near by; homes without visitors have no rows."""
+    long = spark.createDataFrame([("a", 32_768 * i + 20_000, 32_768 * i + 33_000) for i in range(40)], "chrom string, s int, e int")
+    short = spark.createDataFrame([("a", p, p + 99) for p in range(0, 1_300_000, 100)], "chrom string, start int, end int")
+    met = I._meetings(short, long, right_span=("s", "e")).count()
+    n = I.overlap_join(short, long, right_span=("s", "e")).count()
+    assert n == sum(1 for p in range(0, 1_300_000, 100) for i in range(40) if p <= 32_768 * i + 33_000 and p + 99 >= 32_768 * i + 20_000)
+    assert n <= met < 2 * n
