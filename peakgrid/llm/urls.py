@@ -3,9 +3,9 @@
 URLs that a rule allows or blocks are the examples of an accepting and a rejecting model, each folded string with the
 number of its rows of either verdict. Characters are folded to 38 signs. A sign's probability is interpolated from the
 orders below it by Witten-Bell weights, so that a context counts as far as it has been seen; contexts have up to four
-signs. Contexts are kept by their count, 5,000 at most, with which the contexts they end on are kept too; a sign is looked up
-under the longest kept context before it, whether the two were seen together or not. The table of log ratios has at most 38
-rows a kept context, whatever the corpus. A URL's score is the sum of the log ratios of its signs by its length; it
+signs. Every context that an example has is kept; a sign is looked up under the longest kept context before it, whether the two
+were seen together or not. Contexts are bounded by the signs, not by the corpus, and the table of log ratios has at most 38 rows
+each; it is brought to the tasks where it is counted and found small, else joined by shuffle, once for each distinct window. A URL's score is the sum of the log ratios of its signs by its length; it
 is blocked below the threshold that separates held-out examples best. All of it is DataFrame expressions.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; an empty url scores 0; without examples of both
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peakgrid.session import lookup
+
 from .common import frequency_cut, store
 
 #: (verdict, host, path prefix)
@@ -23,8 +25,12 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 BINS = 0.01
 START, FOLD = "^", "~"
 SIGNS = "abcdefghijklmnopqrstuvwxyz0:/.?#=&%_-" + FOLD
-#: Signs of the longest context, and contexts kept beside the empty one.
-ORDER, CONTEXTS = 4, 5_000
+#: Signs of the longest context.
+ORDER = 4
+#: Contexts kept by their count beside the empty one; None keeps all. A number is for trials only, no query sets one.
+CONTEXTS: int | None = None
+#: Rows of a table that is brought to every task.
+SMALL = 200_000
 
 
 def parts(url: str = "url") -> tuple[Column, Column]:
@@ -66,17 +72,19 @@ def ratios(examples: DataFrame) -> DataFrame:
             .groupBy("verdict", "w").agg(F.sum("n").alias("n")).withColumn("c", F.expr("substring(w, 1, length(w) - 1)")))
     seen = store(seen, "seen")
     both = seen.groupBy("c").agg(F.sum("n").alias("n"))
-    cut = frequency_cut(both.filter("c <> ''"), CONTEXTS)
+    cut = 1 if CONTEXTS is None else frequency_cut(both.filter("c <> ''"), CONTEXTS)
     kept = store(both.filter((F.col("n") >= cut) | (F.col("c") == "")).select("c"), "contexts")
-    # tables of the kept contexts are small by the bound on their number
-    seen = store(seen.join(F.broadcast(kept), "c"), "seen")
+    if CONTEXTS is not None:
+        seen = store(seen.join(kept, "c"), "seen")
     context = seen.groupBy("verdict", F.col("c").alias("own")).agg(F.sum("n").alias("total"), F.count("*").alias("types"))
     probs = (kept.select("c", F.explode(F.split(F.lit(SIGNS), "")).alias("x")).filter("x <> ''")
              .select("c", "x", F.explode(F.array(F.lit("allow"), F.lit("block"))).alias("verdict")).withColumn("p", F.lit(1 / len(SIGNS))))
     for order in range(ORDER + 1):
         own = F.when(F.length("c") >= order, F.expr(f"substring(c, length(c) - {order} + 1, {order})"))
         probs = (probs.withColumn("own", own).withColumn("w", F.concat("own", "x"))
-                 .join(seen.select("verdict", "w", "n"), ["verdict", "w"], "left").join(context, ["verdict", "own"], "left")
+                 # few rows of the short contexts, which are many rows' own
+                 .join(lookup(seen.filter(F.length("c") == order).select("verdict", "w", "n"), SMALL), ["verdict", "w"], "left")
+                 .join(lookup(context.filter(F.length("own") == order), SMALL), ["verdict", "own"], "left")
                  .withColumn("p", F.expr("CASE WHEN total IS NULL THEN " + ("NULL" if order == 0 else "p") + " ELSE (coalesce(n, 0) + types * p) / (total + types) END"))
                  .select("c", "x", "verdict", "p"))
     wide = probs.groupBy("c", "x").agg(F.max(F.when(F.col("verdict") == "allow", F.col("p"))).alias("a"), F.max(F.when(F.col("verdict") == "block", F.col("p"))).alias("b"))
@@ -85,13 +93,14 @@ def ratios(examples: DataFrame) -> DataFrame:
 
 def scores(urls: DataFrame, table: DataFrame) -> DataFrame:
     """``(key, score)`` of distinct sign strings: mean log ratio, each sign under its longest kept context."""
-    out, found = _windows(urls, "s").withColumnRenamed("s", "key"), []
+    windows, found = _windows(urls, "s").withColumnRenamed("s", "key"), []
+    distinct = windows.select("g").distinct()
     for order in range(ORDER, -1, -1):
-        # at most 38 rows for each of the kept contexts
-        one = F.broadcast(table.filter(F.length("w") == order + 1).select(F.col("w").alias(f"w{order}"), F.col("ratio").alias(f"r{order}")))
-        out = out.withColumn(f"w{order}", F.expr(f"substring(g, {ORDER + 1 - order}, {order + 1})")).join(one, f"w{order}", "left")
+        one = table.filter(F.length("w") == order + 1).select(F.col("w").alias(f"w{order}"), F.col("ratio").alias(f"r{order}"))
+        distinct = distinct.withColumn(f"w{order}", F.expr(f"substring(g, {ORDER + 1 - order}, {order + 1})")).join(lookup(one, SMALL), f"w{order}", "left")
         found.append(f"r{order}")
-    return out.groupBy("key").agg(F.avg(F.coalesce(*found, F.lit(0.0))).alias("score"))
+    each = store(distinct.select("g", F.coalesce(*found, F.lit(0.0)).alias("ratio")), "windows")
+    return windows.join(lookup(each, SMALL), "g").groupBy("key").agg(F.avg("ratio").alias("score"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
