@@ -5,8 +5,11 @@ one may be shorter). Windows need the head of the next chunk only.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from ..session import derived_lookup, lookup
 from .reads import with_length
 
 CHUNK = 16384
+#: Chunks whose counts are made at a time.
+SLICE = 32
 GC_LENGTH = 120
 EDGE = 5
 MIN_GENOME_SHARE = 1e-5
@@ -63,15 +68,27 @@ def _gc_kernel():
     return track
 
 
-def gc_windows(chunks: DataFrame, w: int, size: int = CHUNK) -> DataFrame:
-    """(chrom, pos, gc) for every base."""
+def _by_slices(df: DataFrame, w: int, schema: str, columns: Sequence[str]) -> DataFrame:
+    """``columns`` of chunks with ``gc``, the counts of the own bases or of those listed in ``at``. A batch of chunks is read and written a few
+    chunks at a time, so a task holds the batch and the counts of one slice only."""
     kernel = _gc_kernel()
 
-    @F.pandas_udf("array<int>")
-    def track(text: pd.Series, n_own: pd.Series) -> pd.Series:
-        return pd.Series([kernel(t, n, w) for t, n in zip(text, n_own)])
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE):
+                part = batch.slice(first, SLICE)
+                cols = {n: part.column(n) for n in part.schema.names}
+                found = []
+                for i in range(part.num_rows):
+                    track = kernel(cols["text"][i].as_py(), cols["n_own"][i].as_py(), w)
+                    found.append(track[cols["at"][i].values.to_numpy()] if "at" in cols else track)
+                yield pa.RecordBatch.from_arrays([*[cols[c] for c in columns], pa.array(found, pa.list_(pa.int32()))], [*columns, "gc"])
+    return df.mapInArrow(run, schema)
 
-    halo = _with_halo(chunks, w, size).select("chrom", "chunk", track("text", "n_own").alias("gc"))
+
+def gc_windows(chunks: DataFrame, w: int, size: int = CHUNK) -> DataFrame:
+    """(chrom, pos, gc) for every base."""
+    halo = _by_slices(_with_halo(chunks, w, size), w, "chrom string, chunk int, gc array<int>", ["chrom", "chunk"])
     return halo.select("chrom", "chunk", F.posexplode("gc").alias("i", "gc")).select(
         "chrom", (F.col("chunk") * size + F.col("i")).alias("pos"), "gc")
 
@@ -82,17 +99,11 @@ def gc_at_positions(chunks: DataFrame, positions: DataFrame, w: int, size: int =
     Positions are gathered per chunk, at most ``size`` of them, so only the
     wanted bases leave the chunk.
     """
-    kernel = _gc_kernel()
-
-    @F.pandas_udf("array<int>")
-    def look(text: pd.Series, n_own: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([kernel(t, n, w)[np.asarray(a, dtype="int64")] for t, n, a in zip(text, n_own, at)])
-
-    wanted = (positions.select("chrom", div("pos", size).alias("chunk"), (F.col("pos") % size).alias("at"))
+    wanted = (positions.select("chrom", div("pos", size).alias("chunk"), (F.col("pos") % size).cast("int").alias("at"))
               .groupBy("chrom", "chunk").agg(F.collect_set("at").alias("at")))
     hit = _with_halo(chunks, w, size).join(wanted, ["chrom", "chunk"])
     hit = hit.withColumn("at", F.filter("at", lambda a: a < F.col("n_own")))
-    got = hit.select("chrom", "chunk", "at", look("text", "n_own", "at").alias("gc"))
+    got = _by_slices(hit, w, "chrom string, chunk int, at array<int>, gc array<int>", ["chrom", "chunk", "at"])
     return got.select("chrom", "chunk", F.explode(F.arrays_zip("at", "gc")).alias("z")).select(
         "chrom", (F.col("chunk") * size + F.col("z.at")).alias("pos"), F.col("z.gc").alias("gc"))
 

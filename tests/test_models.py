@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from peakgrid.functions import scores as X
 from peakgrid.operators import barcodes as BC
 from peakgrid.operators import bins as B
+from peakgrid.operators import gc as GC
 from peakgrid.operators import genes as G
 from peakgrid.operators import intervals as I
 from peakgrid.operators import peaks as P
@@ -414,3 +415,15 @@ def test_long_intervals_meet_few_that_do_not_overlap(spark):
     n = I.overlap_join(short, long, right_span=("s", "e")).count()
     assert n == sum(1 for p in range(0, 1_300_000, 100) for i in range(40) if p <= 32_768 * i + 33_000 and p + 99 >= 32_768 * i + 20_000)
     assert n <= met < 2 * n
+
+
+def test_chunks_are_counted_a_slice_at_a_time(spark, monkeypatch):
+    """More chunks than a slice holds: whole windows and single places, in any split of the batch."""
+    text = "ACGTNGGCCATT" * 9
+    chunks = GC.chunk_sequences(spark.createDataFrame([("a", text), ("b", text[5:] + "G")], "chrom string, seq string"), 4).coalesce(1)
+    want = sorted((c, i, -1 if "N" in s[i + 1:i + 4] else sum(x in "GC" for x in s[i + 1:i + 4])) for c, s in (("a", text), ("b", text[5:] + "G")) for i in range(len(s)))
+    places = spark.createDataFrame([(c, p) for c, p, _ in want if p % 5 == 0], "chrom string, pos int")
+    for n in (1, 7, 1000):
+        monkeypatch.setattr(GC, "SLICE", n)
+        assert rows(GC.gc_windows(chunks, 3, 4), "chrom", "pos", "gc") == want
+        assert rows(GC.gc_at_positions(chunks, places, 3, 4), "chrom", "pos", "gc") == [x for x in want if x[1] % 5 == 0]
