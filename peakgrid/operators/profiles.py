@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import from_fixed, safe_ratio
 from ..functions.tiles import by_tile, div
-from ..session import cut, lookup
+from ..session import BROADCAST_ROWS, cut, derived_lookup, lookup
 
 NONCANONICAL = ["nonsense_mediated_decay", "processed_transcript", "retained_intron"]  # fixed values
 GENE_BLOCKS = 100
@@ -68,24 +68,40 @@ def _check_width(width: int, binsize: int) -> int:
     return half
 
 
-def window_profile(sites: DataFrame, values: DataFrame, labels: DataFrame, binsize: int, width: int) -> DataFrame:
-    """Site x offset values around (site, chrom, pos, strand); long form (label, chrom, site, offset, value).
+def window_rows(sites: DataFrame, values: DataFrame, labels: DataFrame, binsize: int, width: int) -> DataFrame:
+    """Values around (site, chrom, pos, strand), one row a site and label: (label, chrom, site, values), from offset -half to half.
 
-    Rows of the - strand are reversed. Bins without signal are 0 and present.
+    Rows of the - strand are reversed. Bins without signal are 0 and present. Where the distinct centres are few, they are
+    brought to the sites, so that the sites are not shuffled.
     """
     half = _check_width(width, binsize)
+    size = 2 * half + 1
     placed = sites.withColumn("centre", div("pos", binsize))
     centres = placed.select("chrom", "centre").distinct()
     offsets = centres.withColumn("k", F.explode(F.sequence(F.lit(-half), F.lit(half))))
     hit = (offsets.withColumn("bin", F.col("centre") + F.col("k")).join(values, ["chrom", "bin"])
            .groupBy("chrom", "centre", "label").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("m")))
     # at most 2*half+1 values per centre and label travel with the join
+    around = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    hit = derived_lookup(hit.select("chrom", "centre", "label", around.alias("m")), BROADCAST_ROWS // size)
     every = placed.withColumn("label", F.explode(F.array(*[F.lit(r[0]) for r in labels.select("label").collect()])))
     rows = every.join(hit, ["chrom", "centre", "label"], "left")
-    sign = F.when(F.col("strand") == "-", -1).otherwise(1)
-    return (rows.withColumn("offset", F.explode(F.sequence(F.lit(-half), F.lit(half))))
-            .select("label", "chrom", "site", "offset",
-                    F.coalesce(F.try_element_at("m", F.col("offset") * sign), F.lit(0.0)).alias("value")))
+    along = F.when(F.col("strand") == "-", F.reverse("m")).otherwise(F.col("m"))
+    return rows.select("label", "chrom", "site", F.coalesce(along, F.array_repeat(F.lit(0.0), size)).alias("values"))
+
+
+def long_rows(packed: DataFrame) -> DataFrame:
+    """One row a value: ``values`` becomes (offset, value), offsets counted from the middle; other columns are kept."""
+    rest = [c for c in packed.columns if c != "values"]
+    half = F.floor(F.size("values") / 2).cast("int")
+    return packed.select(*rest, half.alias("_half"), F.posexplode("values").alias("offset", "value")).select(
+        *rest, (F.col("offset") - F.col("_half")).alias("offset"), "value")
+
+
+def window_profile(sites: DataFrame, values: DataFrame, labels: DataFrame, binsize: int, width: int, packed: bool = False) -> DataFrame:
+    """Site x offset values around (site, chrom, pos, strand); long form (label, chrom, site, offset, value), or ``packed`` as :func:`window_rows`."""
+    rows = window_rows(sites, values, labels, binsize, width)
+    return rows if packed else long_rows(rows)
 
 
 def _gene_sites(genes: DataFrame, at_start: bool) -> DataFrame:
@@ -110,11 +126,11 @@ def profile_tes(genes: DataFrame, bins: DataFrame, pairs: DataFrame, genome: Dat
 
 
 def profile_sites(bed: DataFrame, bins: DataFrame, pairs: DataFrame, genome: DataFrame, binsize: int,
-                  width: int = PROFILE_WIDTH, stype: int = 0) -> DataFrame:
+                  width: int = PROFILE_WIDTH, stype: int = 0, packed: bool = False) -> DataFrame:
     """Values around the interval midpoints, never reversed; a site is named chrom-start-end."""
     sites = bed.select(F.concat_ws("-", "chrom", "start", "end").alias("site"), "chrom", F.lit("+").alias("strand"),
                        div(F.col("start") + F.col("end"), 2).alias("pos"))
-    return window_profile(valid_sites(sites, genome, width), value_bins(bins, pairs, stype), pairs, binsize, width)
+    return window_profile(valid_sites(sites, genome, width), value_bins(bins, pairs, stype), pairs, binsize, width, packed)
 
 
 def _trunc_bin(x: Column, binsize: int) -> Column:
@@ -216,7 +232,8 @@ def _label_names(pairs: DataFrame) -> list[str]:
 
 def _block_means(blocks: DataFrame, values: DataFrame, pairs: DataFrame) -> DataFrame:
     labels = _label_names(pairs)
-    hit = range_totals(blocks, values, labels)
+    # the distinct ranges are as many as the bins around genes; where they are few, the blocks are not shuffled
+    hit = derived_lookup(range_totals(blocks, values, labels))
     every = blocks.withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels])))
     out = every.join(hit, ["chrom", "sbin", "ebin", "label"], "left")
     width = F.col("ebin") - F.col("sbin") + 1
@@ -290,15 +307,25 @@ def heatmap_order(profile: DataFrame, ref: str, vmax: float, column: int = 0, so
     """Profile with the row rank of every site and values clipped to [0, vmax].
 
     The rank is by descending value of ``column`` in the reference label, then by
-    site; equal sites share it.
+    site; equal sites share it. A packed profile (of :func:`window_rows`) is ranked and joined as one row a site and label,
+    and comes back in long form.
     """
-    out = profile.withColumn("value", F.least(F.greatest("value", F.lit(0.0)), F.lit(float(vmax))))
-    if not sort:
-        return out
-    key = (profile.filter((F.col("label") == ref) & (F.col("offset") == column))
-           .groupBy("chrom", "site").agg(F.max("value").alias("_key")))
-    rank = global_rank(key, [F.col("_key").desc(), F.col("site").asc(), F.col("chrom").asc()], "row_rank")
-    return out.join(rank.select("chrom", "site", "row_rank"), ["chrom", "site"])
+    packed = "values" in profile.columns
+
+    def clip(c: Column) -> Column:
+        return F.least(F.greatest(c, F.lit(0.0)), F.lit(float(vmax)))
+    out = profile.withColumn("values", F.transform("values", clip)) if packed else profile.withColumn("value", clip(F.col("value")))
+    if sort:
+        ref_rows = profile.filter(F.col("label") == ref)
+        if packed:
+            at = F.floor(F.size("values") / 2).cast("int") + column
+            ref_rows = ref_rows.filter((at >= 0) & (at < F.size("values"))).withColumn("value", F.get("values", at))
+        else:
+            ref_rows = ref_rows.filter(F.col("offset") == column)
+        key = ref_rows.groupBy("chrom", "site").agg(F.max("value").alias("_key"))
+        rank = global_rank(key, [F.col("_key").desc(), F.col("site").asc(), F.col("chrom").asc()], "row_rank")
+        out = out.join(rank.select("chrom", "site", "row_rank"), ["chrom", "site"])
+    return long_rows(out) if packed else out
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str, parts: int | None = None) -> DataFrame:

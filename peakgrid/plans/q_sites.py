@@ -133,7 +133,7 @@ def sites_matrix_log1p(t):
 k AS (SELECT site, row_number() OVER (ORDER BY value DESC, site) - 1 AS row_rank FROM (SELECT DISTINCT site, value FROM prof WHERE "offset" = 0))
 SELECT site, "offset", row_rank, round(least(greatest(value, 0), 3), 6) AS value FROM prof JOIN k USING (site)""")
 def sites_heatmap(t):
-    p = PR.profile_sites(t.sites, t.bins, t.pairs, t.genome, BIN, WIDTH)
+    p = PR.profile_sites(t.sites, t.bins, t.pairs, t.genome, BIN, WIDTH, packed=True)
     return PR.heatmap_order(p, "S1", 3.0, 0).select("site", "offset", "row_rank", r6("value"))
 
 
