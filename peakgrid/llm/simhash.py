@@ -148,6 +148,10 @@ SMALL, BUCKET, TILE = 64, 1 << 14, 512
 DENSE = 8
 #: Rounds of the first look for groups, and blocks of a round.
 ROUNDS, FIRST = 5, 4
+#: Close rows of one group that a row may meet as pairs, in a bucket and in all; if there are more, the row is held against the whole group.
+FEW, IN_ALL = 2, 8
+#: Bytes of shingle sets on a side of a cell where rows meet a group.
+SIDE = 1 << 23
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -215,8 +219,10 @@ def _signatures(texts: DataFrame, size: int) -> DataFrame:
 def _seeds(sig: DataFrame, blocks: np.ndarray, limit: int) -> DataFrame:
     """Links of rows to the smallest row of a bucket: groups known early spare comparisons, no more.
 
-    Each round looks at a few blocks of the rows that no earlier round has linked, so a row is linked once, however large its group.
+    Each round looks at a few blocks; rows that an earlier round has linked well within ``similarity`` only serve as smallest rows,
+    the others try again, as a pair that is merely close may fail on its shingle sets. So a row has at most one link for each block looked at, however large its group.
     """
+    sure = limit - 2 * MARGIN * SPREAD
     def keys(some):
         def make():
             def step(batch):
@@ -227,14 +233,13 @@ def _seeds(sig: DataFrame, blocks: np.ndarray, limit: int) -> DataFrame:
         return make
     links = None
     for r in range(ROUNDS):
-        left = sig.select("id", "bits")
-        left = left if links is None else left.join(links.select(F.col("b").alias("id")), "id", "left_anti")
-        rows = store(map_arrow(left, keys(blocks[FIRST * r:FIRST * (r + 1)]), "key long, id long"), "seeds")
+        rows = store(map_arrow(sig.select("id", "bits"), keys(blocks[FIRST * r:FIRST * (r + 1)]), "key long, id long"), "seeds")
         hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).filter("n > 1")
-        pairs = rows.join(hubs, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-        found = store(_close(pairs, sig, limit).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "links")
+        left = rows if links is None else rows.join(links.filter(F.col("far") <= sure).select(F.col("b").alias("id")), "id", "left_anti")
+        pairs = left.join(hubs, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+        found = store(_close(pairs, sig, limit), "links")
         links = found if links is None else links.unionByName(found)
-    return links
+    return links.select("a", "b").distinct()
 
 
 def _exploded(sig: DataFrame, roots: DataFrame, blocks: np.ndarray) -> DataFrame:
@@ -286,30 +291,94 @@ def _near_in_large(k, root, look, reach, most):
     return np.concatenate(out, axis=1)
 
 
-def _buckets(similarity: float, most: int):
-    """Reads rows ordered by ``k``; gives pairs ``(key null, a, b)``, and of crowded buckets the rows as ``(key, id, root)``."""
+def _met_groups(a, b, root_a, root_b, few):
+    """Turns close pairs of a bucket round, so that the group of ``b`` is that with more rows; ``(a, b, root of b)`` of pairs that stay, and ``(a, root)`` of rows that meet more than ``few`` rows of one group."""
+    names, place = np.unique(np.concatenate((root_a, root_b)), return_inverse=True)
+    ids, owner = np.unique(np.concatenate((a, b)), return_index=True)
+    sizes = np.bincount(place[owner], minlength=len(names))
+    of_a, of_b = place[:len(a)], place[len(a):]
+    to_b = (sizes[of_b] > sizes[of_a]) | ((sizes[of_b] == sizes[of_a]) & (of_b < of_a))  # of equal groups the first is met
+    row, other, group = np.where(to_b, a, b), np.where(to_b, b, a), np.where(to_b, of_b, of_a)
+    _, which, times = np.unique(np.searchsorted(ids, row) * len(names) + group, return_inverse=True, return_counts=True)
+    many = times[which] > few
+    met = np.unique(np.stack((row[many], names[group[many]])), axis=1)
+    return (row[~many], other[~many], names[group[~many]]), (met[0], met[1])
+
+
+def _main_apart(k, ids, root, look, reach, most, few):
+    """A crowded bucket with a group of more than ``few`` rows: as ``_met_groups`` for all other rows against its largest group, and the places of these others."""
+    names, place, sizes = np.unique(root, return_inverse=True, return_counts=True)
+    main = place == np.argmax(sizes)
+    at, pairs, met = np.flatnonzero(main), [], []
+    if len(at) <= few:
+        return None
+    for x in np.flatnonzero(~main):
+        near = at[(np.abs(k[at] - k[x]) <= reach) & (np.bitwise_count(look[at] ^ look[x]) <= most)]
+        if len(near) > few:
+            met.append(ids[x])
+        else:
+            pairs += [(ids[x], ids[y]) for y in near]
+    a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+    name = names[np.argmax(sizes)]
+    return (a, b, np.full(len(a), name)), (np.array(met, np.int64), np.full(len(met), name)), np.flatnonzero(~main)
+
+
+def _buckets(similarity: float, most: int, few: int | None = None):
+    """Reads rows ordered by ``k``; gives pairs ``(key null, a, b)``, and of crowded buckets the rows as ``(key, id, root)``.
+
+    With ``few``, ``root`` is the group of ``b``, and a row with more close rows of one group in a bucket is given as ``(key -1, id, null, root)`` instead of those pairs.
+    """
     reach, bucket, small = int(np.ceil(SIZE_STEPS * np.log(1 / similarity))) + 1, BUCKET, SMALL
 
+    def pairs(key, a, b, root_a, root_b):
+        if few is None:
+            yield None, np.minimum(a, b), np.maximum(a, b), None
+        elif len(a):
+            order = np.argsort(key, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                (a_, b_, root), met = _met_groups(a[at], b[at], root_a[at], root_b[at], few)
+                yield None, a_, b_, root
+                yield -1, met[0], None, met[1]
+
     def whole(rows):
         k, ids, root, look = rows = [*rows[:3], rows[3].view(np.uint64)]  # unsigned: numpy counts the bits of absolute values
         edges = np.flatnonzero(np.diff(k >> SIZE_BITS, prepend=-1, append=-1))
         sizes = np.diff(edges)
-        few = np.repeat(sizes <= small, sizes)
-        part = [c[few] for c in rows]
+        few_rows = np.repeat(sizes <= small, sizes)
+        part = [c[few_rows] for c in rows]
         x, y = _near_in_small(part[0], part[2], part[3], reach, most)
-        yield None, np.minimum(part[1][x], part[1][y]), np.maximum(part[1][x], part[1][y])
+        yield from pairs(part[0][x] >> SIZE_BITS, part[1][x], part[1][y], part[2][x], part[2][y])
         for i in np.flatnonzero(sizes > small):
-            at = slice(edges[i], edges[i + 1])
+            at = np.arange(edges[i], edges[i + 1])
+            if few is not None and (apart := _main_apart(k[at], ids[at], root[at], look[at], reach, most, few)) is not None:
+                yield None, *apart[0]
+                yield -1, apart[1][0], None, apart[1][1]
+                at = at[apart[2]]
+            if not len(at):
+                continue
             found = _near_in_large(k[at], root[at], look[at], reach, most)
             if found is None:
-                yield int(k[edges[i]] >> SIZE_BITS), ids[at], root[at]
+                yield int(k[edges[i]] >> SIZE_BITS), ids[at], root[at], None
             else:
                 x, y = found
-                yield None, np.minimum(ids[at][x], ids[at][y]), np.maximum(ids[at][x], ids[at][y])
+                yield from pairs(np.zeros(len(x), np.int64), ids[at][x], ids[at][y], root[at][x], root[at][y])
 
     def batch_of(found):
-        key, a, b = found
-        return pa.RecordBatch.from_arrays([pa.array([key] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
+        columns = [np.concatenate([np.full(len(f[1]), -2 if f[0] is None else f[0]) for f in found])]
+        columns += [pa.concat_arrays([pa.nulls(len(f[1]), pa.int64()) if f[c] is None else pa.array(f[c], pa.int64()) for f in found]) for c in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64(), mask=columns[0] == -2), *columns[1:]], ["key", "a", "b", "root"])
+
+    def batches_of(found):
+        """Many small results in one batch."""
+        held, rows = [], 0
+        for f in found:
+            held.append(f)
+            rows += len(f[1])
+            if rows > STEP:
+                yield batch_of(held)
+                held, rows = [], 0
+        if held:
+            yield batch_of(held)
 
     def run(batches):
         held, crowded = [np.empty(0, np.int64)] * 4, None
@@ -318,20 +387,20 @@ def _buckets(similarity: float, most: int):
             key = rows[0] >> SIZE_BITS
             if crowded is not None:  # the rest of a bucket that was too large to hold
                 end = int(np.searchsorted(key, crowded, "right"))
-                yield batch_of((crowded, rows[1][:end], rows[2][:end]))
+                yield batch_of([(crowded, rows[1][:end], rows[2][:end], None)])
                 rows, key = [c[end:] for c in rows], key[end:]
             if not len(key):
                 held = rows
                 continue
             crowded = None
             cut = int(np.searchsorted(key, key[-1], "left"))
-            yield from map(batch_of, whole([c[:cut] for c in rows]))
+            yield from batches_of(whole([c[:cut] for c in rows]))
             held = [c[cut:] for c in rows]
             if len(held[0]) > bucket:
                 crowded = int(key[-1])
-                yield batch_of((crowded, held[1], held[2]))
+                yield batch_of([(crowded, held[1], held[2], None)])
                 held = [c[:0] for c in held]
-        yield from map(batch_of, whole(held))
+        yield from batches_of(whole(held))
     return run
 
 
@@ -354,35 +423,41 @@ def _compare(limit: int):
     return pairs
 
 
-def _candidates(sig: DataFrame, roots: DataFrame, blocks: np.ndarray, similarity: float) -> DataFrame:
+def _candidates(sig: DataFrame, roots: DataFrame, blocks: np.ndarray, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Every pair that shares a block, is not connected by ``roots(node, root)``, has sizes that allow ``similarity`` and is close by Hamming distance.
 
-    One shuffle by block brings a bucket together, ordered by size; tasks read it as a stream and hold at most BUCKET rows of one. Larger
-    and dense buckets fall into their largest connected group and the rest, either into parts of about TILE rows; each part of the rest
-    meets every part, so no pair is left out and no task takes a whole bucket.
+    A row that meets more than FEW close rows of one group in a bucket, or more than IN_ALL in all, is not paired with them but listed
+    as ``(id, root)`` in the second table, to be held against that whole group.
+
+    One shuffle by block brings a bucket together, ordered by size; tasks read it as a stream and hold at most BUCKET rows of one. In larger
+    and dense buckets the rest is held against the largest connected group likewise; the rest falls into parts of about TILE rows, and each
+    part meets every part, so no pair is left out and no task takes a whole bucket.
     """
     share = differing_share(similarity)
     most = int(share * 64 + MARGIN * (share * (1 - share) * 64) ** 0.5)
     limit = int(share * WIDTH + MARGIN * SPREAD)
     dealt = _exploded(sig, roots, blocks).repartition(F.expr(f"shiftright(k, {SIZE_BITS})")).sortWithinPartitions("k")
-    found = store(dealt.mapInArrow(_buckets(similarity, most), "key long, a long, b long"), "found")
-    pairs = found.filter("key IS NULL").select("a", "b").distinct()
-    many = found.filter("key IS NOT NULL").select("key", F.col("a").alias("id"), F.col("b").alias("root"))
+    found = store(dealt.mapInArrow(_buckets(similarity, most, FEW), "key long, a long, b long, root long"), "found")
+    # at most FEW rows of a group from each block come together here
+    listed = store(found.filter("key IS NULL OR key = -1").groupBy("a", "root").agg(F.collect_set("b").alias("bs"), F.count("key").alias("whole"))
+                   .withColumn("whole", F.expr(f"whole > 0 OR size(bs) > {IN_ALL}")), "listed")
+    pairs = listed.filter("NOT whole").select("a", F.explode("bs").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    many = found.filter("key >= 0").select("key", F.col("a").alias("id"), F.col("b").alias("root"))
     groups = many.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.sum("n").alias("n"), F.max("n").alias("m"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("n > m")
-    groups = groups.select("key", "main", F.ceil((F.col("n") - F.col("m")) / TILE).cast("int").alias("kr"), F.ceil(F.col("m") / TILE).cast("int").alias("km"))
-    sided = many.join(groups, "key").withColumn("side", F.expr(
-        "CASE WHEN root = main THEN kr + cast(pmod(xxhash64(id), km) AS int) ELSE cast(pmod(xxhash64(id), kr) AS int) END"))
-    met = F.expr("CASE WHEN root = main THEN sequence(0, kr - 1) ELSE sequence(0, kr + km - 1) END")
-    cells = (sided.select("key", "id", "root", "side", F.explode(met).alias("other"))
+    apart = F.col("m") > FEW
+    groups = groups.select("key", F.when(apart, F.col("main")).alias("main"), F.ceil((F.col("n") - F.when(apart, F.col("m")).otherwise(0)) / TILE).cast("int").alias("kr"))
+    sided = many.join(groups, "key").filter("NOT root <=> main").withColumn("side", F.expr("cast(pmod(xxhash64(id), kr) AS int)"))
+    met = listed.filter("whole").select(F.col("a").alias("id"), "root").union(sided.filter("main IS NOT NULL").select("id", F.col("main").alias("root"))).distinct()
+    cells = (sided.select("key", "id", "root", "side", F.explode(F.expr("sequence(0, kr - 1)")).alias("other"))
              .select("key", "id", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
              .join(sig.select("id", "bits"), "id"))
     crowded = cells.groupBy("key", "i", "j").applyInArrow(_compare(limit), "a long, b long").distinct()
-    return _close(pairs, sig, limit).unionByName(crowded).distinct()
+    return _close(pairs, sig, limit).select("a", "b").unionByName(crowded).distinct(), met
 
 
 def _close(pairs: DataFrame, sig: DataFrame, limit: int) -> DataFrame:
-    """Pairs that differ in at most ``limit`` bits."""
+    """Pairs that differ in at most ``limit`` bits, as ``(a, b, far)`` with the number of them."""
     both = (pairs.join(sig.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a")
             .join(sig.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b").select("a", "b", "x", "y"))
 
@@ -391,23 +466,24 @@ def _close(pairs: DataFrame, sig: DataFrame, limit: int) -> DataFrame:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
                 far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                yield batch.select(["a", "b"]).filter(pa.array(far <= limit))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], ["a", "b", "far"]).filter(pa.array(far <= limit))
         return step
-    return map_arrow(both, make, "a long, b long")
+    return map_arrow(both, make, "a long, b long, far long")
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Pairs whose shingle sets have a Jaccard of ``similarity`` or more, counted on the sets; two empty sets are equal."""
-    pairs = store(pairs, "pairs")
-
-    def sets():
+def _sets(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``(id, s)``: the shingle sets of the texts with these ids, as sorted hashes."""
+    def make():
         def step(batch):
             found = [np.unique(shingle_hashes(t, size)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "s"])
         return step
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    made = store(map_arrow(texts.join(wanted, "id", "left_semi").select("id", "text"), sets, "id long, s binary"), "sets")
-    both = pairs.join(made.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(made.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
+    return store(map_arrow(texts.join(ids, "id", "left_semi").select("id", "text"), make, "id long, s binary"), "sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose shingle sets have a Jaccard of ``similarity`` or more, counted on the sets; two empty sets are equal."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
 
     def make():
         def step(batch):
@@ -422,6 +498,50 @@ def _alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) ->
     return map_arrow(both, make, "a long, b long")
 
 
+def _find_alike(similarity: float, limit: int):
+    """For each row of a cell that meets a group, the first row of the group's part that is alike, if any: close by all bits, then by the shingle sets."""
+    def links(table):
+        ids, member = (table.column(c).to_numpy() for c in ("id", "member"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), "<u8").reshape(len(ids), -1)
+        sets = [np.frombuffer(x, "<u8") for x in table.column("s").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        ends = np.cumsum(sizes)
+        names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        codes = np.split(codes, ends[:-1])
+        group, marked, a, b = np.flatnonzero(member), np.zeros(len(names), np.int64), [], []
+        for x in np.flatnonzero(~member):
+            near = group[np.bitwise_count(bits[group] ^ bits[x]).sum(axis=1, dtype=np.int64) <= limit]
+            near = near[np.minimum(sizes[near], sizes[x]) >= similarity * np.maximum(sizes[near], sizes[x]) - 1e-9]
+            if not len(near):
+                continue
+            marked[codes[x]] = 1
+            common = np.array([marked[codes[y]].sum() for y in near])
+            marked[codes[x]] = 0
+            alike = near[common >= similarity * (sizes[near] + sizes[x] - common) - 1e-9]
+            if len(alike):
+                a.append(min(ids[x], ids[alike[0]]))
+                b.append(max(ids[x], ids[alike[0]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return links
+
+
+def _into_groups(met: DataFrame, members: DataFrame, sig: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links of rows ``met(id, root)`` into the groups they meet, ``members(id, root)``: one for each part of a group that has an alike row.
+
+    Both sides are dealt into parts by rows and by bytes; each part of the rows meets each part of the group in a cell of its own.
+    """
+    limit = int(differing_share(similarity) * WIDTH + MARGIN * SPREAD)
+    sides = met.withColumn("member", F.lit(False)).unionByName(members.withColumn("member", F.lit(True))).join(sets.select("id", F.octet_length("s").alias("n")), "id")
+    parts = "cast(greatest(ceil(count(1) / {0}), ceil(sum(n) / {1})) AS int)".format(TILE, SIDE)
+    parts = sides.groupBy("root", "member").agg(F.expr(parts).alias("parts"))
+    parts = parts.groupBy("root").agg(F.max(F.when(F.col("member"), F.col("parts"))).alias("km"), F.max(F.when(~F.col("member"), F.col("parts"))).alias("kr")).filter("km IS NOT NULL AND kr IS NOT NULL")
+    cells = sides.join(parts, "root").withColumn("own", F.expr("cast(pmod(xxhash64(id, 3), if(member, km, kr)) AS int)"))
+    cells = cells.withColumn("other", F.explode(F.expr("sequence(0, if(member, kr, km) - 1)")))
+    cells = cells.select("root", "id", "member", F.expr("if(member, own, other)").alias("i"), F.expr("if(member, other, own)").alias("j"))
+    cells = cells.join(sig.select("id", "bits"), "id").join(sets, "id")
+    return cells.groupBy("root", "i", "j").applyInArrow(_find_alike(similarity, limit), "a long, b long").distinct()
+
+
 def near_rows(rows: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(row, id, same, root)`` of stored ``rows(row, id, text)``, ``row`` being unique: rows of one root are alike, directly or through others."""
     same = store(rows.select("row", "id", F.sha2("text", 256).alias("same")), "texts")
@@ -430,9 +550,14 @@ def near_rows(rows: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFr
     sig = store(_signatures(texts, size), "signatures")
     share = differing_share(similarity)
     blocks = draw_blocks(sig.count(), share)
-    first = _alike(_seeds(sig, blocks, int(share * WIDTH + MARGIN * SPREAD)), texts, size, similarity)
+    ends = F.explode(F.array("a", "b")).alias("id")
+    seeds = store(_seeds(sig, blocks, int(share * WIDTH + MARGIN * SPREAD)), "pairs")
+    first = _alike(seeds, _sets(seeds.select(ends).distinct(), texts, size), similarity)
     first = store(components(first), "roots")
-    rest = _alike(_candidates(sig, first, blocks, similarity), texts, size, similarity)
+    pairs, met = (store(x, "pairs") for x in _candidates(sig, first, blocks, similarity))
+    members = first.select(F.col("node").alias("id"), "root").join(met.select("root").distinct(), "root", "left_semi").select("id", "root")
+    sets = _sets(pairs.select(ends).union(met.select("id")).union(members.select("id")).distinct(), texts, size)
+    rest = _alike(pairs, sets, similarity).union(_into_groups(met, members, sig, sets, similarity))
     roots = components(rest.union(first.select("node", "root")))
     named = classes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     return same.join(named, "same").select("row", "id", "same", "root")

@@ -211,3 +211,57 @@ def test_blocks_grow_with_the_texts():
     bits = np.unpackbits(packed, axis=1)
     got = simhash.block_keys([x.tobytes() for x in packed], blocks)
     assert got.tolist() == [[sum(int(row[b]) << i for i, b in enumerate(block)) for block in blocks.tolist()] for row in bits]
+
+
+def test_rows_meet_a_group_without_pairs(spark, monkeypatch):
+    """500 near copies, most of them linked through others: the groups of brute force, and far fewer pairs than the square of the family."""
+    rng, made, close = np.random.default_rng(6), [], simhash._close
+    monkeypatch.setattr(simhash, "_close", lambda pairs, *more: made.append(pairs.count()) or close(pairs, *more))
+    base = [f"t{i}" for i in range(150)]
+    texts = []
+    for g in range(500):
+        words = list(base)
+        for i in rng.choice(150, int(rng.integers(1, 8)), replace=False):
+            words[i] = f"o{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    sets, root = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts], list(range(500))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i, j in itertools.combinations(range(500), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()}
+    assert got == {i: find(i) for i in range(500)}
+    assert len(set(got.values())) > 5 and sum(made) < 25_000, made
+
+
+@pytest.mark.parametrize("dense, bucket", [(8, 1 << 14), (0, 1 << 14), (8, 70)])
+def test_buckets_with_groups_lose_no_pair(monkeypatch, dense, bucket):
+    """Every close pair is listed, or one of its rows is given as one that meets the other's group, or both are handed on in their bucket."""
+    import pyarrow as pa
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = np.random.default_rng(bucket + dense)
+    rows, reach = [], int(np.ceil(simhash.SIZE_STEPS * np.log(1.25))) + 1
+    for key, n in enumerate([1, 2, 3, 200, 64, 65, 90, 1, 2]):
+        looks = rng.integers(-(1 << 63), (1 << 63) - 1, 2)
+        for _ in range(n):
+            i = len(rows)
+            rows.append(((key << simhash.SIZE_BITS) + int(rng.integers(0, 2000)), i, int(rng.choice([0, 1, i, i])), int(looks[rng.integers(2)]) ^ (1 << int(rng.integers(60)))))
+    rows.sort()
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[at:at + 50]], pa.int64()) for c in range(4)], ["k", "id", "root", "look"]) for at in range(0, len(rows), 50)]
+    out = [r for b in simhash._buckets(0.8, 24, 2)(batches) for r in b.to_pylist()]
+    root_of = {r[1]: r[2] for r in rows}
+    pairs = {tuple(sorted((r["a"], r["b"]))) for r in out if r["key"] is None}
+    assert all(r["root"] == root_of[r["b"]] for r in out if r["key"] is None)
+    met = {(r["a"], r["root"]) for r in out if r["key"] == -1}
+    handed = {(r["key"], r["a"]) for r in out if r["key"] is not None and r["key"] >= 0}
+    assert met and pairs
+    for x, y in itertools.combinations(rows, 2):
+        key = x[0] >> simhash.SIZE_BITS
+        if key == y[0] >> simhash.SIZE_BITS and abs(x[0] - y[0]) <= reach and x[2] != y[2] and bin((x[3] ^ y[3]) % (1 << 64)).count("1") <= 24:
+            assert (x[1], y[1]) in pairs or (y[1], x[1]) in pairs or (x[1], y[2]) in met or (y[1], x[2]) in met or {(key, x[1]), (key, y[1])} <= handed
