@@ -84,6 +84,10 @@ class Vocabulary:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form: letters are lowered one by one
         return self.pattern.findall(text.lower())
 
+    def words_of_chunk(self, chunk: bytes) -> list[str]:
+        """Words of a stretch without ASCII blanks: no word holds a blank, and blanks neither compose nor change the letters beside them."""
+        return self.words(chunk.decode("utf-8", "surrogatepass"))
+
     def segments(self, text: str):
         """Stretches of text and the special tokens between them, as (text, special id or None)."""
         at = 0
@@ -311,24 +315,35 @@ class Listing:
         return joined.count(" ") + bool(joined), joined, " ".join(decoded)
 
 
+def chunks(text: str) -> list[bytes]:
+    """Stretches between ASCII blanks."""
+    return text.encode("utf-8", "surrogatepass").split()
+
+
+def _count(words: Vocabulary, batches: Iterable[pa.RecordBatch]):
+    """``(word, n)`` batches of a task: stretches between blanks are counted, and each distinct one is cut into words once."""
+    seen = Counter()
+
+    def rows():
+        found = {}
+        for chunk, n in seen.items():
+            for word in words.words_of_chunk(chunk):
+                found[word] = found.get(word, 0) + n
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            for part, _ in words.segments(text):
+                seen.update(chunks(part))
+            if len(seen) > REMEMBER:
+                yield rows()
+    if seen:
+        yield rows()
+
+
 def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``(word, n)`` over all texts, counted inside the tasks first."""
-    def count(batches):
-        words, seen = vocabulary(path), Counter()
-
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for part, _ in words.segments(text):
-                    seen.update(words.words(part))
-                if len(seen) > REMEMBER:
-                    yield rows()
-        if seen:
-            yield rows()
-    return (docs.select(text_or_empty(text_col).alias("text")).mapInArrow(count, "word string, n long")
+    return (docs.select(text_or_empty(text_col).alias("text")).mapInArrow(lambda batches: _count(vocabulary(path), batches), "word string, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 

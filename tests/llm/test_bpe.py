@@ -1,5 +1,8 @@
 """BPE against the tokenizers library."""
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -95,3 +98,16 @@ def test_listing_forgets_and_learns_again(library, monkeypatch):
     for t in TEXTS + ["one two three", "four five six seven eight nine", "one nine two"]:
         ids = library.encode(t, add_special_tokens=False).ids
         assert own.list(t) == (len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)), t[:30]
+
+
+def test_words_are_counted_by_stretches(spark, monkeypatch):
+    """Counts are those of the words of whole texts, and a stretch that comes often is cut into words once."""
+    own, texts = bpe.vocabulary(PATH), TEXTS + [f"{a}{b}{c}" for a in ("x", "Σ", "e", "<") for b in " \t\n\x0b\x0c\r\x1c\x85　 " for c in ("́a", "'S it's", "̸=", "9½")]
+    want = Counter(w for t in texts for part, _ in own.segments(t) for w in own.words(part))
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    assert {r.word: r.n for r in bpe.word_counts(df, PATH).collect()} == want
+    calls, words = [], bpe.Vocabulary.words
+    monkeypatch.setattr(bpe.Vocabulary, "words", lambda self, text: calls.append(text) or words(self, text))
+    batch = pa.RecordBatch.from_arrays([pa.array(["the same, again"] * 500)], ["text"])
+    assert [r for b in bpe._count(own, [batch]) for r in b.to_pylist()] == [{"word": w, "n": 500} for w in ("the", "same", ",", "again")]
+    assert len(calls) == 3
