@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -32,10 +33,11 @@ DICTIONARY, SYMBOLS, CLASSES, WIDTH = 50_000, 4096, 64, 16
 ROUNDS, NOISE, BATCH, RATE = 2, 24, 4096, 0.15
 END, RARE, START = 0, 1, 2
 FLUSH = 300_000
+PART, STRIP = 128, 1024
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | bytes) -> list[bytes]:
+    return (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).lower().split()
 
 
 def is_held_out(doc) -> bool:
@@ -46,6 +48,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
 
 
+def texts_of(batches) -> Iterator[tuple[int | None, bytes]]:
+    """``(id, text)`` of every row; only ``PART`` rows at a time become Python objects, however many a batch has. Texts stay UTF-8."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART):
+            part = batch.slice(at, PART)
+            yield from zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist())
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """``(word, n)`` over the training texts, without ends."""
     def count(batches):
@@ -55,12 +65,11 @@ def word_counts(rows: DataFrame) -> DataFrame:
             made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
             seen.clear()
             return made
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not is_held_out(doc):
-                    seen.update(words_of(text))
-                    if len(seen) > FLUSH:
-                        yield out()
+        for doc, text in texts_of(batches):
+            if not is_held_out(doc):
+                seen.update(words_of(text))
+                if len(seen) > FLUSH:
+                    yield out()
         if seen:
             yield out()
     return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -125,23 +134,27 @@ class Parameters:
         """Normalised natural log probability of each target symbol."""
         q = self.near[near] + self.far[far]
         cls, member = target % CLASSES, target // CLASSES
-        s = q @ self.cls.T + self.cls_bias
-        top = s.max(axis=1)
-        s -= top[:, None]
-        out = s[np.arange(len(target)), cls] - np.log(np.exp(s).sum(axis=1))
+        out = np.empty(len(target), np.float32)
+        for at in range(0, len(q), STRIP):
+            out[at:at + STRIP] = _log_shares(q[at:at + STRIP] @ self.cls.T + self.cls_bias, cls[at:at + STRIP])
         order = np.argsort(cls.astype(np.uint8), kind="stable")
         ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         word, bias = self.word.reshape(-1, CLASSES, WIDTH), self.word_bias.reshape(-1, CLASSES)
         for c in range(CLASSES):
             at = order[ends[c]:ends[c + 1]]
             if len(at):
-                s = q[at] @ word[:, c].T + bias[:, c]
-                top = s.max(axis=1)
-                s -= top[:, None]
-                out[at] += s[np.arange(len(at)), member[at]] - np.log(np.exp(s).sum(axis=1))
+                out[at] += _log_shares(q[at] @ word[:, c].T + bias[:, c], member[at])
         return out
 
 
+def _log_shares(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural log of the share of column ``at`` in each row of the log odds ``s``, which are used up."""
+    s -= s.T.copy().max(axis=0)[:, None]  # the largest of each row, many rows at once
+    own = s[np.arange(len(s)), at]
+    np.exp(s, out=s)
+    return own - np.log(s.sum(axis=1))
+
+
 def _scatter(size: int, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of ``rows`` by ``index``, counted cell by cell."""
     width = rows.shape[1]
@@ -231,13 +244,12 @@ def train(rows: DataFrame, lay: Layout) -> Parameters:
                     own.step(near[part], far[part], target[part])
                 seen += len(target)
                 held, size = [], 0
-            for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if not is_held_out(doc) and zlib.crc32(f"round {doc}".encode()) % ROUNDS == r:
-                        held.append(_symbols(words_of(text), lay.place))
-                        size += len(held[-1])
-                        if size > 1 << 18:
-                            flush()
+            for doc, text in texts_of(batches):
+                if not is_held_out(doc) and zlib.crc32(f"round {doc}".encode()) % ROUNDS == r:
+                    held.append(_symbols(words_of(text), lay.place))
+                    size += len(held[-1])
+                    if size > 1 << 18:
+                        flush()
             if held:
                 flush()
             if seen:
@@ -278,9 +290,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         base_end = np.log10((lay.ends + 1) / total)
 
         def step(batch):
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = [words_of(t) for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                texts = [words_of(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 ranks = [np.fromiter(map(rank.get, w, repeat(len(rank))), np.int64, len(w)) for w in texts]
                 symbols = [np.concatenate(([START, START], symbol_of[x], [END])) for x in ranks]
                 near, far, target = (np.concatenate([s[i:len(s) - 2 + i] for s in symbols]) for i in (1, 0, 2))
