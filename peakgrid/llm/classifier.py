@@ -175,13 +175,13 @@ def _sample(rows: DataFrame, ids: list[int]) -> dict:
     chosen = rows.sparkSession.createDataFrame(sorted((i,) for i in set(ids)), "doc_id long")
     got = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "at", "n", "meta").toArrow()
     out = {}
-    for part in got.to_batches():  # numpy arrays straight from the Arrow buffers, no Python numbers
+    for part in got.to_batches():  # numpy views of the Arrow buffers: no Python numbers, and no second copy on the driver
         (at, n), ends = (c.flatten().to_numpy() for c in part.columns[1:3]), np.append(0, part.column(1).value_lengths().to_numpy().cumsum())
-        meta = part.column(3).flatten().to_numpy().reshape(-1, META)
+        meta = part.column(3).flatten().to_numpy().reshape(-1, META).astype(np.float64)
         for k, i in enumerate(part.column(0).to_pylist()):
             one = slice(ends[k], ends[k + 1])
             if i not in out or at[one].tobytes() < out[i][0][0].tobytes():
-                out[i] = ((at[one].copy(), n[one].copy()), meta[k].astype(np.float64))
+                out[i] = ((at[one], n[one]), meta[k])
     return dict(sorted(out.items()))
 
 
