@@ -33,7 +33,7 @@ DICTIONARY, SYMBOLS, CLASSES, WIDTH = 50_000, 4096, 64, 16
 ROUNDS, NOISE, BATCH, RATE = 2, 24, 4096, 0.15
 END, RARE, START = 0, 1, 2
 FLUSH = 300_000
-PART, STRIP = 128, 1024
+PART = 128
 
 
 def words_of(text: str | bytes) -> list[bytes]:
@@ -134,27 +134,23 @@ class Parameters:
         """Normalised natural log probability of each target symbol."""
         q = self.near[near] + self.far[far]
         cls, member = target % CLASSES, target // CLASSES
-        out = np.empty(len(target), np.float32)
-        for at in range(0, len(q), STRIP):
-            out[at:at + STRIP] = _log_shares(q[at:at + STRIP] @ self.cls.T + self.cls_bias, cls[at:at + STRIP])
+        s = q @ self.cls.T + self.cls_bias
+        top = s.max(axis=1)
+        s -= top[:, None]
+        out = s[np.arange(len(target)), cls] - np.log(np.exp(s).sum(axis=1))
         order = np.argsort(cls.astype(np.uint8), kind="stable")
         ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         word, bias = self.word.reshape(-1, CLASSES, WIDTH), self.word_bias.reshape(-1, CLASSES)
         for c in range(CLASSES):
             at = order[ends[c]:ends[c + 1]]
             if len(at):
-                out[at] += _log_shares(q[at] @ word[:, c].T + bias[:, c], member[at])
+                s = q[at] @ word[:, c].T + bias[:, c]
+                top = s.max(axis=1)
+                s -= top[:, None]
+                out[at] += s[np.arange(len(at)), member[at]] - np.log(np.exp(s).sum(axis=1))
         return out
 
 
-def _log_shares(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural log of the share of column ``at`` in each row of the log odds ``s``, which are used up."""
-    s -= s.T.copy().max(axis=0)[:, None]  # the largest of each row, many rows at once
-    own = s[np.arange(len(s)), at]
-    np.exp(s, out=s)
-    return own - np.log(s.sum(axis=1))
-
-
 def _scatter(size: int, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of ``rows`` by ``index``, counted cell by cell."""
     width = rows.shape[1]
