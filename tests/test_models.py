@@ -441,3 +441,18 @@ def test_heatmap_rows_are_not_shuffled_one_by_one(spark):
     assert rows(packed, *cols) == rows(long, *cols) and packed.count() == 66
     plan = packed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("posexplode") < plan.index("Join")
+
+
+def test_left_rows_meet_the_right_side_in_blocks(spark, monkeypatch):
+    """Rows that start close together travel as one, at most BLOCK_ROWS of them; long ones among them and null ends change nothing."""
+    monkeypatch.setattr(I, "BLOCK_ROWS", 64)
+    left = [("a", 3 * i, 3 * i + 50 + i % 90, i) for i in range(400)] + [("a", 700, 720, 1000 + i) for i in range(200)] + [("a", 5, 90_000, 2000), ("a", None, 9, 2001), ("a", 9, None, 2002), (None, 1, 9, 2003)]
+    right = [("a", 11 * i, 11 * i + 400, f"r{i}") for i in range(90)] + [("a", None, 800, "none"), (None, 1, 9, "none")]
+    a = spark.createDataFrame(left, "chrom string, start int, end int, n int")
+    b = spark.createDataFrame(right, "chrom string, s int, e int, name string")
+    blocks = I._blocks(a, I.BUCKET_BP, ["chrom"], ("start", "end"), 4).collect()
+    assert max(len(x["_rows"]) for x in blocks) == 64 and len(blocks) < 20
+    joined = I.overlap_join(a, b, right_span=("s", "e"))
+    assert joined.columns == ["chrom", "start", "end", "n", "s", "e", "name"]
+    want = sorted((x[3], y[3]) for x in left for y in right if None not in (*x, *y) and x[1] <= y[2] and y[1] <= x[2])
+    assert rows(joined, "n", "name") == want
